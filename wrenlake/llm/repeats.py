@@ -21,6 +21,7 @@ candidates, strings byte by byte.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,7 +76,7 @@ def from_planes(x: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
-def shared_buckets(texts: DataFrame, buckets: int) -> DataFrame:
+def shared_buckets(texts: DataFrame, text_column: str, buckets: int) -> DataFrame:
     """(cls, hashes): for each class of texts, those of its minimisers that another class has too.
 
     Tasks send the hashes of a slice in sorted, packed runs.  A hash of many classes in one slice is
@@ -84,10 +85,10 @@ def shared_buckets(texts: DataFrame, buckets: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, text_column, 8 << 20):
             hashes, owners = [], []
             done = set()
-            for cls, text in zip(batch.column("cls").to_pylist(), bytes_of(batch.column("text"))):
+            for cls, text in zip(batch.column("_cls").to_pylist(), bytes_of(batch.column(text_column))):
                 if cls not in done:
                     done.add(cls)
                     own = np.unique(anchors(text)[1])
@@ -115,7 +116,7 @@ def shared_buckets(texts: DataFrame, buckets: int) -> DataFrame:
             )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
+        held, key = [], None  # one bucket at a time
 
         def shared() -> pa.RecordBatch:
             h, d = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
@@ -130,6 +131,10 @@ def shared_buckets(texts: DataFrame, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), int_lists(np.split(h[order].view(np.int64), at[1:]) if len(cls) else [], pa.int64())], names=["cls", "hashes"])
 
         for batch in batches:
+            direct = batch.filter(batch.column("cls").is_valid())
+            if direct.num_rows:
+                yield direct.select(["cls", "hashes"])
+            batch = batch.filter(batch.column("cls").is_null())
             for bucket, h, d in zip(*(batch.column(c).to_pylist() for c in ("bucket", "h", "d"))):
                 if bucket != key and held:
                     yield shared()
@@ -139,41 +144,42 @@ def shared_buckets(texts: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield shared()
 
-    sent = texts.select("cls", "text").mapInArrow(run, "bucket int, cls long, hashes array<long>, h binary, d binary")
-    sent = stash(sent, "repeat-buckets")
-    met = sent.where("bucket >= 0").select("bucket", "h", "d").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "cls long, hashes array<long>")
-    return met.unionByName(sent.where("bucket < 0").select("cls", "hashes"))
+    sent = texts.mapInArrow(run, "bucket int, cls long, hashes array<long>, h binary, d binary")
+    return sent.repartition(F.coalesce("cls", "bucket")).sortWithinPartitions("bucket").mapInArrow(meet, "cls long, hashes array<long>")
 
 
-def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes of shared buckets with the bytes around them.
+def suffixes(keyed: DataFrame, text_column: str) -> DataFrame:
+    """Suffixes of shared buckets with the bytes around them (``seg``, the q-gram at ``left``).
 
     Of documents in one slice with the same bytes there, only the least goes on; strings of the others are
     known to be removed and come out as spans.
     """
-    names = ["hash", "seg", "left", "doc_id", "cls", "places", "spans"]
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-    for batch in slices(batches, "text", 8 << 20):
-        least: dict[tuple, tuple] = {}
-        rows = []
-        for doc, cls, own, text in sorted(zip(batch.column("doc_id").to_pylist(), batch.column("cls").to_pylist(), batch.column("hashes").to_pylist(), bytes_of(batch.column("text"))), key=lambda x: (x[0], x[1])):
-            at, h = anchors(text)
-            keep = np.isin(h.view(np.int64), np.array(own, np.int64))
-            mine: dict[tuple, list[int]] = {}
-            for p, x in zip(at[keep].tolist(), h[keep].view(np.int64).tolist()):
-                a = max(0, p - REACH)
-                mine.setdefault((x, text[a : p + Q + REACH], p - a), []).append(p)
-            gone = []
-            for key, places in mine.items():
-                if least.setdefault(key, (doc,))[0] < doc:
-                    if len(key[1]) >= LENGTH:
-                        gone += [v for p in places for v in (p - key[2], p - key[2] + len(key[1]))]
-                else:
-                    rows.append((*key, doc, cls, places, None))
-            if gone:
-                rows.append((None, None, None, doc, cls, None, gone))
-        for i in range(0, len(rows), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[i : i + 20_000]), kinds)], names=names)
+    names = ["seg", "left", "id", "cls", "places", "spans"]
+    kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices((b.filter(b.column("_hashes").is_valid()) for b in batches), text_column, 8 << 20):
+            least: dict[tuple, int] = {}
+            rows = []
+            for doc, cls, own, text in sorted(zip(batch.column("_id").to_pylist(), batch.column("_cls").to_pylist(), batch.column("_hashes").to_pylist(), bytes_of(batch.column(text_column))), key=lambda x: (x[0], x[1])):
+                at, h = anchors(text)
+                mine: dict[tuple, list[int]] = {}
+                for p in at[np.isin(h.view(np.int64), np.array(own, np.int64))].tolist():
+                    a = max(0, p - REACH)
+                    mine.setdefault((text[a : p + Q + REACH], p - a), []).append(p)
+                gone = []
+                for key, places in mine.items():
+                    if least.setdefault(key, doc) < doc:
+                        if len(key[0]) >= LENGTH:
+                            gone += [v for p in places for v in (p - key[1], p - key[1] + len(key[0]))]
+                    else:
+                        rows.append((*key, doc, cls, places, None))
+                if gone:
+                    rows.append((None, None, doc, cls, None, gone))
+            for i in range(0, len(rows), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[i : i + 20_000]), kinds)], names=names)
+
+    return keyed.mapInArrow(run, "seg binary, left int, id long, cls long, places array<int>, spans array<int>")
 
 
 def bucket_numbers(pairs: np.ndarray) -> np.ndarray:
@@ -212,37 +218,41 @@ def removed_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     def work(rows: list[tuple]) -> pa.RecordBatch:
         """Equal surroundings are refined once, under their least document."""
         index: dict[tuple, int] = {}
-        of = [index.setdefault(r[:3], len(index)) for r in rows]
+        of = [index.setdefault(r[:2], len(index)) for r in rows]
         docs = np.full(len(index), np.iinfo(np.int64).max)
-        np.minimum.at(docs, of, [r[3] for r in rows])
+        np.minimum.at(docs, of, [r[2] for r in rows])
         keys = list(index)
-        left = np.array([k[2] for k in keys], np.int64)
+        left = np.array([k[1] for k in keys], np.int64)
         by = bucket_sizes(keys)
         many = np.flatnonzero(by > 1)
         hit = np.zeros((len(keys), REACH + 1), bool)
         if len(many):
-            hit[many] = refine([keys[i][1] for i in many], left[many], docs[many])
+            hit[many] = refine([keys[i][0] for i in many], left[many], docs[many])
         out: dict[tuple[int, int], list[int]] = {}
         for r, i in zip(rows, of):
-            if docs[i] < r[3]:  # the same surroundings in a smaller document: every string is there
-                runs = [(0, len(r[1]))] if len(r[1]) >= LENGTH else []
+            if docs[i] < r[2]:  # the same surroundings in a smaller document: every string is there
+                runs = [(0, len(r[0]))] if len(r[0]) >= LENGTH else []
             else:
                 on = np.flatnonzero(hit[i])
                 if not len(on):
                     continue
                 cut = np.flatnonzero(np.diff(on) > 1)
-                shift = REACH - r[2]
+                shift = REACH - r[1]
                 runs = [(a - shift, b - shift + LENGTH) for a, b in zip(on[np.concatenate([[0], cut + 1])].tolist(), on[np.concatenate([cut, [len(on) - 1]])].tolist())]
             if runs:
-                spans = out.setdefault((r[3], r[4]), [])
-                for p in r[5]:
-                    spans += [v for a, b in runs for v in (p - r[2] + a, p - r[2] + b)]
-        return pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int64()), pa.array(list(out.values()), pa.list_(pa.int32()))], names=["doc_id", "cls", "spans"])
+                spans = out.setdefault((r[2], r[3]), [])
+                for p in r[4]:
+                    spans += [v for a, b in runs for v in (p - r[1] + a, p - r[1] + b)]
+        return pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int64()), pa.array(list(out.values()), pa.list_(pa.int32()))], names=["_id", "_cls", "_spans"])
 
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("hash", "seg", "left", "doc_id", "cls", "places"))
+        known = batch.filter(batch.column("seg").is_null())
+        if known.num_rows:
+            yield pa.RecordBatch.from_arrays([known.column(c) for c in ("id", "cls", "spans")], names=["_id", "_cls", "_spans"])
+        batch = batch.filter(batch.column("seg").is_valid())
+        columns = (batch.column(c).to_pylist() for c in ("seg", "left", "id", "cls", "places"))
         for row in zip(*columns):
-            if len(held) >= CHUNK and held[-1][0] != row[0]:
+            if len(held) >= CHUNK and q_gram(held[-1]) != q_gram(row):
                 yield work(held)
                 held = []
             held.append(row)
@@ -250,9 +260,15 @@ def removed_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield work(held)
 
 
+def q_gram(row: tuple) -> bytes:
+    return row[0][row[1] : row[1] + Q]
+
+
 def bucket_sizes(keys: list[tuple]) -> np.ndarray:
-    _, of, n = np.unique(np.array([k[0] for k in keys], np.int64), return_inverse=True, return_counts=True)
-    return n[of]
+    """Of the bucket that each suffix is in."""
+    own = list(map(q_gram, keys))
+    n = Counter(own)
+    return np.fromiter((n[x] for x in own), np.int64, len(own))
 
 
 def cut_out(text: bytes, spans: list[int]) -> tuple[bytes, int, int]:
@@ -266,48 +282,51 @@ def cut_out(text: bytes, spans: list[int]) -> tuple[bytes, int, int]:
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
-def find_spans(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, cls, n_bytes, digest, first) of all documents, and (doc_id, cls, spans) of those of which something goes.
+def with_keys(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return docs.withColumn("_id", F.col(id_column).cast("long")).withColumn("_cls", F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))))
+
+
+def find_spans(keyed: DataFrame, text_column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (_id, _cls, n_bytes, digest, first) of all documents, and (_id, _cls, _spans) of those of which something goes.
 
     ``first``: the least id with the same text.  Copies aren't searched; they go as a whole.
+    ``keyed`` is dealt out by key for the search; a caller that joins the same rows with the spans reuses that exchange.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
-    keyed = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("cls"))
-    own = stash(keyed.select("doc_id", "cls", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("digest")), "repeat-classes")
-    first = own.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"))
+    own = stash(keyed.select("_id", "_cls", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest")), "repeat-classes")
+    first = own.where("_id is not null").groupBy("digest").agg(F.min("_id").alias("first"))
     own = own.join(first, "digest", "left")
     total = own.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(64, int(total // 50_000_000))
-    texts = keyed.where("doc_id is not null")
-    shared = shared_buckets(texts, buckets).groupBy("cls").agg(F.flatten(F.collect_list("hashes")).alias("hashes"))
-    reps = own.where("doc_id = first and n_bytes >= 50").select("doc_id", "cls").distinct()
-    wanted = stash(reps.join(shared, "cls"), "repeat-wanted")
-    searched = keyed.join(wanted, ["doc_id", "cls"]).select("doc_id", "cls", "text", "hashes").dropDuplicates(["doc_id", "cls"])
-    found = stash(searched.mapInArrow(suffixes, "hash long, seg binary, left int, doc_id long, cls long, places array<int>, spans array<int>"), "repeat-suffixes")
-    far = found.where("hash is not null").drop("spans").repartition("hash").sortWithinPartitions("hash")
-    spans = far.mapInArrow(removed_spans, "doc_id long, cls long, spans array<int>").unionByName(found.where("hash is null").select("doc_id", "cls", "spans"))
-    return own, spans.groupBy("doc_id", "cls").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    texts = keyed.where("_id is not null").select("_cls", text_column)
+    shared = shared_buckets(texts, text_column, buckets).groupBy("cls").agg(F.flatten(F.collect_list("hashes")).alias("_hashes"))
+    reps = own.where(f"_id = first and n_bytes >= {LENGTH}").select("_id", "_cls").distinct()
+    wanted = stash(reps.join(shared.withColumnRenamed("cls", "_cls"), "_cls"), "repeat-wanted")
+    found = suffixes(keyed.join(wanted, ["_id", "_cls"], "left"), text_column)
+    # equal q-grams meet; rows that only carry known spans go anywhere
+    gram = F.expr(f"coalesce(substring(seg, left + 1, {Q}), cast(string(cls) as binary))")
+    spans = found.repartition(gram).sortWithinPartitions(F.expr(f"substring(seg, left + 1, {Q})")).mapInArrow(removed_spans, "_id long, _cls long, _spans array<int>")
+    return own, spans.groupBy("_id", "_cls").agg(F.flatten(F.collect_list("_spans")).alias("_spans"))
 
 
 def repeat_report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document: bytes, bytes and runs removed, and the digest of what is left."""
-    own, spans = find_spans(docs, id_column, text_column)
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    keyed = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("cls"))
+    keyed = with_keys(docs.select(id_column, text_column), id_column, text_column)
+    own, spans = find_spans(keyed, text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            found = [cut_out(t, s) for t, s in zip(bytes_of(batch.column("text")), batch.column("spans").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("cls"), pa.array([n for _, n, _ in found], pa.int64()), pa.array([r for _, _, r in found], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x, _, _ in found], pa.string())], names=["doc_id", "cls", "gone", "runs", "kept"])
-
-    cut = keyed.join(spans, ["doc_id", "cls"]).select("doc_id", "cls", "text", "spans").mapInArrow(run, "doc_id long, cls long, gone long, runs long, kept string").dropDuplicates(["doc_id", "cls"])
-    copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)) & (F.col("n_bytes") >= LENGTH)
-    nothing = hashlib.sha256(b"").hexdigest()
-    return own.join(cut, ["doc_id", "cls"], "left").select(
-        F.col("doc_id").cast(dict(docs.dtypes)[id_column]).alias(id_column), "n_bytes",
+        for batch in slices((b.filter(b.column("_spans").is_valid()) for b in batches), text_column):
+            found = [cut_out(t, s) for t, s in zip(bytes_of(batch.column(text_column)), batch.column("_spans").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_cls"), pa.array([n for _, n, _ in found], pa.int64()), pa.array([r for _, _, r in found], pa.int64()), pa.array([hashlib.sha256(x).digest() for x, _, _ in found], pa.binary())], names=["_id", "_cls", "gone", "runs", "kept"])
+
+    cut = keyed.join(spans, ["_id", "_cls"], "left").mapInArrow(run, "_id long, _cls long, gone long, runs long, kept binary").dropDuplicates(["_id", "_cls"])
+    copy = F.coalesce(F.col("_id") > F.col("first"), F.lit(False)) & (F.col("n_bytes") >= LENGTH)
+    nothing = F.lit(hashlib.sha256(b"").digest())
+    return own.join(cut, ["_id", "_cls"], "left").select(
+        F.col("_id").cast(dict(docs.dtypes)[id_column]).alias(id_column), "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"),
         F.when(copy, F.lit(1)).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copy, F.lit(nothing)).otherwise(F.coalesce("kept", "digest")).alias("kept_sha256"),
+        F.lower(F.hex(F.when(copy, nothing).otherwise(F.coalesce("kept", "digest")))).alias("kept_sha256"),
     )
 
 
@@ -316,22 +335,19 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     A document of which nothing is left stays, with an empty text.
     """
-    own, spans = find_spans(docs, id_column, text_column)
-    whole = own.where(F.col("n_bytes") >= LENGTH).where("doc_id > first").select("doc_id", "cls", F.array(F.lit(0), F.col("n_bytes").cast("int")).alias("spans")).distinct()
-    spans = spans.unionByName(whole)
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    joined = docs.withColumn("_id", F.col(id_column).cast("long")).withColumn("_cls", F.xxhash64(text))
-    joined = joined.join(spans.select(F.col("doc_id").alias("_id"), F.col("cls").alias("_cls"), F.col("spans").alias("_spans")), ["_id", "_cls"], "left")
-
-    @F.pandas_udf("string")
-    def left_over(texts, spans):
-        import pandas as pd
+    keyed = with_keys(docs, id_column, text_column)
+    own, spans = find_spans(keyed, text_column)
+    names = docs.columns
+    whole = own.where(f"n_bytes >= {LENGTH} and _id > first").select("_id", "_cls", F.array(F.lit(0), F.col("n_bytes").cast("int")).alias("_spans")).distinct()
 
-        return pd.Series([t if s is None else cut_out(t.encode(), list(s))[0].decode(errors="ignore") for t, s in zip(texts, spans)], dtype=object)
-
-    cut = F.when(F.col("_spans").isNull(), F.col(text_column)).otherwise(left_over(F.coalesce(F.col(text_column), F.lit("")), "_spans"))
-    out = joined.withColumn(text_column, cut)
-    if size_column and size_column in docs.columns:
-        size = F.when(F.col("_spans").isNull(), F.col(size_column)).otherwise(F.length(text_column))
-        out = out.withColumn(size_column, size.cast(dict(docs.dtypes)[size_column]))
-    return out.select(*docs.columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_column):
+            texts, spans = batch.column(text_column).to_pylist(), batch.column("_spans").to_pylist()
+            left = [t if s is None else cut_out((t or "").encode(), s)[0].decode(errors="ignore") for t, s in zip(texts, spans)]
+            columns = {c: batch.column(c) for c in names} | {text_column: pa.array(left, batch.column(text_column).type)}
+            if size_column in columns:
+                sizes = [n if s is None else len(t) for n, t, s in zip(columns[size_column].to_pylist(), left, spans)]
+                columns[size_column] = pa.array(sizes, columns[size_column].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return keyed.join(spans.unionByName(whole), ["_id", "_cls"], "left").mapInArrow(run, docs.schema)
