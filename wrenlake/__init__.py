@@ -1,0 +1 @@
+"""Analytics over segmented recordings and their embedding vectors, as Spark DataFrame plans."""
