@@ -24,7 +24,7 @@ SOFT = "ex as (select *, exp(s - max(s) over (partition by vec_id, t)) as e from
 FEATURES = "feat as (select vec_id, k, sum(w) as hist, max(w) as mx, stddev_pop(w) as spread from w group by vec_id, k)"
 DOMINANT = "dom as (select vec_id, k from (select vec_id, k, row_number() over (partition by vec_id order by round(hist, 6) desc, k) as r from feat) where r = 1)"
 TABLE = "n as (select dom.k, e.label as species, count(*)::DOUBLE as n from dom join embeddings e on e.vec_id = dom.vec_id group by dom.k, e.label), ct as (select k, species, n, n / greatest(sum(n) over (partition by k), 1e-10) as p from n)"
-PURITY = "pq as (select k, s.species, coalesce(ct.p, 0) + 1e-10 as q from (select distinct k from ct) ks, (select distinct label as species from embeddings) s left join ct using (k, species)), pn as (select k, q / sum(q) over (partition by k) as q from pq), pur as (select pn.k, 1 + sum(q * ln(q)) / ln((select count(distinct label) from embeddings)) as purity from pn group by pn.k)"
+PURITY = "pq as (select ks.k, s.species, coalesce(ct.p, 0) + 1e-10 as q from (select distinct k from ct) ks cross join (select distinct label as species from embeddings) s left join ct on ct.k = ks.k and ct.species = s.species), pn as (select k, q / sum(q) over (partition by k) as q from pq), pur as (select pn.k, 1 + sum(q * ln(q)) / ln((select count(distinct label) from embeddings)) as purity from pn group by pn.k)"
 BASE = f"with {POOLED}, {CENTRES}, {PROTOS}, {FRAMES}, {SIM}, {SOFT}, {FEATURES}, {DOMINANT}, {TABLE} "
 
 
