@@ -7,10 +7,12 @@
 3. Each list of the index is sorted by size and cut into blocks where sizes stop matching: sets of
    different blocks can't link, so whole blocks are skipped.  The sets of a block form a group under
    its first set; lists with the same first set fall together.
-4. In a group, the overlaps of a set with all others are taken from those of the set before it:
+4. Profiles (counts of a set's shingles by hash cell) bound how much two sets differ.  Only sets with a
+   partner in their group that this bound allows go on; whole sets are fetched for those alone.
+5. In a group, the overlaps of a set with all others are taken from those of the set before it:
    only the shingles in which both differ are looked up.  Sets that a link has already joined aren't
    compared further, so a group gives a spanning forest, not its pairs.
-5. Links are joined to components.
+6. Links are joined to components.
 
 Groups over ``most_group`` sets are dealt out as pairs of slices, so that no task holds a whole one;
 every pair of sets still meets.
@@ -32,8 +34,9 @@ from pyspark.sql import functions as F
 from .common import bytes_of, int_lists, mix, shingles, slices, stash
 from .components import components
 
-SKETCH = 1 << 20  # counters of the sketch
+SKETCH = 1 << 21  # counters of the sketch
 PARTS = 64  # in which it is summed up
+CELLS = 128  # counters of a set's profile
 BLOOM = 1 << 25  # bits of the filter of sets that are asked for
 
 
@@ -88,28 +91,29 @@ def prefix_size(n: int, t: int) -> int:
     return n - -(-n * t // 100) + 1
 
 
-def index_lists(docs: DataFrame, reps: DataFrame, id_column: str, text_column: str, k: int, t: int, counts: np.ndarray) -> DataFrame:
-    """(shingle, id, n) for the prefix of each representative."""
+def prefixes(docs: DataFrame, reps: DataFrame, id_column: str, text_column: str, k: int, t: int, counts: np.ndarray) -> DataFrame:
+    """(id, prefix, profile, n) of each representative: its first shingles and the counts of all by hash cell."""
     floor = 4 * counts.mean()
-    rank = np.where(counts > floor, counts, 0).astype(np.uint64)
+    rank = np.where(counts > floor, counts, 0).astype(np.uint32)
     shared = docs.sparkSession.sparkContext.broadcast(rank)  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
         for batch in slices(batches, text_column):
-            sets = [shingles(x, k) for x in bytes_of(batch.column(text_column))]
-            first = []
-            for s in sets:
+            first, profile = [], []
+            for text in bytes_of(batch.column(text_column)):
+                s = shingles(text, k)
+                h = mix(s)
                 p = prefix_size(len(s), t) if len(s) else 0
+                profile.append(np.bincount((h >> np.uint64(57)).astype(np.int64), minlength=CELLS).astype("<u4").tobytes())
                 if p:
-                    h = mix(s)
                     common = order[(h % np.uint64(SKETCH)).astype(np.int64)]
                     s = s[np.lexsort((h, common))[:p]] if common.any() else s[np.argpartition(h, p - 1)[:p]]
                 first.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(id_column).cast(pa.int64()), int_lists(first, pa.int64())], names=["id", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(id_column).cast(pa.int64()), int_lists(first, pa.int64()), pa.array(profile, pa.binary())], names=["id", "prefix", "profile"])
 
-    prefixes = docs.select(id_column, text_column).mapInArrow(run, "id long, prefix array<long>").where(F.size("prefix") > 0)
-    return prefixes.join(reps, "id").select(F.explode("prefix").alias("shingle"), "id", "n")
+    found = docs.select(id_column, text_column).mapInArrow(run, "id long, prefix array<long>, profile binary").where(F.size("prefix") > 0)
+    return found.join(reps, "id")
 
 
 def groups(index: DataFrame, t: int) -> DataFrame:
@@ -160,6 +164,51 @@ def deal_out(grouped: DataFrame, most_group: int) -> DataFrame:
     return x.select("leader", "id", "own", other).select("leader", "id", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct()
 
 
+def possible(dealt: DataFrame, profiles: DataFrame, t: int) -> DataFrame:
+    """The rows of ``dealt`` whose set has a partner in its slices that profiles don't rule out.
+
+    Sets that link differ in at most (1 - t) / (1 + t) of the sum of their sizes; profiles differ no more than sets.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, own = None, [], []
+
+        def done() -> list[tuple]:
+            if len(ids) < 2:
+                return []
+            x = np.frombuffer(b"".join(own), "<u4").reshape(len(ids), CELLS).astype(np.int32)
+            n = x.sum(1)
+            order = np.argsort(n, kind="stable")
+            x, n = x[order], n[order]
+            ok = np.zeros(len(ids), bool)
+            for i in range(len(ids)):  # sorted by size: partners stand right after, up to a size
+                last = np.searchsorted(n, n[i] * 100 // t, side="right")
+                y = x[i + 1 : last]
+                near = (100 + t) * np.abs(y - x[i]).sum(1) <= (100 - t) * (n[i + 1 : last] + n[i])
+                if near.any():
+                    ok[i] = True
+                    ok[i + 1 : last] |= near
+            return [(*key, ids[j]) for j in order[ok].tolist()]
+
+        def out(found: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*found)) or [(), (), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=["leader", "a", "b", "id"])
+
+        for batch in batches:
+            found = []
+            for k, doc, profile in zip(zip(*(batch.column(c).to_pylist() for c in ("leader", "a", "b"))), batch.column("id").to_pylist(), batch.column("profile").to_pylist()):
+                if k != key:
+                    found += done()
+                    key, ids, own = k, [], []
+                ids.append(doc)
+                own.append(profile)
+            yield out(found)
+        yield out(done())
+
+    rows = dealt.join(profiles, "id").repartition("leader", "a", "b").sortWithinPartitions("leader", "a", "b")
+    return rows.mapInArrow(run, "leader long, a int, b int, id long")
+
+
 def fetch_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str, k: int) -> DataFrame:
     """(id, s): the shingle sets of wanted documents, found in place by a filter of fixed size; what it lets through besides is dropped by a join."""
 
@@ -189,7 +238,7 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column:
                 sets = [shingles(t, k).view(np.int64) for t in bytes_of(batch.column(text_column))]
                 yield pa.RecordBatch.from_arrays([batch.column(id_column).cast(pa.int64()), int_lists(sets, pa.int64())], names=["id", "s"])
 
-    return docs.select(id_column, text_column).mapInArrow(run, "id long, s array<long>").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    return docs.select(id_column, text_column).mapInArrow(run, "id long, s array<long>").join(wanted, "id", "left_semi")
 
 
 def forest(ids: list[int], sets: list[np.ndarray], t: int) -> list[tuple[int, int]]:
@@ -264,10 +313,13 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     """``id``, ``n_shingles`` and ``component_id``, the least id that links of ``percent`` or more reach."""
     own, counts = classes(docs, id_column, text_column, k)
     reps = own.where("id = rep").select("id", "n").distinct()
-    grouped = stash(groups(index_lists(docs, reps, id_column, text_column, k, percent, counts), percent), "jaccard-groups")
-    wanted = stash(grouped.select("id").distinct(), "jaccard-wanted")
+    first = stash(prefixes(docs, reps, id_column, text_column, k, percent, counts), "jaccard-prefixes")
+    lists = first.select(F.explode("prefix").alias("shingle"), "id", "n")
+    dealt = deal_out(groups(lists, percent), most_group)
+    dealt = stash(possible(dealt, first.select("id", "profile"), percent), "jaccard-groups")
+    wanted = stash(dealt.select("id").distinct(), "jaccard-wanted")
     sets = fetch_sets(docs, wanted, id_column, text_column, k)
-    found = components(find_links(deal_out(grouped, most_group), sets, percent))
+    found = components(find_links(dealt, sets, percent))
     out = own.join(found.select(F.col("a").alias("rep"), "b"), "rep", "left")
     return out.select(F.col("id").cast(dict(docs.dtypes)[id_column]).alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("b", "rep", "id").alias("component_id"))
 
