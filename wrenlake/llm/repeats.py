@@ -36,7 +36,7 @@ Q = 24
 REACH = LENGTH - Q  # bytes on either side of a q-gram that strings over it can reach
 WIDTH = Q + 2 * REACH
 CROWD = 32  # classes in one slice from which a q-gram's bucket is known to be shared
-CHUNK = 40_000  # suffixes that are refined together, if their buckets allow it
+CHUNK = 15_000  # suffixes that are refined together, if their buckets allow it
 
 
 def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +85,7 @@ def shared_buckets(texts: DataFrame, text_column: str, buckets: int) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_column, 8 << 20):
+        for batch in slices(batches, text_column, 4 << 20):
             hashes, owners = [], []
             done = set()
             for cls, text in zip(batch.column("_cls").to_pylist(), bytes_of(batch.column(text_column))):
@@ -158,7 +158,7 @@ def suffixes(keyed: DataFrame, text_column: str) -> DataFrame:
     kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices((b.filter(b.column("_hashes").is_valid()) for b in batches), text_column, 8 << 20):
+        for batch in slices((b.filter(b.column("_hashes").is_valid()) for b in batches), text_column, 4 << 20):
             least: dict[tuple, int] = {}
             rows = []
             for doc, cls, own, text in sorted(zip(batch.column("_id").to_pylist(), batch.column("_cls").to_pylist(), batch.column("_hashes").to_pylist(), bytes_of(batch.column(text_column))), key=lambda x: (x[0], x[1])):
@@ -176,8 +176,8 @@ def suffixes(keyed: DataFrame, text_column: str) -> DataFrame:
                         rows.append((*key, doc, cls, places, None))
                 if gone:
                     rows.append((None, None, doc, cls, None, gone))
-            for i in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[i : i + 20_000]), kinds)], names=names)
+            for i in range(0, len(rows), 5_000):
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[i : i + 5_000]), kinds)], names=names)
 
     return keyed.mapInArrow(run, "seg binary, left int, id long, cls long, places array<int>, spans array<int>")
 
@@ -297,7 +297,7 @@ def find_spans(keyed: DataFrame, text_column: str) -> tuple[DataFrame, DataFrame
     first = own.where("_id is not null").groupBy("digest").agg(F.min("_id").alias("first"))
     own = own.join(first, "digest", "left")
     total = own.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(64, int(total // 50_000_000))
+    buckets = max(64, int(total // 4_000_000))  # some 300,000 minimisers each
     texts = keyed.where("_id is not null").select("_cls", text_column)
     shared = shared_buckets(texts, text_column, buckets).groupBy("cls").agg(F.flatten(F.collect_list("hashes")).alias("_hashes"))
     reps = own.where(f"_id = first and n_bytes >= {LENGTH}").select("_id", "_cls").distinct()
