@@ -93,9 +93,7 @@ def prefix_size(n: int, t: int) -> int:
 
 def prefixes(docs: DataFrame, reps: DataFrame, id_column: str, text_column: str, k: int, t: int, counts: np.ndarray) -> DataFrame:
     """(id, prefix, profile, n) of each representative: its first shingles and the counts of all by hash cell."""
-    floor = 4 * counts.mean()
-    rank = np.where(counts > floor, counts, 0).astype(np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast(rank)  # of a fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(counts)  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
