@@ -27,7 +27,7 @@ from .common import CACHE_WORDS, WORD_HASHES, bytes_of, is_held_out, slices, sta
 
 #: The bound on labelled documents per class that the model is fitted on; above it, those with the least hash.
 MOST_LABELLED = 1_500
-SUPPORT = 0.04  # least share of unlike toxic documents that hold a word of the vocabulary
+SUPPORT = 0.02  # least share of unlike toxic documents that hold a word of the vocabulary
 ODDS = 3.0  # least log odds of a toxic word
 STEPS = 15
 RIDGE = 0.1  # against the sum over all tokens
