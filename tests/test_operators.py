@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wrenlake.functions import text as T
-from wrenlake.operators import labels, metrics, mixtures, motifs, segments
+from wrenlake.operators import labels, metrics, mixtures, motifs, neighbours, segments
 
 
 @pytest.mark.parametrize(
@@ -81,3 +81,16 @@ def test_mixture_finds_blobs():
 def test_box(spark):
     df = spark.createDataFrame([(-22.0, -62.0), (-9.99, -50.0), (None, -50.0)], "a double, b double")
     assert [r[0] for r in df.select(segments.in_box(F.col("a"), F.col("b"), (-22, -62, -10, -44))).collect()] == [True, False, False]
+
+
+@pytest.mark.parametrize("block", [7, 2048])
+def test_core_distances(spark, block):
+    x = np.random.default_rng(3).normal(size=(50, 5))
+    x[10:13] = x[9]  # copies
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "vec_id long, v array<double>").repartition(3)
+    for k in (3, 10):
+        got = {r.vec_id: r.dist for r in neighbours.core_distances(df, "vec_id", "v", k, block).collect()}
+        assert sorted(got) == list(range(50))
+        assert all(abs(got[i] - np.sort(d[i])[k]) < 1e-9 for i in range(50))
+    assert neighbours.core_distances(df.limit(3), "vec_id", "v", 10).count() == 0

@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from wrenlake import plans
@@ -32,3 +33,11 @@ def test_same_as_sql(spark, db, name):
     names = [x[0] for x in found.description]
     want = sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in found.fetchall()), key=repr)
     assert got == want
+
+
+def test_whole_core_distances(spark):
+    rows = plans.QUERIES["core_distance_all"](spark, FOLDER).collect()
+    table = spark.read.parquet(f"{FOLDER}/embeddings.parquet").toPandas()
+    x = np.stack(table.embedding.to_numpy()).astype(float)
+    d = dict(zip(table.vec_id, np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), axis=1)[:, 10]))
+    assert len(rows) == len(d) and all(abs(r.dist - d[r.vec_id]) < 2e-6 for r in rows)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import metrics as M
 from ..operators import mixtures as X
+from ..operators import neighbours as N
 from ..operators.labels import spread
 from ..sources import table
 from ..streaming import accept, append_new, run_all, stream_table
@@ -156,6 +157,12 @@ def core_distance(spark, d):
     return p.withColumn("r", F.row_number().over(Window.partitionBy("vec_id").orderBy("dist"))).where("r = 3").select("vec_id", "dist")
 
 
+@query()
+def core_distance_all(spark, d):
+    # the reference's min_samples, among all embeddings
+    return N.core_distances(table(spark, d, "embeddings"), "vec_id", "embedding", 10).withColumn("dist", F.round("dist", 6))
+
+
 @query()
 def species_gmm(spark, d):
     x = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
