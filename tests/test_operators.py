@@ -94,3 +94,15 @@ def test_core_distances(spark, block):
         assert sorted(got) == list(range(50))
         assert all(abs(got[i] - np.sort(d[i])[k]) < 1e-9 for i in range(50))
     assert neighbours.core_distances(df.limit(3), "vec_id", "v", 10).count() == 0
+
+
+def test_group_mixtures_use_all_rows(spark):
+    rng = np.random.default_rng(1)
+    rows = [(g, i, (rng.normal(((0, 0, 0), (3, 0, 1), (0, 3, 2))[i % 3], 0.1, 3)).tolist()) for g, n in (("a", 20_100), ("b", 90), (None, 60), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, id long, v array<double>").repartition(4)
+    got = mixtures.group_mixtures(df, "g", "id", "v").collect()
+    assert {r.g: r.n_samples for r in got} == {"a": 20_100, "b": 90, None: 60}
+    assert sorted(round(r.weight, 3) for r in got if r.g == "a") == [0.333] * 3
+    some = df.where("g is null or g <> 'a'")
+    one, many = (sorted((str(r.g), round(r.weight, 4), r.n_samples) for r in mixtures.group_mixtures(some, "g", "id", "v", one_task=m).collect()) for m in (20_000, 10))
+    assert one == many

@@ -1,53 +1,77 @@
-"""Per-group Gaussian mixtures chosen by BIC, on a bounded sample of each group."""
+"""Per-group Gaussian mixtures chosen by BIC, on all rows of each group."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labels import spread
+#: The most rows of a group that are fitted in one task; larger groups are fitted by sums over all partitions.
+ONE_TASK = 20_000
+STEPS = 200
+WAVE = 8  # large groups that are fitted side by side; bounds the size of their sums
+Mixture = tuple[np.ndarray, np.ndarray, np.ndarray]  # weights, means, covariances
+
+
+def expect(x: np.ndarray, mixture: Mixture) -> list[np.ndarray]:
+    """Log likelihood and, per component, the sums of shares, of differences to its mean and of their outer products."""
+    w, means, covs = mixture
+    n, d = x.shape
+    logs = np.empty((n, len(w)))
+    for j in range(len(w)):
+        low = np.linalg.cholesky(covs[j])
+        z = (x - means[j]) @ np.linalg.inv(low).T
+        logs[:, j] = np.log(w[j]) - 0.5 * (z**2).sum(1) - np.log(np.diag(low)).sum() - 0.5 * d * np.log(2 * np.pi)
+    top = logs.max(1)
+    norm = top + np.log(np.exp(logs - top[:, None]).sum(1))
+    r = np.exp(logs - norm[:, None])
+    outer = np.stack([(r[:, j, None] * (x - means[j])).T @ (x - means[j]) for j in range(len(w))])
+    return [norm.sum(), r.sum(0), r.T @ x - r.sum(0)[:, None] * means, outer]
+
 
-#: The most rows of a group that a mixture is fitted on.
-MOST_ROWS = 20_000
+def maximise(sums: list[np.ndarray], n: int, mixture: Mixture) -> Mixture:
+    nk = sums[1] + 1e-10
+    move = sums[2] / nk[:, None]
+    covs = sums[3] / nk[:, None, None] - move[:, :, None] * move[:, None, :] + 1e-6 * np.eye(move.shape[1])
+    return nk / n, mixture[1] + move, covs
 
 
-def log_density(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
-    low = np.linalg.cholesky(cov)
-    z = np.linalg.solve(low, (x - mean).T)
-    return -0.5 * (z**2).sum(0) - np.log(np.diag(low)).sum() - 0.5 * len(mean) * np.log(2 * np.pi)
+def converged(total: float, last: float, n: int) -> bool:
+    return total - last < 1e-3 * n * 1e-1
 
 
-def fit_mixture(x: np.ndarray, k: int, steps: int = 100, seed: int = 42) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+def fit_mixture(x: np.ndarray, k: int, steps: int = STEPS, seed: int = 42) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     """Log likelihood, weights, means and covariances by expectation and maximisation."""
     rng = np.random.default_rng(seed)
     n, d = x.shape
     means = x[rng.choice(n, 1)]
     while len(means) < k:  # far points are likelier starts
-        far = ((x[:, None] - means[None]) ** 2).sum(2).min(1)
+        far = np.min([((x - m) ** 2).sum(1) for m in means], axis=0)
         means = np.vstack([means, x[rng.choice(n, p=far / far.sum())]])
-    covs = np.repeat((np.cov(x.T).reshape(d, d) + 1e-6 * np.eye(d))[None], k, 0)
-    w, last = np.full(k, 1 / k), -np.inf
+    mixture = np.full(k, 1 / k), means, np.repeat((np.cov(x.T).reshape(d, d) + 1e-6 * np.eye(d))[None], k, 0)
+    last = -np.inf
     for _ in range(steps):
-        logs = np.column_stack([np.log(w[j]) + log_density(x, means[j], covs[j]) for j in range(k)])
-        top = logs.max(1)
-        norm = top + np.log(np.exp(logs - top[:, None]).sum(1))
-        r = np.exp(logs - norm[:, None])
-        total = float(norm.sum())
-        if total - last < 1e-3 * n * 1e-1:
+        sums = expect(x, mixture)
+        total = float(sums[0])
+        if converged(total, last, n):
             break
         last = total
-        nk = r.sum(0) + 1e-10
-        w, means = nk / n, (r.T @ x) / nk[:, None]
-        covs = np.stack([((r[:, j, None] * (x - means[j])).T @ (x - means[j])) / nk[j] + 1e-6 * np.eye(d) for j in range(k)])
-    return total, w, means, covs
+        mixture = maximise(sums, n, mixture)
+    return total, *mixture
 
 
 def most_components(n: int) -> int:
     return max(1, min(10, n // 20))
 
 
+def criterion(total: float, k: int, d: int, n: int) -> float:
+    return -2 * total + (k * d * (d + 1) / 2 + k * d + k - 1) * np.log(n)
+
+
 def choose_mixture(x: np.ndarray, most_dims: int = 64):
     """Reduce by PCA and take the number of components with the least BIC; None for fewer than two rows or dimensions."""
     n = len(x)
@@ -62,16 +86,128 @@ def choose_mixture(x: np.ndarray, most_dims: int = 64):
             total, w, means, covs = fit_mixture(z, k)
         except np.linalg.LinAlgError:
             break
-        bic = -2 * total + (k * d * (d + 1) / 2 + k * d + k - 1) * np.log(n)
+        bic = criterion(total, k, d, n)
         if best is None or bic < best[0]:
             best = (bic, w, means, covs)
     return best
 
 
-def group_mixtures(rows: DataFrame, group: str, key: str, vector: str, most_dims: int = 64, most_rows: int = MOST_ROWS) -> DataFrame:
-    """(group, comp, weight, mean, cov, n_samples): one row per component; groups too small have none."""
+def per_group(rows: DataFrame, f: Callable[[object, np.ndarray, np.ndarray], np.ndarray], least: bool = False) -> dict:
+    """Per group the sum of ``f(group, vectors, hashes)`` over all rows, or the array with the least first value.
+
+    Each task adds up its own rows first; one small shuffle adds up the tasks.  ``rows``: g, v, h.
+    """
+
+    def merge(parts: list[np.ndarray]) -> np.ndarray:
+        return min(parts, key=lambda p: p[0]) if least else np.sum(parts, axis=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for batch in batches:
+            own = batch.to_pandas()
+            for g, part in own.groupby("g", dropna=False):
+                g = None if pd.isna(g) else g
+                found = f(g, np.stack(part.v.to_numpy()).astype(float), part.h.to_numpy().astype(np.uint64))
+                total[g] = found if g not in total else merge([total[g], found])
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), batch.schema.field("g").type), pa.array([p.tobytes() for p in total.values()], pa.binary())], names=["g", "p"])
+
+    def add(own: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"g": own.g.iloc[:1], "p": [merge([np.frombuffer(p) for p in own.p]).tobytes()]})
+
+    schema = f"g {dict(rows.dtypes)['g']}, p binary"
+    return {r.g: np.frombuffer(r.p) for r in rows.mapInArrow(run, schema).groupBy("g").applyInPandas(add, schema).collect()}
+
+
+def uniform(h: np.ndarray, draw: int) -> np.ndarray:
+    """A number in (0, 1) for each hash, another one for every draw."""
+    x = h + np.uint64(0x9E3779B97F4A7C15) * np.uint64(draw + 1)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53 + 2**-54
+
+
+def fit_large(rows: DataFrame, sizes: dict, most_dims: int) -> dict:
+    """The chosen mixture of each group, as by ``choose_mixture``, with every sum taken over all partitions."""
+    centre = {g: s / sizes[g] for g, s in per_group(rows, lambda g, x, h: x.sum(0)).items()}
+    spread = per_group(rows, lambda g, x, h: ((x - centre[g]).T @ (x - centre[g])).ravel())
+    axes, values = {}, {}
+    for g, s in spread.items():
+        n, width = sizes[g], len(centre[g])
+        value, vector = np.linalg.eigh(s.reshape(width, width) / (n - 1))
+        d = min(most_dims, n - 1, width)
+        if d >= 2:
+            axes[g], values[g] = vector[:, ::-1][:, :d], np.maximum(value[::-1][:d], 0)
+    rows = rows.where(F.coalesce(F.col("g").isin([g for g in axes if g is not None]), F.lit(None in axes)))
+    starts = {g: np.empty((0, a.shape[1])) for g, a in axes.items()}
+
+    def draw(g, x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        # the least of exponential times over weights is a draw by weight
+        z = (x - centre[g]) @ axes[g]
+        far = np.min([((z - m) ** 2).sum(1) for m in starts[g]], axis=0) if len(starts[g]) else np.ones(len(z))
+        with np.errstate(divide="ignore"):
+            time = -np.log(uniform(h, len(starts[g]))) / far
+        i = int(time.argmin())
+        return np.concatenate([time[i : i + 1], z[i]])
+
+    for _ in range(max((most_components(sizes[g]) for g in axes), default=0)):
+        for g, p in per_group(rows, draw, least=True).items():
+            starts[g] = np.vstack([starts[g], p[1:]])
+    now = {}
+    for g in axes:
+        cov = np.diag(values[g]) + 1e-6 * np.eye(len(values[g]))
+        now[g] = {k: (np.full(k, 1 / k), starts[g][:k], np.repeat(cov[None], k, 0)) for k in range(1, most_components(sizes[g]) + 1)}
+    last = {g: dict.fromkeys(m, -np.inf) for g, m in now.items()}
+    done: dict = {g: {} for g in axes}
+
+    def step(g, x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        z = (x - centre[g]) @ axes[g]
+        return np.concatenate([np.ravel(s) for m in now[g].values() for s in expect(z, m)])
+
+    for turn in range(STEPS):
+        live = [g for g in now if now[g]]
+        if not live:
+            break
+        some = rows.where(F.coalesce(F.col("g").isin([g for g in live if g is not None]), F.lit(None in live)))
+        for g, flat in per_group(some, step).items():
+            d, at = axes[g].shape[1], 0
+            for k, mixture in list(now[g].items()):
+                cuts = np.cumsum([1, k, k * d, k * d * d])
+                parts = np.split(flat[at : at + cuts[-1]], cuts[:-1])
+                at += cuts[-1]
+                sums = [parts[0][0], parts[1], parts[2].reshape(k, d), parts[3].reshape(k, d, d)]
+                total = float(sums[0])
+                if k not in now[g]:
+                    continue
+                if converged(total, last[g][k], sizes[g]):
+                    done[g][k] = (total, *mixture)
+                    del now[g][k]
+                    continue
+                last[g][k] = total
+                now[g][k] = maximise(sums, sizes[g], mixture)
+                try:
+                    np.linalg.cholesky(now[g][k][2])
+                except np.linalg.LinAlgError:  # neither this number of components nor a larger one
+                    now[g] = {q: m for q, m in now[g].items() if q < k}
+                    done[g] = {q: m for q, m in done[g].items() if q < k}
+                    continue
+                if turn == STEPS - 1:
+                    done[g][k] = (total, *now[g][k])
+    best = {}
+    for g, found in done.items():
+        if found:
+            k = min(found, key=lambda q: (criterion(found[q][0], q, axes[g].shape[1], sizes[g]), q))
+            best[g] = found[k][1:]
+    return best
+
+
+def group_mixtures(rows: DataFrame, group: str, key: str, vector: str, most_dims: int = 64, one_task: int = ONE_TASK) -> DataFrame:
+    """(group, comp, weight, mean, cov, n_samples): one row per component, fitted on all rows; groups too small have none."""
     kind = dict(rows.dtypes)[group]
-    picked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(spread(key), key))).where(F.col("_r") <= most_rows)
+    rows = rows.where(F.col(vector).isNotNull())
+    schema = f"{group} {kind}, comp int, weight double, mean array<double>, cov array<double>, n_samples long"
+    large = {r[0]: r.n for r in rows.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") > one_task).collect()}
+    is_large = F.coalesce(F.col(group).isin([g for g in large if g is not None]), F.lit(None in large))
 
     def fit(own: pd.DataFrame) -> pd.DataFrame:
         best = choose_mixture(np.stack(own[vector].to_numpy()).astype(float), most_dims)
@@ -80,4 +216,14 @@ def group_mixtures(rows: DataFrame, group: str, key: str, vector: str, most_dims
         _, w, means, covs = best
         return pd.DataFrame([(own[group].iloc[0], j, w[j], means[j], covs[j].ravel(), len(own)) for j in range(len(w))], columns=[group, "comp", "weight", "mean", "cov", "n_samples"])
 
-    return picked.select(group, vector).groupBy(group).applyInPandas(fit, f"{group} {kind}, comp int, weight double, mean array<double>, cov array<double>, n_samples long")
+    out = rows.where(~is_large).select(group, vector).groupBy(group).applyInPandas(fit, schema)
+    names = list(large)
+    for at in range(0, len(names), WAVE):
+        wave = names[at : at + WAVE]
+        own = F.coalesce(F.col(group).isin([g for g in wave if g is not None]), F.lit(None in wave))
+        picked = rows.where(own).select(F.col(group).alias("g"), F.col(vector).alias("v"), F.xxhash64(key).alias("h")).persist()
+        fitted = fit_large(picked, {g: large[g] for g in wave}, most_dims)
+        picked.unpersist()
+        found = [(g, j, float(w[j]), means[j].tolist(), covs[j].ravel().tolist(), large[g]) for g, (w, means, covs) in fitted.items() for j in range(len(w))]
+        out = out.unionByName(rows.sparkSession.createDataFrame(found, schema))
+    return out

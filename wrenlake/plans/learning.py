@@ -166,7 +166,7 @@ def core_distance_all(spark, d):
 @query()
 def species_gmm(spark, d):
     x = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    return X.group_mixtures(x, "label", "vec_id", "embedding", 8).select("label", "comp", "weight", "n_samples")
+    return X.group_mixtures(x, "label", "vec_id", "embedding").select("label", "comp", "weight", "n_samples")
 
 
 @query()
