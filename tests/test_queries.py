@@ -41,3 +41,20 @@ def test_whole_core_distances(spark):
     x = np.stack(table.embedding.to_numpy()).astype(float)
     d = dict(zip(table.vec_id, np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), axis=1)[:, 10]))
     assert len(rows) == len(d) and all(abs(r.dist - d[r.vec_id]) < 2e-6 for r in rows)
+
+
+@pytest.mark.parametrize(("name", "width"), [("mixup_all", 64), ("subcluster_match_all", None)])
+def test_whole_vectors_same_as_sql(spark, db, name, width):
+    df = plans.QUERIES[name](spark, FOLDER)
+    got = {tuple(r)[:2]: r[2] for r in df.collect()}
+    want = {r[:2]: r[2] for r in db.execute(plans.SQL[name]).fetchall()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    table = spark.read.parquet(f"{FOLDER}/embeddings.parquet").toPandas()
+    x, y = np.stack(table.embedding.to_numpy()).astype(float), table.label.to_numpy()
+    if width:
+        assert {i for _, i in got} == set(range(width)) and len(got) == width * len(x)
+    else:
+        for g in set(y):
+            mean, var = x[y == g].mean(0), x[y == g].var(0) + 1e-3
+            own = -0.5 * (np.log(2 * np.pi * var) + (x - mean) ** 2 / var).sum(1)
+            assert all(abs(got[v, g] - q) < 1e-5 for v, q in zip(table.vec_id, own))

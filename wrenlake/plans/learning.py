@@ -88,7 +88,15 @@ def loss_distill(spark, d):
 
 @query("with o as (select vec_id, embedding as e, row_number() over (order by md5(vec_id::VARCHAR || ':7'), vec_id) - 1 as r, count(*) over () as n from embeddings) select a.vec_id, i::INTEGER as i, round(0.7 * a.e[i + 1]::DOUBLE + 0.3 * b.e[i + 1]::DOUBLE, 6) as x from o a join o b on b.r = (a.r + 1) % a.n, (select unnest(range(0, 4)) as i)")
 def mixup(spark, d):
-    x = table(spark, d, "embeddings").select("vec_id", F.slice(V.doubles(F.col("embedding")), 1, 4).alias("e"))
+    return blend(table(spark, d, "embeddings").select("vec_id", F.slice(V.doubles(F.col("embedding")), 1, 4).alias("e")))
+
+
+@query("with o as (select vec_id, embedding as e, row_number() over (order by md5(vec_id::VARCHAR || ':7'), vec_id) - 1 as r, count(*) over () as n from embeddings) select a.vec_id, i::INTEGER as i, round(0.7 * a.e[i + 1]::DOUBLE + 0.3 * b.e[i + 1]::DOUBLE, 6) as x from o a join o b on b.r = (a.r + 1) % a.n, (select unnest(range(0, 64)) as i)")
+def mixup_all(spark, d):
+    return blend(table(spark, d, "embeddings").select("vec_id", V.doubles(F.col("embedding")).alias("e")))
+
+
+def blend(x):
     # neighbours in shuffled order; ranks come from counts per leading digits, as for folds
     x = x.withColumn("o", spread("vec_id", seed=7)).withColumn("b", F.substring("o", 1, 2))
     size = x.groupBy("b").agg(F.count("*").alias("c"))
@@ -148,6 +156,20 @@ def subcluster_match(spark, d):
     return each.groupBy("vec_id", F.col("label").alias("species")).agg(F.round(-0.5 * F.sum(term), 6).alias("ll"))
 
 
+MOMENTS_ALL = "mo as (select label as species, i, avg(x) as mu, var_pop(x) + 1e-3::DOUBLE as va from (select label, i, embedding[i]::DOUBLE as x from embeddings, (select unnest(range(1, 65)) as i)) group by label, i)"
+
+
+@query(f"with {MOMENTS_ALL} select vec_id, species, round(ll, 6) as ll from (select e.vec_id, species, -0.5 * sum(ln(2 * pi() * va) + (embedding[i]::DOUBLE - mu) * (embedding[i]::DOUBLE - mu) / va) as ll from embeddings e, mo group by e.vec_id, species)")
+def subcluster_match_all(spark, d):
+    # one Gaussian per species on all dimensions; each vector meets the few models, one row per species
+    x = table(spark, d, "embeddings").select("vec_id", "label", V.doubles(F.col("embedding")).alias("v"))
+    mo = x.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("mu"), (F.var_pop("x") + 1e-3).alias("va"))
+    mo = mo.groupBy(F.col("label").alias("species")).agg(F.sort_array(F.collect_list(F.struct("i", "mu", "va"))).alias("m"))
+    each = x.select("vec_id", "v").crossJoin(F.broadcast(mo))
+    terms = F.zip_with("v", "m", lambda x, m: F.log(2 * F.pi() * m["va"]) + (x - m["mu"]) * (x - m["mu"]) / m["va"])
+    return each.select("vec_id", "species", F.round(-0.5 * F.aggregate(terms, F.lit(0.0), lambda s, t: s + t), 6).alias("ll"))
+
+
 @query("with v as (select vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) as v from embeddings where vec_id % 10 = 0), p as (select a.vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))), 6) as dist from v a join v b on a.label = b.label and a.vec_id <> b.vec_id) select vec_id, dist from (select vec_id, dist, row_number() over (partition by vec_id order by dist) as r from p) where r = 3")
 def core_distance(spark, d):
     # the clustering sample is the operator's input by definition: core distances are taken within it
