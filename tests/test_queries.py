@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from wrenlake import plans
+from wrenlake.plans import relational
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -58,3 +59,21 @@ def test_whole_vectors_same_as_sql(spark, db, name, width):
             mean, var = x[y == g].mean(0), x[y == g].var(0) + 1e-3
             own = -0.5 * (np.log(2 * np.pi * var) + (x - mean) ** 2 / var).sum(1)
             assert all(abs(got[v, g] - q) < 1e-5 for v, q in zip(table.vec_id, own))
+
+
+@pytest.mark.parametrize("name", ["taxonomy_lookup", "taxonomy_lookup_all", "coalesce_lookup", "coalesce_lookup_all"])
+def test_lookups_same_as_sql(spark, db, name):
+    rows = [tuple(r) for r in plans.QUERIES[name](spark, FOLDER).collect()]
+    assert sorted(rows) == sorted(db.execute(plans.SQL[name]).fetchall())
+    if name == "taxonomy_lookup_all":
+        assert all(r[2] == "strong_primary" for r in rows)
+
+
+def test_lookup_misses(spark):
+    nation = spark.createDataFrame([(1, "A", 7), (24, "B", 8)], "n_nationkey int, n_name string, n_regionkey int")
+    region = spark.createDataFrame([(7, "R")], "r_regionkey int, r_name string")
+    customer = spark.createDataFrame([(1, 24), (2, 25), (3, None)], "c_custkey int, c_nationkey int")
+    supplier = spark.createDataFrame([(1, 1), (2, 24), (3, 25)], "s_suppkey int, s_nationkey int")
+    got = sorted(tuple(r) for r in relational.taxonomy(customer, nation).collect())
+    assert got == [(1, "B", "strong_primary"), (2, "", "unlabeled"), (3, "", "unlabeled")]
+    assert sorted(tuple(r) for r in relational.first_name(supplier, nation, region).collect()) == [(1, "R"), (2, "B"), (3, "25")]

@@ -143,8 +143,17 @@ def label_join(spark, d):
 
 @query("select c_custkey, coalesce(n_name, '') as species, case when n_name is null then 'unlabeled' else 'strong_primary' end as label_quality from customer left join nation on lower(trim(upper(n_nationkey::VARCHAR))) = c_nationkey::VARCHAR and n_nationkey < 20")
 def taxonomy_lookup(spark, d):
-    tax = table(spark, d, "nation").where("n_nationkey < 20").select(F.lower(F.trim(F.col("n_nationkey").cast("string"))).alias("key"), "n_name")
-    x = table(spark, d, "customer").join(tax, F.lower(F.trim(F.col("c_nationkey").cast("string"))) == F.col("key"), "left")
+    return taxonomy(table(spark, d, "customer"), table(spark, d, "nation").where("n_nationkey < 20"))
+
+
+@query("select c_custkey, coalesce(n_name, '') as species, case when n_name is null then 'unlabeled' else 'strong_primary' end as label_quality from customer left join nation on lower(trim(upper(n_nationkey::VARCHAR))) = c_nationkey::VARCHAR")
+def taxonomy_lookup_all(spark, d):
+    return taxonomy(table(spark, d, "customer"), table(spark, d, "nation"))
+
+
+def taxonomy(customer, nation):
+    tax = nation.select(F.lower(F.trim(F.col("n_nationkey").cast("string"))).alias("key"), "n_name")
+    x = customer.join(tax, F.lower(F.trim(F.col("c_nationkey").cast("string"))) == F.col("key"), "left")
     return x.select("c_custkey", F.coalesce("n_name", F.lit("")).alias("species"), F.when(F.col("n_name").isNull(), "unlabeled").otherwise("strong_primary").alias("label_quality"))
 
 
@@ -156,8 +165,17 @@ def star_join(spark, d):
 
 @query("select s_suppkey, coalesce(r_name, n_name, s_nationkey::VARCHAR) as name from supplier left join nation on n_nationkey = s_nationkey left join region on r_regionkey = n_regionkey and r_regionkey > 1")
 def coalesce_lookup(spark, d):
-    x = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    x = x.join(table(spark, d, "region").where("r_regionkey > 1"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return first_name(table(spark, d, "supplier"), table(spark, d, "nation"), table(spark, d, "region").where("r_regionkey > 1"))
+
+
+@query("select s_suppkey, coalesce(r_name, n_name, s_nationkey::VARCHAR) as name from supplier left join nation on n_nationkey = s_nationkey left join region on r_regionkey = n_regionkey")
+def coalesce_lookup_all(spark, d):
+    return first_name(table(spark, d, "supplier"), table(spark, d, "nation"), table(spark, d, "region"))
+
+
+def first_name(supplier, nation, region):
+    x = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    x = x.join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return x.select("s_suppkey", F.coalesce("r_name", "n_name", F.col("s_nationkey").cast("string")).alias("name"))
 
 
