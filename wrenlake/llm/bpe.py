@@ -156,7 +156,7 @@ def replay(words: list[bytes], book: Ranks) -> tuple[np.ndarray, np.ndarray]:
 class Encoder:
     """Encodes texts; keeps each distinct piece with its ids as text."""
 
-    most = 900_000
+    most = 150_000  # some 30 MB
 
     def __init__(self, path: str, pattern: str):
         self.book = ranks(path, pattern)

@@ -1,7 +1,7 @@
 """Connected components of a graph of links, by alternating large and small stars.
 
-Each round is two self-joins on the links; no adjacency list is gathered, and each round's links are
-stored.  Rounds end when neither star changes the links.
+Each round is two self-joins on the links, in which nodes of many links stay where they are; no adjacency list is
+gathered, and each star's links are stored.  Rounds end when neither star changes the links.
 """
 
 from __future__ import annotations
@@ -9,21 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import join_hot, stash
 
 
 def large_star(links: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the node's least neighbour (or itself)."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return join_hot(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def small_star(links: DataFrame) -> DataFrame:
     """Link every smaller neighbour of a node, and the node, to its least neighbour; here every link goes from larger to smaller."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    moved = join_hot(down, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -39,7 +39,7 @@ def components(links: DataFrame) -> DataFrame:
     links = stash(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = fingerprint(links)
     while True:
-        links = stash(small_star(large_star(links)), "links")
+        links = stash(small_star(stash(large_star(links), "links")), "links")
         now = fingerprint(links)
         if now == before:
             return links

@@ -3,10 +3,13 @@
 1. Equal sets form a class; its least id stands for it.
 2. An index from shingle to sets holds each representative's prefix, the ``(1 - t)`` part of its
    shingles in a common order in which shingles that many documents share come last (counts over
-   all documents, in a sketch of fixed size).  Two sets that link share a prefix shingle.
-3. Each list of the index is sorted by size and cut into blocks where sizes stop matching: sets of
-   different blocks can't link, so whole blocks are skipped.  The sets of a block form a group under
-   its first set; lists with the same first set fall together.
+   all documents, in a sketch), with each shingle's position in that order.  Two sets that link share a prefix
+   shingle.
+3. Size and position bound which sizes an entry's partners can have: all it can still share is what comes from its
+   position on.  Each list of the index is sorted by size and read in windows of two neighbouring size classes (partners
+   are never further apart).  It is cut where no earlier entry reaches the next size, and entries whose own bound no
+   earlier block reaches are skipped.  The sets of a block form a group under its first set; lists with the same first
+   set fall together.
 4. Profiles (counts of a set's shingles by hash cell) bound how much two sets differ.  Only sets with a
    partner in their group that this bound allows go on; whole sets are fetched for those alone.
 5. In a group, the overlaps of a set with all others are taken from those of the set before it:
@@ -17,8 +20,9 @@
 Groups over ``most_group`` sets are dealt out as pairs of slices, so that no task holds a whole one;
 every pair of sets still meets.
 
-Defined results: null or empty text has no shingles, links with nothing and is its own component;
-a null id is one document with the id null and no links; repeated ids are the same document.
+Defined results: ids must cast to long; null or empty text has no shingles, links with nothing and is its own
+component; a null id is one document with the id null and no links; repeated ids are the same document; other columns
+are dropped, or kept by ``one_of_each``, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,13 +35,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, int_lists, mix, shingles, slices, stash
+from .common import bytes_of, int_lists, join_hot, mix, shingle_sets, slices, stash
 from .components import components
 
-SKETCH = 1 << 21  # counters of the sketch
-PARTS = 64  # in which it is summed up
+PART = 1 << 15  # counters of the sketch that are summed together
+LEAST_PARTS, MOST_PARTS = 4, 256  # so many such parts, by the size of the corpus; 2^23 counters at most
 CELLS = 128  # counters of a set's profile
-BLOOM = 1 << 25  # bits of the filter of sets that are asked for
+BITS_EACH = 16  # of the filter of sets that are asked for, by their number,
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 29  # within these bounds
+
+
+def power_of_two(x: float, least: int, most: int) -> int:
+    out = least
+    while out < min(x, most):
+        out *= 2
+    return out
 
 
 def classes(docs: DataFrame, id_column: str, text_column: str, k: int) -> tuple[DataFrame, np.ndarray]:
@@ -46,38 +58,44 @@ def classes(docs: DataFrame, id_column: str, text_column: str, k: int) -> tuple[
     Both come from one pass; counters are summed per task, in parts, before they are shuffled.
     """
     schema = "id long, n long, sig binary, part int, counts binary"
+    size = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
+    parts = power_of_two(size / 64 / PART, LEAST_PARTS, MOST_PARTS)
+    sketch_size = parts * PART
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SKETCH, np.int64)
+        sketch = np.zeros(sketch_size, np.int64)
         names = ["id", "n", "sig", "part", "counts"]
         for batch in slices(batches, text_column):
-            sets = [shingles(t, k) for t in bytes_of(batch.column(text_column))]
+            sets = shingle_sets(bytes_of(batch.column(text_column)), k)
             if sets:
-                np.add.at(sketch, (mix(np.concatenate(sets)) % np.uint64(SKETCH)).astype(np.int64), 1)
+                np.add.at(sketch, (mix(np.concatenate(sets)) % np.uint64(sketch_size)).astype(np.int64), 1)
             m = len(sets)
             sig = [signature(s) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(id_column).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
-        own = [zlib.compress(x.tobytes(), 1) for x in sketch.reshape(PARTS, -1)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(own, pa.binary())], names=names)
+        full = [i for i, x in enumerate(sketch.reshape(parts, -1)) if x.any()]
+        own = [zlib.compress(sketch[i * PART : (i + 1) * PART].tobytes(), 1) for i in full]
+        m = len(full)
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(full, pa.int32()), pa.array(own, pa.binary())], names=names)
 
     both = stash(docs.select(id_column, text_column).mapInArrow(run, schema), "jaccard-sets")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
-                x = np.frombuffer(zlib.decompress(counts), np.int64)
+            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts")):
+                x = np.frombuffer(zlib.decompress(counts.as_buffer()), np.int64)
                 total[part] = total[part] + x if part in total else x
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(np.minimum(x, (1 << 31) - 1).astype(np.int32).tobytes(), 1) for x in total.values()], pa.binary())], names=["part", "counts"])
 
-    rows = both.where("part is not null").select("part", "counts").repartition("part").mapInArrow(add, "part int, counts binary").collect()  # of a fixed size
-    counts = np.zeros((PARTS, SKETCH // PARTS), np.int32)
+    rows = both.where("part is not null").select("part", "counts").repartition("part").mapInArrow(add, "part int, counts binary").collect()  # 32 MB at most
+    counts = np.zeros((parts, PART), np.int32)
     for r in rows:
         counts[r.part] = np.frombuffer(zlib.decompress(r.counts), np.int32)
     sets = both.where("part is null").select("id", "n", "sig")
-    own = sets.where("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep"))
     # sets without shingles have no signature, so they have no class either
-    return stash(sets.join(own, "sig", "left").select("id", "n", "rep"), "jaccard-classes"), counts.ravel()
+    own = sets.where("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
+    rep = F.coalesce("least", F.when(F.col("n") > 0, F.col("id")))
+    return stash(join_hot(sets, own, "sig").select("id", "n", F.when(F.col("id").isNotNull(), rep).alias("rep")), "jaccard-classes"), counts.ravel()
 
 
 def signature(s: np.ndarray) -> bytes | None:
@@ -92,72 +110,113 @@ def prefix_size(n: int, t: int) -> int:
 
 
 def prefixes(docs: DataFrame, reps: DataFrame, id_column: str, text_column: str, k: int, t: int, counts: np.ndarray) -> DataFrame:
-    """(id, prefix, profile, n) of each representative: its first shingles and the counts of all by hash cell."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # of a fixed size
+    """(id, prefix, profile, n) of each representative: its first shingles in order, and the counts of all by hash cell."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)  # 32 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
         for batch in slices(batches, text_column):
             first, profile = [], []
-            for text in bytes_of(batch.column(text_column)):
-                s = shingles(text, k)
-                h = mix(s)
+            sets = shingle_sets(bytes_of(batch.column(text_column)), k)
+            every = mix(np.concatenate(sets)) if sets else np.empty(0, np.uint64)
+            held = order[(every % np.uint64(len(order))).astype(np.int64)]
+            cell = (every >> np.uint64(57)).astype(np.int64)
+            at = 0
+            for s in sets:
+                own = slice(at, at + len(s))
+                at += len(s)
+                profile.append(np.bincount(cell[own], minlength=CELLS).astype("<u4").tobytes())
                 p = prefix_size(len(s), t) if len(s) else 0
-                profile.append(np.bincount((h >> np.uint64(57)).astype(np.int64), minlength=CELLS).astype("<u4").tobytes())
-                if p:
-                    common = order[(h % np.uint64(SKETCH)).astype(np.int64)]
-                    s = s[np.lexsort((h, common))[:p]] if common.any() else s[np.argpartition(h, p - 1)[:p]]
-                first.append(s.view(np.int64))
+                first.append(s[np.lexsort((every[own], held[own]))[:p]].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(id_column).cast(pa.int64()), int_lists(first, pa.int64()), pa.array(profile, pa.binary())], names=["id", "prefix", "profile"])
 
     found = docs.select(id_column, text_column).mapInArrow(run, "id long, prefix array<long>, profile binary").where(F.size("prefix") > 0)
     return found.join(reps, "id")
 
 
+def size_classes(t: int, most: int = 1 << 40) -> np.ndarray:
+    """Least sizes of classes such that sets that link are in one class or in neighbouring ones."""
+    out = [1]
+    while out[-1] < most:
+        out.append(100 * out[-1] // t + 1)
+    return np.array(out, np.int64)
+
+
+def group_lists(s: np.ndarray, w: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leader of each entry's block (or -1 for the first and for skipped ones), reach of the blocks so far, and whether it opens a block.
+
+    Entries are sorted by list ``s``, window ``w`` and size ``n``; partners' sizes are from ``low`` to ``high``.
+    """
+    m = len(s)
+    head = np.concatenate([[True], (s[1:] != s[:-1]) | (w[1:] != w[:-1])])[:m]
+    seg = np.cumsum(head)
+    wide = np.int64(1) << 41
+    reach = np.maximum.accumulate(high + seg * wide) - seg * wide  # the greatest so far within the window
+    opens = head.copy()
+    opens[1:] |= reach[:-1] < n[1:]
+    at = np.maximum.accumulate(np.where(opens, np.arange(m), 0))
+    # a late position only allows smaller partners: skipped if none of those that it allows reaches this size
+    key = seg * wide + n
+    before = np.searchsorted(key, seg * wide + np.minimum(high, n), side="right") - 1
+    before = np.where(high < n, before, np.arange(m) - 1)
+    known = before >= at
+    fits = known & (reach[np.maximum(before, 0)] >= n)
+    return np.where(~opens & fits, i[at], -1), reach, opens
+
+
 def groups(index: DataFrame, t: int) -> DataFrame:
-    """(leader, id) for each block of two sets or more: lists sorted by size, cut where ``t`` percent of a size exceeds the one before."""
+    """(leader, id) for each block of two sets or more of ``index`` (shingle, pos, id, n); the leader itself isn't listed.
+
+    Lists are read once, in order of size; of each window only its leader and reach are held from batch to batch.
+    """
+    least = size_classes(t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # last row: shingle, size, id, leader, whether the leader is out
+        held = [np.empty(0, np.int64) for _ in range(6)]  # open windows: list, window, size, bounds, leader
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            s, n, i = (batch.column(c).to_numpy() for c in ("shingle", "n", "id"))
-            if held:
-                s, n, i = np.concatenate([[held[0]], s]), np.concatenate([[held[1]], n]), np.concatenate([[held[2]], i])
-            cut = np.concatenate([[True], (s[1:] != s[:-1]) | (100 * n[:-1] < t * n[1:])])
-            at = np.maximum.accumulate(np.where(cut, np.arange(len(s)), 0))
-            leader = i[at]
-            if held:
-                leader = np.where(at == 0, held[3], leader)
-            inner = ~cut
-            if held:
-                cut_first = np.zeros(len(s), bool)
-                cut_first[0] = held[4]  # the row before has come out already
-            opens = np.concatenate([inner[1:], [False]]) & cut  # a leader with a follower
-            if held:
-                opens[0] = inner[1] & (not held[4]) if len(s) > 1 else False
-            out = inner | opens
-            if held:
-                out[0] = opens[0]
-            pairs = set(zip(leader[out].tolist(), i[out].tolist())) - seen
-            if len(seen) > 500_000:
+            s, n, p, i = (batch.column(c).to_numpy().astype(np.int64) for c in ("shingle", "n", "pos", "id"))
+            low, high = -(-n * t // 100), (n - p) * (100 + t) // t - n
+            c = np.searchsorted(least, n, side="right") - 1
+            follows = (c > 0) & (low < least[c])
+            rows = [np.concatenate([h, x, x[follows]]) for h, x in zip(held[:1] + held[2:], (s, n, low, high, i))]
+            w = np.concatenate([held[1], c, c[follows] - 1])
+            old = np.concatenate([np.ones(len(held[0]), bool), np.zeros(len(w) - len(held[0]), bool)])
+            order = np.lexsort((-rows[3], ~old, rows[1], w, rows[0]))  # of one size, early positions first
+            s2, n2, low2, high2, i2 = (x[order] for x in rows)
+            w2, old = w[order], old[order]
+            leader, reach, opens = group_lists(s2, w2, n2, low2, high2, np.arange(len(w2)))
+            main = least[np.minimum(w2 + 1, len(least) - 1)] > n2  # a block that a follower opens is grouped in its own window
+            out = np.flatnonzero((leader >= 0) & ~old)
+            out = out[main[leader[out]]]
+            pairs = set(zip(i2[leader[out]].tolist(), i2[out].tolist())) - seen
+            if len(seen) > 200_000:
                 seen.clear()
             seen |= pairs
-            held = (s[-1], n[-1], i[-1], leader[-1], bool(out[-1]) or (len(s) == 1 and bool(held and held[4])))
+            # windows of the last list go on with the block that is open
+            last = np.flatnonzero(s2 == s[-1])
+            ends = last[np.concatenate([w2[last][1:] != w2[last][:-1], [True]])]
+            at = np.maximum.accumulate(np.where(opens, np.arange(len(w2)), 0))[ends]
+            held = [s2[ends], w2[ends], n2[at], low2[at], reach[ends], i2[at]]
+            keep = held[1] >= c[-1] - 1
+            held = [x[keep] for x in held]
             if pairs:
                 a, b = zip(*pairs)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["leader", "id"])
 
-    lists = index.repartition("shingle").sortWithinPartitions("shingle", "n", "id")
+    lists = index.repartition("shingle").sortWithinPartitions("shingle", "n", "pos", "id")
     return lists.mapInArrow(run, "leader long, id long").distinct()
 
 
 def deal_out(grouped: DataFrame, most_group: int) -> DataFrame:
     """(leader, a, b, id): a group under two slice numbers. Groups of up to ``most_group`` are one slice; of larger ones each pair of slices meets once."""
-    size = grouped.groupBy("leader").agg(F.count("*").alias("m")).withColumn("parts", F.ceil(F.col("m") / most_group).cast("int")).where("m > 1")
-    x = grouped.join(size, "leader").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    size = grouped.groupBy("leader").agg((F.count("*") + 1).alias("m")).withColumn("parts", F.ceil(F.col("m") / most_group).cast("int"))
+    every = grouped.unionByName(size.select("leader", F.col("leader").alias("id")))
+    large = size.where("parts > 1").select("leader", "parts")
+    x = join_hot(stash(every, "jaccard-blocks"), large, "leader").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    x = x.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     return x.select("leader", "id", "own", other).select("leader", "id", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct()
 
@@ -208,32 +267,37 @@ def possible(dealt: DataFrame, profiles: DataFrame, t: int) -> DataFrame:
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str, k: int) -> DataFrame:
-    """(id, s): the shingle sets of wanted documents, found in place by a filter of fixed size; what it lets through besides is dropped by a join."""
+    """(id, s): the shingle sets of wanted documents, found in place by a filter of bounded size; what it lets through besides is dropped by a join."""
+
+    count = wanted.count()
+    size = power_of_two(BITS_EACH * count, LEAST_BITS, MOST_BITS)
+
+    def places(x: np.ndarray) -> list[np.ndarray]:
+        h = mix(x.astype(np.int64).view(np.uint64))
+        return [h % np.uint64(size), (h >> np.uint64(32)) % np.uint64(size)]
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(BLOOM // 8, np.uint8)
+        own = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            x = mix(batch.column("id").to_numpy().astype(np.int64).view(np.uint64))
-            for h in (x % np.uint64(BLOOM), (x >> np.uint64(32)) % np.uint64(BLOOM)):
+            for h in places(batch.column("id").to_numpy()):
                 np.bitwise_or.at(own, (h >> np.uint64(3)).astype(np.int64), np.uint8(1) << (h & np.uint64(7)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=["bits"])
 
-    total = np.zeros(BLOOM // 8, np.uint8)
-    for r in wanted.select("id").coalesce(8).mapInArrow(bits, "bits binary").toLocalIterator():
+    total = np.zeros(size // 8, np.uint8)
+    for r in wanted.select("id").coalesce(min(64, 1 + count // 1_000_000)).mapInArrow(bits, "bits binary").toLocalIterator():
         total |= np.frombuffer(zlib.decompress(r.bits), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(total)
+    shared = docs.sparkSession.sparkContext.broadcast(total)  # 64 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in slices(batches, text_column):
             batch = batch.filter(batch.column(id_column).is_valid())
-            x = mix(batch.column(id_column).cast(pa.int64()).to_numpy().view(np.uint64))
-            keep = np.ones(len(x), bool)
-            for h in (x % np.uint64(BLOOM), (x >> np.uint64(32)) % np.uint64(BLOOM)):
+            keep = np.ones(batch.num_rows, bool)
+            for h in places(batch.column(id_column).cast(pa.int64()).to_numpy()):
                 keep &= (own[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
             batch = batch.filter(pa.array(keep))
             if batch.num_rows:
-                sets = [shingles(t, k).view(np.int64) for t in bytes_of(batch.column(text_column))]
+                sets = [x.view(np.int64) for x in shingle_sets(bytes_of(batch.column(text_column)), k)]
                 yield pa.RecordBatch.from_arrays([batch.column(id_column).cast(pa.int64()), int_lists(sets, pa.int64())], names=["id", "s"])
 
     return docs.select(id_column, text_column).mapInArrow(run, "id long, s array<long>").join(wanted, "id", "left_semi")
@@ -312,14 +376,14 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     own, counts = classes(docs, id_column, text_column, k)
     reps = own.where("id = rep").select("id", "n").distinct()
     first = stash(prefixes(docs, reps, id_column, text_column, k, percent, counts), "jaccard-prefixes")
-    lists = first.select(F.explode("prefix").alias("shingle"), "id", "n")
-    dealt = deal_out(groups(lists, percent), most_group)
+    lists = first.select(F.posexplode("prefix").alias("pos", "shingle"), "id", "n")
+    dealt = deal_out(stash(groups(lists, percent), "jaccard-lists"), most_group)
     dealt = stash(possible(dealt, first.select("id", "profile"), percent), "jaccard-groups")
     wanted = stash(dealt.select("id").distinct(), "jaccard-wanted")
     sets = fetch_sets(docs, wanted, id_column, text_column, k)
     found = components(find_links(dealt, sets, percent))
-    out = own.join(found.select(F.col("a").alias("rep"), "b"), "rep", "left")
-    return out.select(F.col("id").cast(dict(docs.dtypes)[id_column]).alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("b", "rep", "id").alias("component_id"))
+    out = join_hot(own, found.select(F.col("a").alias("rep"), "b"), "rep")
+    return out.select(F.col("id").cast(docs.schema[id_column].dataType).alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("b", "rep", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

@@ -53,7 +53,7 @@ class Words(dict):
     after it is two parts, as the tokenizer splits it there and ignores case; any other is one part.
     """
 
-    most = 900_000
+    most = 150_000  # some 30 MB
 
     def __init__(self, path: str):
         super().__init__()

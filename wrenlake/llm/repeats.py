@@ -3,19 +3,22 @@
 A byte is removed if a string of ``LENGTH`` bytes over it also starts in a document with a smaller id.
 
 1. Initial buckets are q-grams.  Only those suffixes are kept whose q-gram has the least hash of
-   some window of ``LENGTH`` bytes (a minimiser), so equal strings keep equal suffixes, about one in
+   some string of ``LENGTH`` bytes (a minimiser), so equal strings keep equal suffixes, about one in
    fourteen.  Equal documents form a class and count once.
 2. Buckets that hold suffixes of one class alone end here.  Of the others each suffix is kept
-   with the bytes around it that a string over its q-gram can have.
+   with the bytes of those strings whose minimiser it is.
 3. In each bucket suffixes are refined: the bucket of 16 bytes at a place is the pair of the buckets of
    8 bytes there and 8 further on, that of 32 the pair of two of 16, that of 50 of two of 32; each
    round sorts on bucket numbers only and uses those of the round before.  Suffixes that are still
    together are equal strings; the least document of a bucket keeps its own.
-
-Defined results: null text is empty; rows with a null id stay as they are and remove nothing from
-others; rows with equal ids remove nothing from each other; equal rows get equal results; a text
-shorter than ``LENGTH`` bytes stays.  Classes and q-grams are compared by 64-bit hashes to find
-candidates, strings byte by byte.
+4. A hot bucket (``CROWD`` classes in one slice of text, or ``MOST`` in all) is never gathered.  Its suffixes go on as
+   single strings, of which each slice sends one row under its least document; rows of one string are then read in the
+   order of documents, and only the first is held.
+
+Defined results: ids must cast to long; null text is empty; rows with a null id stay as they are and remove
+nothing from others; rows with equal ids remove nothing from each other; equal rows get equal results; a text
+shorter than ``LENGTH`` bytes stays; columns of any name are kept.  Classes and q-grams are compared by 64-bit
+hashes to find candidates, strings byte by byte.
 """
 
 from __future__ import annotations
@@ -29,157 +32,257 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, int_lists, mix, slices, stash
+from .common import bytes_of, fresh, int_lists, join_hot, mix, slices, stash
 
 LENGTH = 50
 Q = 24
 REACH = LENGTH - Q  # bytes on either side of a q-gram that strings over it can reach
 WIDTH = Q + 2 * REACH
-CROWD = 32  # classes in one slice from which a q-gram's bucket is known to be shared
-CHUNK = 15_000  # suffixes that are refined together, if their buckets allow it
-
-
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of a text's minimisers."""
-    n = len(text)
-    if n < LENGTH:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    data = np.frombuffer(text + b"\0" * 8, np.uint8)
-    word = np.lib.stride_tricks.as_strided(data, (n - Q + 1 + 16, 8), (1, 1))
-    word = np.ascontiguousarray(word).view("<u8").ravel()
-    m = n - Q + 1
-    with np.errstate(over="ignore"):
-        h = mix((word[:m] * np.uint64(0x9E3779B97F4A7C15) + word[8 : m + 8]) * np.uint64(0xC2B2AE3D27D4EB4F) + word[16 : m + 16])
-    span = REACH + 1  # q-grams in a string
-    low = h
-    width = 1
-    while width < span:  # the least hash of each string
-        by = min(width, span - width)
-        low = np.minimum(low[: len(low) - by], low[by:])
-        width += by
-    padded = np.concatenate([np.zeros(span - 1, np.uint64), low, np.zeros(span - 1, np.uint64)])
-    top, width = padded, 1
-    while width < span:  # the greatest such, over the strings with a q-gram
-        by = min(width, span - width)
-        top = np.maximum(top[: len(top) - by], top[by:])
-        width += by
-    at = np.flatnonzero(top[:m] == h)
-    return at, h[at]
+CROWD = 32  # classes in one slice from which a q-gram's bucket is hot
+MOST = 4096  # classes in all from which it is
+CHUNK = 4096  # suffixes that are refined together, if their buckets allow it
+SLICE = 2 << 20  # bytes of text that are searched together
+BLOCK = 1 << 20  # bytes whose q-grams are hashed at once
+
+
+def blocks(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], bytes]]:
+    """Numbers of texts, the place in its text at which each begins, and their bytes end to end, some ``BLOCK`` together.
+
+    Longer texts come in parts that overlap so that each string is whole in exactly one; texts without a string are left out.
+    """
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+
+    def out() -> tuple[list[int], list[int], bytes]:
+        return [x[0] for x in held], [x[1] for x in held], b"".join(x[2] for x in held)
+
+    for i, text in enumerate(texts):
+        for at in range(0, len(text) - LENGTH + 1, BLOCK):
+            part = text[at : at + BLOCK + LENGTH - 1]
+            if size + len(part) > BLOCK and held:
+                yield out()
+                held, size = [], 0
+            held.append((i, at, part))
+            size += len(part)
+    if held:
+        yield out()
+
+
+class Block:
+    """Minimisers of the strings in a block of texts."""
+
+    def __init__(self, owner: list[int], shift: list[int], data: bytes, begin: np.ndarray):
+        self.data, self.begin = data, begin
+        n = len(data)
+        x = np.frombuffer(data + b"\0" * 8, np.uint8)
+        word = np.ascontiguousarray(np.lib.stride_tricks.as_strided(x, (n - Q + 17, 8), (1, 1))).view("<u8").ravel()
+        m = n - Q + 1
+        with np.errstate(over="ignore"):
+            self.h = h = mix((word[:m] * np.uint64(0x9E3779B97F4A7C15) + word[8 : m + 8]) * np.uint64(0xC2B2AE3D27D4EB4F) + word[16 : m + 16])
+        del word
+        span = REACH + 1  # q-grams in a string
+        low, width = h, 1
+        while width < span:  # the least hash of each string
+            by = min(width, span - width)
+            low = np.minimum(low[: len(low) - by], low[by:])
+            width += by
+        low = low.copy()
+        for end in begin[1:-1].tolist():  # no string crosses the end of a text
+            low[max(0, end - LENGTH + 1) : end] = 0
+        zeros = np.zeros(span - 1, np.uint64)
+        top, width = np.concatenate([zeros, low, zeros]), 1
+        while width < span:  # the greatest such, over the strings with a q-gram
+            by = min(width, span - width)
+            top = np.maximum(top[: len(top) - by], top[by:])
+            width += by
+        self.at = np.flatnonzero(top[:m] == h)
+        self.text = np.searchsorted(begin, self.at, side="right") - 1
+        self.owner = np.array(owner)[self.text]
+        self.shift = np.array(shift)[self.text] - begin[self.text]
+
+    def reach(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last start of the strings whose leftmost minimiser each is; none where the last is before the first."""
+        p, text = self.at[which], self.text[which]
+        near = np.arange(1, REACH + 1)
+        own = self.h[p][:, None]
+        before = self.h[np.maximum(p[:, None] - near, 0)] <= own
+        after = self.h[np.minimum(p[:, None] + near, len(self.h) - 1)] < own
+        back = np.where(before.any(1), before.argmax(1), REACH)
+        on = np.where(after.any(1), after.argmax(1), REACH)
+        return np.maximum(p - back, self.begin[text]), np.minimum(p + on - REACH, np.minimum(p, self.begin[text + 1] - LENGTH))
+
+
+def searched(texts: list[bytes]) -> Iterator[Block]:
+    for owner, shift, data in blocks(texts):
+        sizes = [min(len(texts[i]) - a, BLOCK + LENGTH - 1) for i, a in zip(owner, shift)]
+        yield Block(owner, shift, data, np.cumsum([0, *sizes]))
 
 
 def planes(x: np.ndarray) -> bytes:
     """Bytes of equal rank together, which compresses better."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
 
 
 def from_planes(x: bytes, kind) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def by_class(cls: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each class and its hashes."""
+    order = np.argsort(cls, kind="stable")
+    found, at = np.unique(cls[order], return_index=True)
+    return found, np.split(h[order].view(np.int64), at[1:]) if len(found) else []
 
 
-def shared_buckets(texts: DataFrame, text_column: str, buckets: int) -> DataFrame:
-    """(cls, hashes): for each class of texts, those of its minimisers that another class has too.
+SHARED = "cls long, hashes array<long>, hot array<long>"
+
+
+def shared_rows(cls: np.ndarray, h: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+    a, cold = by_class(cls[~hot], h[~hot])
+    b, warm = by_class(cls[hot], h[hot])
+    none = np.empty(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b]), pa.int64()), int_lists([*cold, *[none] * len(b)], pa.int64()), int_lists([*[none] * len(a), *warm], pa.int64())], names=["cls", "hashes", "hot"])
+
+
+def shared_buckets(texts: DataFrame, buckets: int) -> DataFrame:
+    """(cls, hashes, hot): for each class of ``texts`` (cls, text), those of its minimisers that another class has too, hot ones apart.
 
     Tasks send the hashes of a slice in sorted, packed runs.  A hash of many classes in one slice is
-    shared for certain: its classes come out at once and only one goes on, so that a q-gram of a third of
-    all documents doesn't fill a task.
+    hot for certain: its classes come out at once and only one goes on, with their number, so that a q-gram of a third
+    of all documents doesn't fill a task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_column, 4 << 20):
-            hashes, owners = [], []
-            done = set()
-            for cls, text in zip(batch.column("_cls").to_pylist(), bytes_of(batch.column(text_column))):
-                if cls not in done:
-                    done.add(cls)
-                    own = np.unique(anchors(text)[1])
-                    hashes.append(own)
-                    owners.append(np.full(len(own), cls, np.int64))
+        none = np.empty(0, np.int64)
+        for batch in slices(batches, "text", SLICE):
+            own, rows = np.unique(batch.column("cls").to_numpy(), return_index=True)  # one text a class
+            texts = bytes_of(batch.column("text").take(pa.array(rows)))
+            hashes, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for block in searched(texts):
+                hashes.append(block.h[block.at])
+                owners.append(block.owner)
             h, d = np.concatenate(hashes), np.concatenate(owners)
-            order = np.argsort(h, kind="stable")
+            order = np.lexsort((d, h))
             h, d = h[order], d[order]
-            first = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
-            start = np.flatnonzero(first)
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])[: len(h)]
+            h, d = h[new], own[d[new]]
+            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
             count = np.diff(np.concatenate([start, [len(h)]]))
             crowd = np.repeat(count >= CROWD, count)
-            direct = np.argsort(d[crowd], kind="stable")
-            cls, at = np.unique(d[crowd][direct], return_index=True)
-            lists = np.split(h[crowd][direct].view(np.int64), at[1:]) if len(cls) else []
-            keep = ~crowd | first
-            h, d = h[keep], d[keep]
+            direct = shared_rows(d[crowd], h[crowd], np.ones(int(crowd.sum()), bool))
+            keep = ~crowd
+            keep[start] = True
+            weight = np.ones(len(h), np.uint32)
+            weight[start] = np.where(count >= CROWD, count, 1)
+            h, d, weight = h[keep], d[keep], weight[keep]
             bucket = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
             cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
             full = np.flatnonzero(np.diff(cut))
-            k, m = len(cls), len(full)
+            k, m = direct.num_rows, len(full)
+            packed = [pa.array([*[None] * k, *(planes(x[cut[b] : cut[b + 1]]) for b in full)], pa.binary()) for x in (h, d, weight)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([*[-1] * k, *full.tolist()], pa.int32()), pa.array([*cls.tolist(), *[None] * m], pa.int64()), int_lists([*lists, *[np.empty(0, np.int64)] * m], pa.int64()), pa.array([*[None] * k, *(planes(h[cut[b] : cut[b + 1]]) for b in full)], pa.binary()), pa.array([*[None] * k, *(planes(d[cut[b] : cut[b + 1]]) for b in full)], pa.binary())],
-                names=["bucket", "cls", "hashes", "h", "d"],
+                [pa.array([*[-1] * k, *full.tolist()], pa.int32()), pa.array([*direct.column("cls").to_pylist(), *[None] * m], pa.int64()), pa.concat_arrays([direct.column("hot"), int_lists([none] * m, pa.int64())]), *packed],
+                names=["bucket", "cls", "hot", "h", "d", "weight"],
             )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None  # one bucket at a time
 
         def shared() -> pa.RecordBatch:
-            h, d = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+            h, d, w = (np.concatenate(x) for x in zip(*held))
             order = np.argsort(h, kind="stable")
-            h, d = h[order], d[order]
+            h, d, w = h[order], d[order], w[order]
             start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             count = np.diff(np.concatenate([start, [len(h)]]))
-            keep = np.repeat(np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start), count)
-            h, d = h[keep], d[keep]
-            order = np.argsort(d, kind="stable")
-            cls, at = np.unique(d[order], return_index=True)
-            return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), int_lists(np.split(h[order].view(np.int64), at[1:]) if len(cls) else [], pa.int64())], names=["cls", "hashes"])
+            crowded = np.maximum.reduceat(w, start) > 1
+            keep = np.repeat((np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start)) | crowded, count)
+            hot = np.repeat(crowded | (np.add.reduceat(w.astype(np.int64), start) > MOST), count)
+            return shared_rows(d[keep], h[keep], hot[keep])
 
         for batch in batches:
             direct = batch.filter(batch.column("cls").is_valid())
             if direct.num_rows:
-                yield direct.select(["cls", "hashes"])
+                yield pa.RecordBatch.from_arrays([direct.column("cls"), int_lists([np.empty(0, np.int64)] * direct.num_rows, pa.int64()), direct.column("hot")], names=["cls", "hashes", "hot"])
             batch = batch.filter(batch.column("cls").is_null())
-            for bucket, h, d in zip(*(batch.column(c).to_pylist() for c in ("bucket", "h", "d"))):
+            for bucket, h, d, w in zip(*(batch.column(c) for c in ("bucket", "h", "d", "weight"))):
                 if bucket != key and held:
                     yield shared()
                     held.clear()
                 key = bucket
-                held.append((from_planes(h, np.uint64), from_planes(d, np.int64)))
+                held.append((from_planes(h.as_buffer(), np.uint64), from_planes(d.as_buffer(), np.int64), from_planes(w.as_buffer(), np.uint32)))
         if held:
             yield shared()
 
-    sent = texts.mapInArrow(run, "bucket int, cls long, hashes array<long>, h binary, d binary")
-    return sent.repartition(F.coalesce("cls", "bucket")).sortWithinPartitions("bucket").mapInArrow(meet, "cls long, hashes array<long>")
+    sent = texts.mapInArrow(run, "bucket int, cls long, hot array<long>, h binary, d binary, weight binary")
+    return sent.repartition(F.coalesce("cls", "bucket")).sortWithinPartitions("bucket").mapInArrow(meet, SHARED)
+
 
+SUFFIX = "key binary, seg binary, left int, id long, cls long, places array<int>, spans array<int>"
 
-def suffixes(keyed: DataFrame, text_column: str) -> DataFrame:
-    """Suffixes of shared buckets with the bytes around them (``seg``, the q-gram at ``left``).
 
-    Of documents in one slice with the same bytes there, only the least goes on; strings of the others are
-    known to be removed and come out as spans.
+def covered(starts: list[int]) -> list[int]:
+    """Starts and ends in turn of what strings at ``starts`` cover."""
+    x = np.unique(np.array(starts, np.int64))
+    cut = np.flatnonzero(np.diff(x) > LENGTH)
+    return np.column_stack([x[np.concatenate([[0], cut + 1])], x[np.concatenate([cut, [len(x) - 1]])] + LENGTH]).ravel().tolist()
+
+
+def suffixes(keyed: DataFrame) -> DataFrame:
+    """Suffixes of shared buckets: ``seg``, the bytes of their strings, with the q-gram (``key``) at ``left``; of hot ones single strings (``key``).
+
+    ``keyed``: id, cls, text, hashes, hot.  Of documents in one slice with the same bytes, only the least goes on; strings
+    of the others are known to be removed and come out as spans.
     """
-    names = ["seg", "left", "id", "cls", "places", "spans"]
-    kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    names = [x.split()[0] for x in SUFFIX.split(", ")]
+    kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+
+    def lists(column: pa.Array) -> list[np.ndarray]:
+        flat, at = column.flatten().to_numpy(), np.asarray(column.offsets)
+        at = at - at[0]
+        return [flat[a:b] for a, b in zip(at, at[1:])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices((b.filter(b.column("_hashes").is_valid()) for b in batches), text_column, 4 << 20):
-            least: dict[tuple, int] = {}
-            rows = []
-            for doc, cls, own, text in sorted(zip(batch.column("_id").to_pylist(), batch.column("_cls").to_pylist(), batch.column("_hashes").to_pylist(), bytes_of(batch.column(text_column))), key=lambda x: (x[0], x[1])):
-                at, h = anchors(text)
-                mine: dict[tuple, list[int]] = {}
-                for p in at[np.isin(h.view(np.int64), np.array(own, np.int64))].tolist():
-                    a = max(0, p - REACH)
-                    mine.setdefault((text[a : p + Q + REACH], p - a), []).append(p)
-                gone = []
-                for key, places in mine.items():
-                    if least.setdefault(key, doc) < doc:
-                        if len(key[0]) >= LENGTH:
-                            gone += [v for p in places for v in (p - key[1], p - key[1] + len(key[0]))]
-                    else:
-                        rows.append((*key, doc, cls, places, None))
-                if gone:
-                    rows.append((None, None, doc, cls, None, gone))
-            for i in range(0, len(rows), 5_000):
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[i : i + 5_000]), kinds)], names=names)
-
-    return keyed.mapInArrow(run, "seg binary, left int, id long, cls long, places array<int>, spans array<int>")
+        for batch in slices((b.filter(b.column("hashes").is_valid()) for b in batches), "text", SLICE):
+            batch = batch.sort_by([("id", "ascending"), ("cls", "ascending")])
+            ids, classes = (batch.column(c).to_pylist() for c in ("id", "cls"))
+            cold, hot = lists(batch.column("hashes")), lists(batch.column("hot"))
+            least: dict = {}  # of a suffix or string: the least document, and its row
+            rows: list[tuple] = []
+            gone: dict[int, list[int]] = {}
+
+            def enter(key, doc: int, place: int, row: tuple, strings: range) -> None:
+                known = least.get(key)
+                if known is None:
+                    least[key] = (doc, len(rows))
+                    rows.append((*row, ids[doc], classes[doc], [place], None))
+                elif known[0] == doc:
+                    rows[known[1]][5].append(place)
+                elif ids[known[0]] < ids[doc]:
+                    gone.setdefault(doc, []).extend(strings)
+                else:  # two rows of one id
+                    rows.append((*row, ids[doc], classes[doc], [place], None))
+
+            for block in searched(bytes_of(batch.column("text"))):
+                h = block.h[block.at].view(np.int64)
+                edge = np.searchsorted(block.owner, np.arange(batch.num_rows + 1))
+                for own, is_hot in ((cold, False), (hot, True)):
+                    mine = [np.flatnonzero(np.isin(h[a:b], own[i])) + a for i, (a, b) in enumerate(zip(edge, edge[1:])) if b > a and len(own[i])]
+                    which = np.concatenate(mine) if mine else np.empty(0, np.int64)
+                    first, last = block.reach(which)
+                    ok = last >= first
+                    for p, a, b, doc, shift in zip(*(x[ok].tolist() for x in (block.at[which], first, last, block.owner[which], block.shift[which]))):
+                        if is_hot:
+                            for s in range(a, b + 1):
+                                string = block.data[s : s + LENGTH]
+                                enter(string, doc, s + shift, (string, None, 0), range(s + shift, s + shift + 1))
+                        else:
+                            seg = block.data[a : b + LENGTH]
+                            enter((seg, p - a), doc, p + shift, (block.data[p : p + Q], seg, p - a), range(a + shift, b + shift + 1))
+            rows += [(None, None, None, ids[d], classes[d], None, covered(s)) for d, s in gone.items()]
+            for i in range(0, len(rows), 4_000):
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[i : i + 4_000]), kinds)], names=names)
+
+    return keyed.mapInArrow(run, SUFFIX)
 
 
 def bucket_numbers(pairs: np.ndarray) -> np.ndarray:
@@ -192,11 +295,12 @@ def refine(segs: list[bytes], left: np.ndarray, docs: np.ndarray) -> np.ndarray:
     Buckets of 8 bytes come first; each later round sorts pairs of numbers of the round before.
     """
     m = len(segs)
+    size = np.fromiter(map(len, segs), np.int64, m)
     rows = np.zeros((m, WIDTH), np.uint8)
-    for i, (s, a) in enumerate(zip(segs, left.tolist())):
-        rows[i, REACH - a : REACH - a + len(s)] = np.frombuffer(s, np.uint8)
     begin = REACH - left
-    end = begin + np.fromiter(map(len, segs), np.int64, m)
+    end = begin + size
+    place = np.repeat(np.arange(m) * WIDTH + begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+    rows.reshape(-1)[place] = np.frombuffer(b"".join(segs), np.uint8)
     word = np.lib.stride_tricks.sliding_window_view(rows, 8, axis=1)
     b8 = bucket_numbers(np.ascontiguousarray(word).view("<u8")[:, :, 0])
     n = m * WIDTH + 1
@@ -211,64 +315,61 @@ def refine(segs: list[bytes], left: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return valid & (least[b50] < owner)
 
 
-def removed_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans to remove, from suffixes sorted by q-gram; whole buckets are gathered to chunks of bounded size."""
-    held: list[tuple] = []
+def spans_batch(rows: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
+    ids, classes, spans = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(spans, pa.list_(pa.int32()))], names=["id", "cls", "spans"])
+
+
+def refined_spans(rows: list[tuple]) -> list[tuple[int, int, list[int]]]:
+    """Spans to remove from suffixes (key, seg, left, id, cls, places) of whole buckets; equal suffixes are refined once, under their least document."""
+    index: dict[tuple, int] = {}
+    of = [index.setdefault(r[1:3], len(index)) for r in rows]
+    docs = np.full(len(index), np.iinfo(np.int64).max)
+    np.minimum.at(docs, of, [r[3] for r in rows])
+    keys = list(index)
+    left = np.array([a for _, a in keys], np.int64)
+    grams = [s[a : a + Q] for s, a in keys]
+    held = Counter(grams)
+    many = np.flatnonzero([held[g] > 1 for g in grams])
+    hit = np.zeros((len(keys), REACH + 1), bool)
+    if len(many):
+        hit[many] = refine([keys[i][0] for i in many], left[many], docs[many])
+    out: dict[tuple[int, int], list[int]] = {}
+    for r, i in zip(rows, of):
+        if docs[i] < r[3]:  # the same bytes in a smaller document: every string is there
+            starts = range(len(r[1]) - LENGTH + 1)
+        else:
+            starts = (np.flatnonzero(hit[i]) - REACH + r[2]).tolist()
+        if starts:
+            out.setdefault((r[3], r[4]), []).extend(p - r[2] + s for p in r[5] for s in starts)
+    return [(d, c, covered(s)) for (d, c), s in out.items()]
 
-    def work(rows: list[tuple]) -> pa.RecordBatch:
-        """Equal surroundings are refined once, under their least document."""
-        index: dict[tuple, int] = {}
-        of = [index.setdefault(r[:2], len(index)) for r in rows]
-        docs = np.full(len(index), np.iinfo(np.int64).max)
-        np.minimum.at(docs, of, [r[2] for r in rows])
-        keys = list(index)
-        left = np.array([k[1] for k in keys], np.int64)
-        by = bucket_sizes(keys)
-        many = np.flatnonzero(by > 1)
-        hit = np.zeros((len(keys), REACH + 1), bool)
-        if len(many):
-            hit[many] = refine([keys[i][0] for i in many], left[many], docs[many])
-        out: dict[tuple[int, int], list[int]] = {}
-        for r, i in zip(rows, of):
-            if docs[i] < r[2]:  # the same surroundings in a smaller document: every string is there
-                runs = [(0, len(r[0]))] if len(r[0]) >= LENGTH else []
-            else:
-                on = np.flatnonzero(hit[i])
-                if not len(on):
-                    continue
-                cut = np.flatnonzero(np.diff(on) > 1)
-                shift = REACH - r[1]
-                runs = [(a - shift, b - shift + LENGTH) for a, b in zip(on[np.concatenate([[0], cut + 1])].tolist(), on[np.concatenate([cut, [len(on) - 1]])].tolist())]
-            if runs:
-                spans = out.setdefault((r[2], r[3]), [])
-                for p in r[4]:
-                    spans += [v for a, b in runs for v in (p - r[1] + a, p - r[1] + b)]
-        return pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int64()), pa.array(list(out.values()), pa.list_(pa.int32()))], names=["_id", "_cls", "_spans"])
 
+def removed_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans to remove, from suffixes and strings sorted by key and document; whole buckets are gathered to chunks of bounded size."""
+    held: list[tuple] = []
+    string, least = None, 0  # the string that is read, and its least document
     for batch in batches:
-        known = batch.filter(batch.column("seg").is_null())
+        known = batch.filter(batch.column("key").is_null())
         if known.num_rows:
-            yield pa.RecordBatch.from_arrays([known.column(c) for c in ("id", "cls", "spans")], names=["_id", "_cls", "_spans"])
-        batch = batch.filter(batch.column("seg").is_valid())
-        columns = (batch.column(c).to_pylist() for c in ("seg", "left", "id", "cls", "places"))
-        for row in zip(*columns):
-            if len(held) >= CHUNK and q_gram(held[-1]) != q_gram(row):
-                yield work(held)
+            yield known.select(["id", "cls", "spans"])
+        batch = batch.filter(batch.column("key").is_valid())
+        found = []
+        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "seg", "left", "id", "cls", "places"))):
+            if row[1] is None:
+                if row[0] != string:
+                    string, least = row[0], row[3]
+                elif least < row[3]:
+                    found.append((row[3], row[4], covered(row[5])))
+                continue
+            if len(held) >= CHUNK and held[-1][0] != row[0]:
+                found += refined_spans(held)
                 held = []
             held.append(row)
+        if found:
+            yield spans_batch(found)
     if held:
-        yield work(held)
-
-
-def q_gram(row: tuple) -> bytes:
-    return row[0][row[1] : row[1] + Q]
-
-
-def bucket_sizes(keys: list[tuple]) -> np.ndarray:
-    """Of the bucket that each suffix is in."""
-    own = list(map(q_gram, keys))
-    n = Counter(own)
-    return np.fromiter((n[x] for x in own), np.int64, len(own))
+        yield spans_batch(refined_spans(held))
 
 
 def cut_out(text: bytes, spans: list[int]) -> tuple[bytes, int, int]:
@@ -282,48 +383,51 @@ def cut_out(text: bytes, spans: list[int]) -> tuple[bytes, int, int]:
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
-def with_keys(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return docs.withColumn("_id", F.col(id_column).cast("long")).withColumn("_cls", F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))))
+def with_keys(docs: DataFrame, id_column: str, text_column: str, keep: bool) -> DataFrame:
+    """(id, cls, text) of each document, and ``row``, all its columns, if they are to be kept."""
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] * keep
+    return docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("cls"), F.col(text_column).alias("text"), *row)
 
 
-def find_spans(keyed: DataFrame, text_column: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (_id, _cls, n_bytes, digest, first) of all documents, and (_id, _cls, _spans) of those of which something goes.
+def find_spans(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, cls, n_bytes, digest, first) of all documents, and (id, cls, spans) of those of which something goes.
 
     ``first``: the least id with the same text.  Copies aren't searched; they go as a whole.
     ``keyed`` is dealt out by key for the search; a caller that joins the same rows with the spans reuses that exchange.
     """
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    own = stash(keyed.select("_id", "_cls", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest")), "repeat-classes")
-    first = own.where("_id is not null").groupBy("digest").agg(F.min("_id").alias("first"))
-    own = own.join(first, "digest", "left")
+    text = F.coalesce("text", F.lit(""))
+    own = stash(keyed.select("id", "cls", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest")), "repeat-classes")
+    first = own.where("id is not null").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    own = join_hot(own, first, "digest").withColumn("first", F.coalesce("first", "id"))
     total = own.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(64, int(total // 4_000_000))  # some 300,000 minimisers each
-    texts = keyed.where("_id is not null").select("_cls", text_column)
-    shared = shared_buckets(texts, text_column, buckets).groupBy("cls").agg(F.flatten(F.collect_list("hashes")).alias("_hashes"))
-    reps = own.where(f"_id = first and n_bytes >= {LENGTH}").select("_id", "_cls").distinct()
-    wanted = stash(reps.join(shared.withColumnRenamed("cls", "_cls"), "_cls"), "repeat-wanted")
-    found = suffixes(keyed.join(wanted, ["_id", "_cls"], "left"), text_column)
-    # equal q-grams meet; rows that only carry known spans go anywhere
-    gram = F.expr(f"coalesce(substring(seg, left + 1, {Q}), cast(string(cls) as binary))")
-    spans = found.repartition(gram).sortWithinPartitions(F.expr(f"substring(seg, left + 1, {Q})")).mapInArrow(removed_spans, "_id long, _cls long, _spans array<int>")
-    return own, spans.groupBy("_id", "_cls").agg(F.flatten(F.collect_list("_spans")).alias("_spans"))
+    shared = shared_buckets(keyed.where("id is not null").select("cls", "text"), buckets)
+    shared = shared.groupBy("cls").agg(F.flatten(F.collect_list("hashes")).alias("hashes"), F.flatten(F.collect_list("hot")).alias("hot"))
+    reps = own.where(f"id = first and n_bytes >= {LENGTH}").select("id", "cls").distinct()
+    wanted = stash(reps.join(shared, "cls"), "repeat-wanted")
+    found = suffixes(keyed.join(wanted, ["id", "cls"], "left").select("id", "cls", "text", "hashes", "hot"))
+    # equal keys meet; rows that only carry known spans go anywhere
+    dealt = found.repartition(F.coalesce("key", F.col("cls").cast("string").cast("binary"))).sortWithinPartitions("key", "id")
+    spans = dealt.mapInArrow(removed_spans, "id long, cls long, spans array<int>")
+    return own, spans.groupBy("id", "cls").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def repeat_report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document: bytes, bytes and runs removed, and the digest of what is left."""
-    keyed = with_keys(docs.select(id_column, text_column), id_column, text_column)
-    own, spans = find_spans(keyed, text_column)
+    keyed = with_keys(docs, id_column, text_column, False)
+    own, spans = find_spans(keyed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices((b.filter(b.column("_spans").is_valid()) for b in batches), text_column):
-            found = [cut_out(t, s) for t, s in zip(bytes_of(batch.column(text_column)), batch.column("_spans").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_cls"), pa.array([n for _, n, _ in found], pa.int64()), pa.array([r for _, _, r in found], pa.int64()), pa.array([hashlib.sha256(x).digest() for x, _, _ in found], pa.binary())], names=["_id", "_cls", "gone", "runs", "kept"])
+        for batch in slices((b.filter(b.column("spans").is_valid()) for b in batches), "text"):
+            found = [cut_out(t, s) for t, s in zip(bytes_of(batch.column("text")), batch.column("spans").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("cls"), pa.array([n for _, n, _ in found], pa.int64()), pa.array([r for _, _, r in found], pa.int64()), pa.array([hashlib.sha256(x).digest() for x, _, _ in found], pa.binary())], names=["id", "cls", "gone", "runs", "kept"])
 
-    cut = keyed.join(spans, ["_id", "_cls"], "left").mapInArrow(run, "_id long, _cls long, gone long, runs long, kept binary").dropDuplicates(["_id", "_cls"])
-    copy = F.coalesce(F.col("_id") > F.col("first"), F.lit(False)) & (F.col("n_bytes") >= LENGTH)
+    cut = keyed.join(spans, ["id", "cls"], "left").mapInArrow(run, "id long, cls long, gone long, runs long, kept binary").dropDuplicates(["id", "cls"])
+    copy = F.coalesce(F.col("id") > F.col("first"), F.lit(False)) & (F.col("n_bytes") >= LENGTH)
     nothing = F.lit(hashlib.sha256(b"").digest())
-    return own.join(cut, ["_id", "_cls"], "left").select(
-        F.col("_id").cast(dict(docs.dtypes)[id_column]).alias(id_column), "n_bytes",
+    return own.join(cut, ["id", "cls"], "left").select(
+        F.col("id").cast(docs.schema[id_column].dataType).alias(id_column), "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"),
         F.when(copy, F.lit(1)).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),
         F.lower(F.hex(F.when(copy, nothing).otherwise(F.coalesce("kept", "digest")))).alias("kept_sha256"),
@@ -333,21 +437,27 @@ def repeat_report(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size_column: str | None = "n_chars") -> DataFrame:
     """The documents less what an earlier one holds, all columns; bytes of characters that are cut in two go as well.
 
-    A document of which nothing is left stays, with an empty text.
+    A document of which nothing is left stays, with an empty text.  ``size_column``, if there is one, counts characters anew.
     """
-    keyed = with_keys(docs, id_column, text_column)
-    own, spans = find_spans(keyed, text_column)
-    names = docs.columns
-    whole = own.where(f"n_bytes >= {LENGTH} and _id > first").select("_id", "_cls", F.array(F.lit(0), F.col("n_bytes").cast("int")).alias("_spans")).distinct()
+    keyed = with_keys(docs, id_column, text_column, True)
+    own, spans = find_spans(keyed.drop("row"))
+    whole = own.where(f"n_bytes >= {LENGTH} and id > first").select("id", "cls", F.array(F.lit(0), F.col("n_bytes").cast("int")).alias("spans")).distinct()
+    (left,) = fresh(docs.columns, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_column):
-            texts, spans = batch.column(text_column).to_pylist(), batch.column("_spans").to_pylist()
-            left = [t if s is None else cut_out((t or "").encode(), s)[0].decode(errors="ignore") for t, s in zip(texts, spans)]
-            columns = {c: batch.column(c) for c in names} | {text_column: pa.array(left, batch.column(text_column).type)}
-            if size_column in columns:
-                sizes = [n if s is None else len(t) for n, t, s in zip(columns[size_column].to_pylist(), left, spans)]
-                columns[size_column] = pa.array(sizes, columns[size_column].type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    return keyed.join(spans.unionByName(whole), ["_id", "_cls"], "left").mapInArrow(run, docs.schema)
+        for batch in slices(batches, "text"):
+            texts, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
+            cut = [t if s is None else cut_out((t or "").encode(), s)[0].decode(errors="ignore") for t, s in zip(texts, spans)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(cut, pa.string()), pa.array([s is not None for s in spans])], names=["row", left, "changed"])
+
+    rows = docs.sparkSession.createDataFrame([], docs.schema).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).schema["row"].dataType
+    out = keyed.join(spans.unionByName(whole), ["id", "cls"], "left").mapInArrow(run, f"row {rows.simpleString()}, `{left}` string, changed boolean")
+
+    def value(c: str):
+        if c == text_column:
+            return F.col(left).cast(docs.schema[c].dataType).alias(c)
+        if c == size_column:
+            return F.when(F.col("changed"), F.length(left).cast(docs.schema[c].dataType)).otherwise(F.col("row")[c]).alias(c)
+        return F.col("row")[c].alias(c)
+
+    return out.select(*map(value, docs.columns))
