@@ -38,8 +38,9 @@ LENGTH = 50
 Q = 24
 REACH = LENGTH - Q  # bytes on either side of a q-gram that strings over it can reach
 WIDTH = Q + 2 * REACH
-CROWD = 32  # classes in one slice from which a q-gram's bucket is hot
-MOST = 4096  # classes in all from which it is
+CROWD = 128  # classes in one slice from which a q-gram's bucket is hot
+MOST = 16_384  # classes in all from which it is
+HELD = 2_000_000  # suffixes of one run of buckets that are held before hot ones go
 CHUNK = 4096  # suffixes that are refined together, if their buckets allow it
 SLICE = 2 << 20  # bytes of text that are searched together
 BLOCK = 1 << 20  # bytes whose q-grams are hashed at once
@@ -199,6 +200,22 @@ def shared_buckets(texts: DataFrame, buckets: int) -> DataFrame:
             hot = np.repeat(crowded | (np.add.reduceat(w.astype(np.int64), start) > MOST), count)
             return shared_rows(d[keep], h[keep], hot[keep])
 
+        def hot_ones() -> pa.RecordBatch:
+            """Buckets that are hot already come out; one suffix of each stays, so that later ones are known."""
+            h, d, w = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(h, kind="stable")
+            h, d, w = h[order], d[order], w[order]
+            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            count = np.diff(np.concatenate([start, [len(h)]]))
+            hot = np.add.reduceat(w.astype(np.int64), start) > MOST
+            w[start[hot]] = MOST + 1
+            out = np.repeat(hot, count)
+            keep = ~out
+            keep[start] = True
+            held[:] = [(h[keep], d[keep], w[keep])]
+            return shared_rows(d[out], h[out], np.ones(int(out.sum()), bool))
+
+        size = 0
         for batch in batches:
             direct = batch.filter(batch.column("cls").is_valid())
             if direct.num_rows:
@@ -208,8 +225,13 @@ def shared_buckets(texts: DataFrame, buckets: int) -> DataFrame:
                 if bucket != key and held:
                     yield shared()
                     held.clear()
+                    size = 0
                 key = bucket
                 held.append((from_planes(h.as_buffer(), np.uint64), from_planes(d.as_buffer(), np.int64), from_planes(w.as_buffer(), np.uint32)))
+                size += len(held[-1][0])
+                if size > HELD:
+                    yield hot_ones()
+                    size = HELD // 2 if len(held[0][0]) > HELD // 2 else len(held[0][0])
         if held:
             yield shared()
 
