@@ -1,17 +1,21 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
 Texts are tokenised; documents longer than a sequence are cut into full pieces and a rest.  Pieces
-of one task are dealt into shards of bounded size.  On each shard several islands evolve packings:
-a crossover puts whole well-filled bins of one parent into the other, drops the bins that then hold
-something twice, and best-fits the displaced pieces; after an epoch each island's best packing
-moves to the next island (a shuffle of shard rows), and after the last the best of a shard is used.
+of one task are dealt into shards of bounded size.  On each shard several islands evolve packings from
+first-fit packings of shuffled pieces: a crossover puts whole well-filled bins of one parent into the other,
+drops the bins that then hold something twice, and best-fits the displaced pieces, exchanging them first for smaller ones
+where a bin is filled better so; after an epoch each island's best packing moves to the next island (a shuffle of shard
+rows), and after the last the best of a shard is used.  An island stops at the least number of sequences that its tokens
+need.  The pieces of each shard's badly filled sequences are then dealt into new shards across tasks and packed again in
+the same way, so that many small inputs don't leave a rest each.
 
 Defined results: null text is empty and one token long (the end id); repeated rows are pieces of
-their own; other columns are dropped.
+their own; ids may be null; an empty table gives an empty result; other columns are dropped.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -25,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, stash
@@ -35,10 +39,12 @@ END = 0  # the id after each document
 SHARD = 4096  # pieces that are packed together
 ISLANDS = 2
 EPOCHS = 2
-BORN = 3  # children per island and epoch
+POPULATION = 4
+BORN = 12  # children per island and epoch
 ROWS_A_TASK = 8  # shards and islands that a task evolves
 MOST_TASKS = 1 << 14  # beyond, tasks evolve more
 FULL = 0.995  # share from which a bin counts as well filled
+LEFT = 1.0  # share under which a sequence is packed again
 
 #: Letters below U+0100, which stay as they are in NFC, with marks after them that no letter combines with.
 WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,./:;<=>?@\[\]^_{|}~-]*)").fullmatch
@@ -48,9 +54,9 @@ LOWER_LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
 class Words(dict):
     """Ids of words and marks, as places in one flat array; new ones are encoded together.
 
-    White space never is part of a token and always ends one, so the stretches between spaces are
-    encoded alone, and each distinct stretch of a batch once.  A stretch of Latin letters with marks
-    after it is two parts, as the tokenizer splits it there and ignores case; any other is one part.
+    Where the tokenizer's file shows that white space always ends a token and case is ignored, the stretches between
+    spaces are encoded alone, and each distinct stretch of a batch once.  A stretch of Latin letters with marks after it
+    is two parts, as the tokenizer splits it there; any other is one part.  Other tokenizers get whole texts.
     """
 
     most = 150_000  # some 30 MB
@@ -62,6 +68,8 @@ class Words(dict):
 
         self.coder = Tokenizer.from_file(path)
         self.coder.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            self.whole = not splits_words(json.load(f))
         self.plain = Tokenizer(self.coder.model)  # for words that need no normalising and no cutting
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.coder.get_vocab()
@@ -117,6 +125,9 @@ class Words(dict):
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each with END after it, and where each begins (one more entry than texts)."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if self.whole:
+            found = [np.array([*x.ids, END], np.uint32) for x in self.coder.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.empty(0, np.uint32), *found]), np.cumsum([0, *map(len, found)])
         cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         count = pc.list_value_length(cut).to_numpy()
         coded = cut.flatten().dictionary_encode()
@@ -128,6 +139,18 @@ class Words(dict):
         return np.insert(ids, text_end, END), np.concatenate([[0], text_end + np.arange(1, len(count) + 1)])
 
 
+def splits_words(file: dict) -> bool:
+    """Whether a tokenizer file ignores case, cuts words off white space and marks, and ends words by a suffix."""
+
+    def steps(x: dict | None) -> list[dict]:
+        inner = [y for s in ("normalizers", "pretokenizers") for z in (x or {}).get(s) or [] for y in steps(z)]
+        return inner or ([x] if x else [])
+
+    lowers = any(x.get("type") == "Lowercase" for x in steps(file.get("normalizer")))
+    cuts = any(x.get("type") == "Split" for x in steps(file.get("pre_tokenizer")))
+    return lowers and cuts and file.get("model", {}).get("end_of_word_suffix") == "</w>"
+
+
 def gather(flat: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches ``flat[at[i]:at[i + 1]]`` for all ``i`` of ``which`` end to end, and their sizes."""
     size = at[which + 1] - at[which]
@@ -136,7 +159,7 @@ def gather(flat: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndar
     return flat[place], size
 
 
-@lru_cache(2)
+@lru_cache(1)
 def words(path: str) -> Words:
     return Words(path)
 
@@ -169,6 +192,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_column: str, text_column: str, ke
             while len(held) >= 2 * SHARD:
                 yield shard(held[:SHARD])
                 held, n = held[SHARD:], n + 1
+        coder.reset()
         if held:
             yield shard(held)
 
@@ -193,9 +217,21 @@ def best_fit(sizes: list[int], items: list[int], bins: list[list[int]], free: li
             insort(room, (free[i], i))
 
 
-def pack(sizes: list[int], order: list[int]) -> list[list[int]]:
+def first_fit(sizes: list[int], order: list[int]) -> list[list[int]]:
+    """A weak packing to start from: pieces as they come, each into the first of a few open bins that has room."""
     bins: list[list[int]] = []
-    best_fit(sizes, order, bins, [])
+    opened: list[tuple[int, int]] = []  # room and bin
+    for x in order:
+        for k, (f, i) in enumerate(opened):
+            if f >= sizes[x]:
+                bins[i].append(x)
+                opened[k] = (f - sizes[x], i)
+                break
+        else:
+            bins.append([x])
+            opened.append((LENGTH - sizes[x], len(bins) - 1))
+            if len(opened) > 8:
+                opened.remove(min(opened))
     return bins
 
 
@@ -208,58 +244,66 @@ def fitness(sizes: list[int], bins: list[list[int]]) -> tuple[int, int]:
     return -len(bins), sum(filled(sizes, b) ** 2 for b in bins)
 
 
-def match_pairs(sizes: list[int], rng: np.random.Generator) -> list[list[int]]:
-    """A packing that fills bins exactly where two or three pieces add up to one, and best-fits the rest."""
+def exchange(sizes: list[int], bins: list[list[int]], free: list[int], displaced: list[int]) -> list[int]:
+    """Displaced pieces fill bins exactly, beside what is there or in place of a smaller piece, alone or as a pair; what is displaced then."""
     by: dict[int, list[int]] = {}
-    for i in rng.permutation(len(sizes)).tolist():
+    for i in displaced:
         by.setdefault(sizes[i], []).append(i)
-    bins, left = [], []
-    found = sorted(by)
-    lots = iter(rng.integers(len(found), size=(len(sizes), 24)).tolist())  # sizes to try as a second piece
-    for size in reversed(found):
-        while by[size]:
-            x = by[size].pop()
-            rest = LENGTH - size
-            if rest and by.get(rest):
-                bins.append([x, by[rest].pop()])
-                continue
-            for a in map(found.__getitem__, next(lots)) if rest > 1 else ():
-                b = rest - a
-                if by[a] and len(by.get(b, ())) > (a == b):
-                    bins.append([x, by[a].pop(), by[b].pop()])
+
+    def fill(room: int, tries: list[int]) -> list[int] | None:
+        if by.get(room):
+            return [by[room].pop()]
+        for a in tries:
+            b = room - a
+            if b > 0 and by.get(a) and len(by.get(b, ())) > (a == b):
+                return [by[a].pop(), by[b].pop()]
+        return None
+
+    have = sorted(by)
+    for k, b in enumerate(bins):
+        if not free[k]:
+            continue
+        tries = have[k % 7 :: max(1, len(have) // 24)]
+        found = fill(free[k], tries)
+        if found is None:
+            for at, x in enumerate(b):
+                found = fill(sizes[x] + free[k], tries)
+                if found is not None:
+                    by.setdefault(sizes[x], []).append(x)
+                    del b[at]
                     break
-            else:
-                left.append(x)
-    free = [LENGTH - filled(sizes, b) for b in bins]
-    best_fit(sizes, left, bins, free)
-    return bins
+        if found is not None:
+            b += found
+            free[k] = 0
+    return list(chain.from_iterable(by.values()))
 
 
 def crossover(sizes: list[int], giver: list[list[int]], taker: list[list[int]], rng: np.random.Generator) -> list[list[int]]:
-    """Well-filled bins of the giver go into the taker whole; bins with duplicates go, and their other pieces are best-fitted."""
-    full = [b for b in giver if filled(sizes, b) >= FULL * LENGTH] or giver[:1]
+    """Well-filled bins of the giver go into the taker whole; bins with duplicates go, and some of the badly filled ones, and their other pieces are fitted again."""
+    least = FULL * LENGTH
+    full = [b for b in giver if filled(sizes, b) >= least] or sorted(giver, key=lambda b: -filled(sizes, b))[: max(1, len(giver) // 4)]
     lot = [b for b, x in zip(full, rng.random(len(full))) if x < 0.7]
     inside = set(chain.from_iterable(lot))
     bins, displaced = [list(b) for b in lot], []
     for b in taker:
         if not inside.isdisjoint(b):
             displaced += [i for i in b if i not in inside]
-        elif filled(sizes, b) < 0.97 * LENGTH and rng.random() < 0.3:  # mutation: a poorly filled bin is taken apart
+        elif filled(sizes, b) < least and rng.random() < 0.5:  # mutation: a poorly filled bin is taken apart
             displaced += b
         else:
             bins.append(list(b))
     free = [LENGTH - filled(sizes, b) for b in bins]
+    displaced = exchange(sizes, bins, free, displaced)
     best_fit(sizes, displaced, bins, free)
     return bins
 
 
 def evolve(sizes: list[int], island: int, epoch: int, shard: int, elites: list[list[list[int]]]) -> list[list[int]]:
-    """An island's best packing after one epoch: its own and the immigrant elite breed with fresh packings."""
+    """An island's best packing after one epoch: its own and the immigrant elite breed with fresh first-fit packings."""
     rng = np.random.default_rng([abs(shard) & (1 << 62) - 1, island, epoch])
     crowd = list(elites)
-    if not crowd:
-        crowd = [pack(sizes, list(range(len(sizes))))]
-    crowd.append(match_pairs(sizes, rng))
+    while len(crowd) < POPULATION:
+        crowd.append(first_fit(sizes, rng.permutation(len(sizes)).tolist()))
     crowd = sorted(((fitness(sizes, b), b) for b in crowd), key=itemgetter(0), reverse=True)
     bound = -(-sum(sizes) // LENGTH)
     for _ in range(BORN):
@@ -269,7 +313,7 @@ def evolve(sizes: list[int], island: int, epoch: int, shard: int, elites: list[l
         child = crossover(sizes, crowd[i][1], crowd[j][1], rng)
         crowd.append((fitness(sizes, child), child))
         crowd.sort(key=itemgetter(0), reverse=True)
-        del crowd[4:]
+        del crowd[POPULATION:]
     return crowd[0][1]
 
 
@@ -286,12 +330,12 @@ def to_bins(places: np.ndarray) -> list[list[int]]:
     return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(places[order])) + 1)] if len(places) else []
 
 
-def islands(shards: DataFrame) -> DataFrame:
-    """(shard, places): the best packing of each shard.  Only lengths and places are shuffled."""
+def islands(shards: DataFrame, count: int) -> DataFrame:
+    """(shard, places): the best packing of each of ``count`` shards (shard, length).  Only lengths and places are shuffled."""
     state = shards.select("shard", "length", F.explode(F.array(*map(F.lit, range(ISLANDS)))).alias("island"), F.array().cast("array<int>").alias("places"), F.array().cast("array<int>").alias("guest"))
     schema = "shard long, island int, length array<long>, places array<int>, score double, n int"
     # small rows, long work: so many tasks as the work needs, which a size in bytes doesn't show
-    tasks = max(1, min(-(-shards.count() * ISLANDS // ROWS_A_TASK), MOST_TASKS))
+    tasks = max(1, min(-(-count * ISLANDS // ROWS_A_TASK), MOST_TASKS))
     for epoch in range(EPOCHS):
 
         def run(frames: Iterator[pd.DataFrame], epoch: int = epoch) -> Iterator[pd.DataFrame]:
@@ -313,27 +357,53 @@ def islands(shards: DataFrame) -> DataFrame:
     return now.join(best, ["shard", "island"]).select("shard", "places")
 
 
+def leftovers(packed: DataFrame) -> DataFrame:
+    """(shard, at, length): the pieces, by shard and number in it, of each shard's badly filled sequences."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for x in frame.itertuples():
+                size, places = np.asarray(x.length, np.int64), np.asarray(x.places)
+                loose = np.bincount(places, size) < LEFT * LENGTH
+                at = np.flatnonzero(loose[places])
+                yield pd.DataFrame({"shard": np.full(len(at), x.shard), "at": at, "length": size[at]})
+
+    return packed.mapInPandas(run, "shard long, at int, length long")
+
+
+def pack_shards(shards: DataFrame) -> DataFrame:
+    """(shard, sequences): the sequence of each piece of each shard (shard, length), by two rounds of islands."""
+    count = shards.count()
+    packed = stash(shards.join(islands(shards, count), "shard"), "packed")
+    loose = stash(leftovers(packed), "loose")
+    deal = max(1, -(-loose.count() // SHARD))
+    # new shards of about one size, the same whenever a task runs again; their numbers are under zero
+    dealt = loose.withColumn("again", -1 - F.pmod(F.xxhash64("shard", "at"), F.lit(deal)))
+    again = dealt.groupBy("again").agg(F.sort_array(F.collect_list(F.struct("shard", "at", "length"))).alias("x"))
+    again = stash(again.select(F.col("again").alias("shard"), F.col("x.length").alias("length"), F.col("x.shard").alias("own"), F.col("x.at").alias("at")), "again")
+    second = again.join(islands(again.select("shard", "length"), deal), "shard")
+
+    def number(shard: Column, place: Column) -> Column:
+        return F.shiftleft(shard, 16) + place
+
+    moved = second.select("shard", F.explode(F.arrays_zip("own", "at", "places")).alias("x"))
+    moved = moved.groupBy(F.col("x.own").alias("own")).agg(F.map_from_entries(F.collect_list(F.struct("x.at", number(F.col("shard"), F.col("x.places"))))).alias("moved"))
+    out = packed.join(moved.withColumnRenamed("own", "shard"), "shard", "left")
+    return out.select("shard", F.transform("places", lambda p, i: F.coalesce(F.element_at("moved", i), number(F.col("shard"), p))).alias("sequences"))
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row per piece with its sequence and its place there; ``keep_ids`` adds its ids, 32-bit little-endian.
 
     ``tokenizer`` is a path that every executor can read.
     """
     shards = stash(pieces(docs, tokenizer, id_column, text_column, keep_ids), "pieces")
-    rows = shards.join(islands(shards.select("shard", "length")), "shard")
-    kind = dict(docs.dtypes)[id_column]
-    schema = f"{id_column} {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * keep_ids
-
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for x in frame.itertuples():
-                own = {c: np.asarray(getattr(x, c)) for c in ("piece", "start", "length", "crc", "places")}
-                order = np.argsort(own["places"], kind="stable")
-                ends = np.cumsum(own["length"][order])
-                first = np.concatenate([[True], np.diff(own["places"][order]) != 0])
-                begin = ends - own["length"][order]
-                offset = begin - np.maximum.accumulate(np.where(first, begin, 0))
-                data = {id_column: pd.Series(list(x.doc), dtype="Int64" if kind in ("bigint", "int") else object)[order], "piece": own["piece"][order], "start": own["start"][order], "length": own["length"][order], "ids_crc32": own["crc"][order], "sequence_id": (x.shard << 16) + own["places"][order].astype(np.int64), "offset": offset}
-                data[id_column] = data[id_column].to_numpy(dtype=object)
-                yield pd.DataFrame(data | ({"ids": [x.ids[i] for i in order]} if keep_ids else {}))
-
-    return rows.mapInPandas(place, schema)
+    names = ["doc", "piece", "start", "length", "crc", "sequences", *["ids"] * keep_ids]
+    rows = shards.join(pack_shards(shards.select("shard", "length")), "shard")
+    rows = rows.select(F.explode(F.arrays_zip(*names)).alias("x")).select("x.*")
+    # a sequence of repacked pieces spans shards, so places are told by sequence
+    before = F.sum("length").over(Window.partitionBy("sequences").orderBy("crc", "length", "piece", "start", "doc").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select(
+        F.col("doc").alias(id_column), "piece", "start", "length", F.col("crc").alias("ids_crc32"), F.col("sequences").alias("sequence_id"),
+        F.coalesce(before, F.lit(0)).cast("long").alias("offset"), *["ids"] * keep_ids,
+    )
