@@ -118,11 +118,12 @@ def test_toxicity(spark, empty):
 
 def test_marginals_by_enumeration():
     rng = np.random.default_rng(2)
-    model = toxicity.Field(rng.normal(size=5), rng.normal(size=5), 0.3, rng.normal(size=(2, 2)), toxicity.Vocabulary([]))
-    ids, bounds = rng.integers(0, 5, 9), np.array([0, 4, 4, 9])
-    p, _ = model.marginals(ids, bounds)
-    e = model.emissions(ids, bounds)
-    for a, b in ((0, 4), (4, 9)):
+    model = toxicity.Field(*(rng.normal(size=5) for _ in range(6)), np.array([0.3]), rng.normal(size=(2, 2)))
+    bounds = np.array([0, 4, 4, 9])
+    x = toxicity.Tokens(*(rng.integers(0, 5, 9) for _ in range(4)), bounds)
+    p, _, log0 = model.marginals(x)
+    e = model.emissions(x)
+    for doc, a, b in ((0, 0, 4), (2, 4, 9)):
         total, on = 0.0, np.zeros(b - a)
         for code in range(1 << (b - a)):
             s = [(code >> j) & 1 for j in range(b - a)]
@@ -130,6 +131,18 @@ def test_marginals_by_enumeration():
             total += w
             on += w * np.array(s)
         assert np.allclose(p[a:b], on / total)
+        assert np.isclose(log0[doc], (b - a - 1) * model.move[0, 0] - np.log(total))
+    y = np.array([1, 0, 0])
+    slope = model.gradient(x, y)
+    for i in range(len(model.vector())):  # against differences of the log likelihood
+        v, ends = model.vector(), []
+        for h in (1e-5, -1e-5):
+            w = v.copy()
+            w[i] += h
+            model.set(w)
+            ends.append(model.gradient(x, y)[-1])
+        model.set(v)
+        assert np.isclose(slope[i], (ends[0] - ends[1]) / 2e-5, atol=1e-5)
 
 
 def test_secrets(spark, docs, empty):

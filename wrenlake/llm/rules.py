@@ -6,7 +6,8 @@ certified if the exact binomial bound shows its false rejection rate of good doc
 ``risk / rules`` with confidence ``1 - fail / (rules * strata)``; the last one certified before the
 first that isn't is used (fixed-sequence testing within a rule, Bonferroni over rules and strata).
 So with confidence ``1 - fail`` no stratum loses more than ``risk`` of its good documents to these
-rules.  Where labels are too few to certify anything, nothing is rejected by them.
+rules.  Strata with fewer than ``LEAST_GOOD`` labelled good documents, for which nothing can be certified, are one stratum
+together.  Where labels are too few even so, nothing is rejected by these rules.
 
 Defined results: null text has no words and fails the base rule; a null stratum is a stratum of its
 own; repeated rows are repeated; the empty table gives an empty result; other columns are dropped.
@@ -34,6 +35,7 @@ RULES = {
     "dup_lines": ("n_dup_lines", "n_lines"),
     "repeats": ("n_repeat_words", "n_words"),
 }
+LEAST_GOOD = 600
 GRID = [9000, 8000, 7000, 6000, 5000, 4500, 4000, 3500, 3000, 2500, 2000, 1500, 1000, 700, 500]
 
 
@@ -43,7 +45,7 @@ def statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     Windows of three words are hashed, and only texts in which two hashes are equal sort theirs with
     their places; each run of covered words is then counted once.  No step is quadratic in a text.
     """
-    key = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum else F.lit("")
+    key = F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("null")) if stratum else F.lit("=")
     x = docs.select(F.col(id_column), key.alias("stratum"), F.coalesce(text_column, F.lit("")).alias("t"))
     x = x.withColumn("w", F.array_remove(F.split("t", GAP), ""))
     x = x.withColumn("lines", F.filter(F.split("t", "\n"), lambda s: s.rlike("[^\\x20\\x09-\\x0D]")))
@@ -85,7 +87,14 @@ def binomial_tail(k: str, n: str, p: float) -> Column:
     return F.expr(f"case when {k} > {p}D * {n} then 1D else aggregate(sequence(0L, {k}), named_struct('t', {n} * ln(1D - {p}D), 's', 0D), (a, j) -> {step}, a -> a.s) end")
 
 
-def cutoffs(stats: DataFrame, labels: DataFrame, id_column: str = "doc_id", risk: float = 0.06, fail: float = 0.05) -> DataFrame:
+def pooled(stats: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """``stats`` with the stratum ``''`` for all strata of few labelled good documents."""
+    good = stats.join(labels.where("quality = 1").select(id_column).distinct(), id_column, "left_semi")
+    large = good.groupBy("stratum").count().where(F.col("count") >= LEAST_GOOD).select("stratum", F.lit(True).alias("large"))
+    return stats.join(large, "stratum", "left").withColumn("stratum", F.when(F.col("large"), F.col("stratum")).otherwise("")).drop("large")
+
+
+def cutoffs(stats: DataFrame, labels: DataFrame, id_column: str = "doc_id", risk: float = 0.08, fail: float = 0.05) -> DataFrame:
     """One row per stratum with a certified cut-off per rule, null where none is.
 
     Counts of rejected good documents for every rule and cut-off come from one partial aggregation.
@@ -102,9 +111,9 @@ def cutoffs(stats: DataFrame, labels: DataFrame, id_column: str = "doc_id", risk
     return chosen.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cut"))).alias(f"cut_{r}") for r in RULES))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", stratum: str | None = "lang", risk: float = 0.06, fail: float = 0.05) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", stratum: str | None = "lang", risk: float = 0.08, fail: float = 0.05) -> DataFrame:
     """Counts, base verdict and verdict of the certified rules per document."""
-    stats = stash(statistics(docs, id_column, text_column, stratum), "rules")
+    stats = pooled(stash(statistics(docs, id_column, text_column, stratum), "rules"), labels, id_column)
     cuts = cutoffs(stats, labels, id_column, risk, fail)
     rejected = [F.coalesce(ratio(r) > F.col(f"cut_{r}"), F.lit(False)) for r in RULES]
     out = stats.join(cuts, "stratum", "left").withColumn("base_failed", base_failed())

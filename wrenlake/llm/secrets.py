@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stash
+from .common import fresh, join_hot, slices, stash
 
 # The base kinds, in order, with the least length that counts.
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -101,7 +101,7 @@ def secret_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     scanned = stash(scan(docs, id_column, text_column, owner, repository).withColumn("_row", F.monotonically_increasing_id()), "secrets")
     verdict = ownership(scanned).select("h", (F.col("n_owners") <= most_owners).alias("live"))
-    each = scanned.select("_row", F.explode("found").alias("x")).select("_row", "x.*").join(verdict, "h")
+    each = join_hot(scanned.select("_row", F.explode("found").alias("x")).select("_row", "x.*"), verdict, "h")
     each = each.where("kind < 3 or live")
     each = each.withColumn("d", F.struct("start", "kind", "end", "live"))
     per_doc = each.groupBy("_row").agg(F.sort_array(F.collect_list("d")).alias("detail"))
@@ -120,12 +120,13 @@ def redact(docs: DataFrame, text_column: str = "text", owner: Column | None = No
     with the hashes of their examples.
     """
     names = docs.columns
+    key, known = fresh(names, "key", "examples")
     suspect = F.coalesce(F.col(text_column).rlike(SUSPECT), F.lit(False))
-    keyed = docs.where(suspect).withColumn("_key", F.xxhash64(F.col(text_column)))
-    scanned = stash(scan(keyed, "_key", text_column, owner, repository), "secrets")
-    copied = ownership(scanned).where(F.col("n_owners") > most_owners).select("h")
-    examples = scanned.select("_key", F.explode("found.h").alias("h")).distinct().join(copied, "h", "left_semi")
-    examples = examples.groupBy("_key").agg(F.collect_set("h").alias("_examples"))
+    keyed = docs.where(suspect).withColumn(key, F.xxhash64(F.col(text_column)))
+    scanned = stash(scan(keyed, key, text_column, owner, repository), "secrets")
+    copied = ownership(scanned).where(F.col("n_owners") > most_owners).select("h", F.lit(True).alias("copied"))
+    examples = join_hot(scanned.select(key, F.explode("found.h").alias("h")), copied, "h").where("copied")
+    examples = examples.groupBy(key).agg(F.collect_set("h").alias(known))
     out_kind = dict(docs.dtypes)[text_column]
 
     @F.pandas_udf("string")
@@ -141,5 +142,5 @@ def redact(docs: DataFrame, text_column: str = "text", owner: Column | None = No
             out.append("".join([*parts, t[at:]]))
         return pd.Series(out, dtype=object)
 
-    masked = keyed.join(examples, "_key", "left").withColumn(text_column, mask_spans(F.col(text_column), F.col("_examples")).cast(out_kind))
+    masked = keyed.join(examples, key, "left").withColumn(text_column, mask_spans(F.col(text_column), F.col(known)).cast(out_kind))
     return docs.where(~suspect).unionByName(masked.select(*names))

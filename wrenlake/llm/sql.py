@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .rules import GRID, LEAST_WORDS, MOST_REPEATED, RULES
+from .rules import GRID, LEAST_GOOD, LEAST_WORDS, MOST_REPEATED, RULES
 
 
-def quality_rules_sql(risk: float = 0.06, fail: float = 0.05) -> str:
+def quality_rules_sql(risk: float = 0.08, fail: float = 0.05) -> str:
     """The rules in plain SQL: windows are compared as text, the binomial sum uses log gamma."""
     p = risk / len(RULES)
 
@@ -19,16 +19,17 @@ def quality_rules_sql(risk: float = 0.06, fail: float = 0.05) -> str:
     bad = {r: f"coalesce({ratio(r)} > cut_{r}, false)" for r in RULES}
     names = ", ".join(f"case when {x} then '{r}' end" for r, x in bad.items())
     return f"""
-with d as (select doc_id, coalesce(lang, '') as stratum, coalesce(text, '') as t from documents),
+with d as (select doc_id, coalesce('=' || lang, 'null') as stratum, coalesce(text, '') as t from documents),
 w as (select doc_id, stratum, t, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w,
       list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from d),
 win as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w where len(w) >= 3)),
 twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as c from win) where c > 1),
 cov as (select doc_id, count(distinct i + o)::BIGINT as n_repeat_words from twice, (select unnest([0, 1, 2]) as o) group by doc_id),
-s as (select w.doc_id, stratum, len(w)::BIGINT as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT as word_chars,
+s0 as (select w.doc_id, stratum, len(w)::BIGINT as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT as word_chars,
       len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT as n_symbols, len(regexp_extract_all(t, '[!?]'))::BIGINT as n_marks,
       len(regexp_extract_all(t, '[A-Z]'))::BIGINT as n_capitals, len(ls)::BIGINT as n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT as n_dup_lines,
       coalesce(n_repeat_words, 0)::BIGINT as n_repeat_words from w left join cov on cov.doc_id = w.doc_id),
+s as (select * replace (case when stratum in (select stratum from s0 where doc_id in (select doc_id from labels where quality = 1) group by stratum having count(*) >= {LEAST_GOOD}) then stratum else '' end as stratum) from s0),
 per as (select stratum, count(*)::BIGINT as n, {tests} from s where doc_id in (select doc_id from labels where quality = 1) group by stratum),
 lg as ({long}),
 tail as (select stratum, rule, i, n, k, sum(exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln({p}::DOUBLE) + (n - j) * ln(1 - {p}::DOUBLE))) as tail

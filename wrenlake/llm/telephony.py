@@ -3,7 +3,8 @@
 ``store_audio`` keeps each payload byte as one G.711 code in a WAV container, so storage is
 lossless.  ``expand`` turns codes into linear samples by a lookup table, ``decode_adpcm`` decodes
 all blocks of a payload side by side (one numpy step per sample place, over every block), and
-``resample_2x`` doubles the rate with a half-band filter.  The companding tables come from their rules.
+``resample_2x`` doubles the rate with a half-band filter; the result is stored as 16-bit PCM in a second container and read
+back.  The companding tables come from their rules.
 
 Defined results: null text is empty; an empty payload is padded to one block of 192 spaces; equal
 texts give equal rows; repeated rows are repeated; other columns are dropped.
@@ -24,7 +25,7 @@ from .common import bytes_of, slices
 
 BLOCK = 192  # bytes of an ADPCM block, and what payloads are padded to a multiple of
 RATE = 8000  # samples a second of the stored form
-MULAW, ALAW = 7, 6  # fixed values: WAVE format tags
+PCM, ALAW, MULAW = 1, 6, 7  # fixed values: WAVE format tags
 
 # Index changes of the IMA ADPCM format, by the low three bits of a code.
 INDEX_STEP = np.array([-1, -1, -1, -1, 2, 4, 6, 8], np.int32)
@@ -53,10 +54,11 @@ def alaw_table() -> np.ndarray:
 TABLES = {MULAW: mulaw_table(), ALAW: alaw_table()}
 
 
-def store_audio(payload: bytes, law: int = MULAW) -> bytes:
-    """A WAV file with one 8-bit code per payload byte."""
-    form = struct.pack("<HHIIHHH", law, 1, RATE, RATE, 1, 8, 0)
-    fact = struct.pack("<I", len(payload))
+def store_audio(payload: bytes, law: int = MULAW, rate: int = RATE) -> bytes:
+    """A WAV file with one channel of 8-bit codes, or of 16-bit samples (PCM)."""
+    width = 2 if law == PCM else 1
+    form = struct.pack("<HHIIHHH", law, 1, rate, rate * width, width, 8 * width, 0)
+    fact = struct.pack("<I", len(payload) // width)
     body = b"WAVEfmt " + struct.pack("<I", len(form)) + form + b"fact" + struct.pack("<I", 4) + fact
     body += b"data" + struct.pack("<I", len(payload)) + payload + b"\0" * (len(payload) % 2)
     return b"RIFF" + struct.pack("<I", len(body)) + body
@@ -123,8 +125,8 @@ def adpcm_power(codes: np.ndarray, most: int = 8192) -> np.ndarray:
     return np.concatenate([np.einsum("ij,ij->i", x, x) for x in parts])
 
 
-def features(payloads: list[bytes]) -> list[str]:
-    """Of each payload: level, peak and sign changes of the expanded audio, level of its A-law and ADPCM readings, and the resampled form's checksum.
+def features(payloads: list[bytes], pcm: list[bytes]) -> list[str]:
+    """Of each payload: level, peak and sign changes of the expanded audio, level of its A-law and ADPCM readings, and its resampled form's checksum.
 
     All payloads (of whole blocks) are expanded and decoded together.
     """
@@ -141,7 +143,7 @@ def features(payloads: list[bytes]) -> list[str]:
     adpcm = np.add.reduceat(adpcm_power(codes).astype(np.float64), start // BLOCK)
     out = []
     for i, (at, n) in enumerate(zip(start.tolist(), size.tolist())):
-        wide = zlib.crc32(resample_2x(linear[at : at + n]).astype("<i2").tobytes())
+        wide = zlib.crc32(pcm[i])
         samples = n // BLOCK * (2 * (BLOCK - 4) + 1)
         out.append(f"n={n},peak={peak[i]},zc={changes[i]},mu={(power[0][i] / n) ** 0.5:.1f},a={(power[1][i] / n) ** 0.5:.1f},adpcm={(adpcm[i] / samples) ** 0.5:.1f},pcm16k_crc32={wide}")
     return out
@@ -150,23 +152,26 @@ def features(payloads: list[bytes]) -> list[str]:
 def audio_column(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep_media: bool = False, keep_pcm: bool = False) -> DataFrame:
     """Store each text's bytes as telephony audio, read the stored bytes back, and describe them.
 
-    ``keep_media`` adds the stored WAV, ``keep_pcm`` the expanded audio at 16 kHz (16-bit, little-endian).
+    ``keep_media`` adds the stored WAV, ``keep_pcm`` the WAV of the expanded audio at 16 kHz (16-bit, little-endian); the
+    size and digest of its samples, as read back, are always there.
     One pass, no shuffle.
     """
     kind = dict(docs.dtypes)[id_column]
-    schema = f"{id_column} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    schema += ", media binary" * keep_media + ", pcm16k binary" * keep_pcm
+    schema = f"{id_column} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
+    schema += ", media binary" * keep_media + ", pcm binary" * keep_pcm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_column, 4 << 20):
+        for batch in slices(batches, text_column, 1 << 20):
             texts = bytes_of(batch.column(text_column))
             media = [store_audio(t + b" " * (BLOCK - len(t) if len(t) < BLOCK else -len(t) % BLOCK)) for t in texts]
             read = [read_audio(x)[1] for x in media]
+            wide = [store_audio(resample_2x(expand(codes)).astype("<i2").tobytes(), PCM, 2 * RATE) for codes in read]
+            samples = [read_audio(x)[1] for x in wide]
             rows = []
-            for text, stored, codes, feature in zip(texts, media, read, features(read)):
-                row = [len(text), len(codes), hashlib.sha256(codes).hexdigest(), zlib.crc32(codes[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature]
-                rows.append(row + [stored] * keep_media + [resample_2x(expand(codes)).astype("<i2").tobytes()] * keep_pcm)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.binary()] * (keep_media + keep_pcm)]
+            for text, stored, codes, feature, pcm, file in zip(texts, media, read, features(read, samples), samples, wide):
+                row = [len(text), len(codes), hashlib.sha256(codes).hexdigest(), zlib.crc32(codes[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, len(pcm), hashlib.sha256(pcm).hexdigest()]
+                rows.append(row + [stored] * keep_media + [file] * keep_pcm)
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), *[pa.binary()] * (keep_media + keep_pcm)]
             columns = [pa.array(list(x), k) for x, k in zip(zip(*rows), kinds)]
             names = [x.split()[0] for x in schema.split(", ")]
             yield pa.RecordBatch.from_arrays([batch.column(id_column), *columns], names=names)

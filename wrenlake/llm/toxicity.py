@@ -331,8 +331,8 @@ def word_spans(text: bytes, p: np.ndarray) -> list[dict]:
     return [{"start": int(place[begin[i]]), "end": int(place[begin[i] + long[i]]), "p": float(p[i])} for i in np.flatnonzero(p > 0.5)]
 
 
-def score_texts(docs: DataFrame, model: Field | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Score of every whole text, number of toxic words, and the character offsets of those: words with a marginal over one half.
+def score_texts(docs: DataFrame, model: Field | None, id_column: str = "doc_id", text_column: str = "text", keep_spans: bool = True) -> DataFrame:
+    """Score of every whole text, number of toxic words, and (``keep_spans``) the character offsets of those: words with a marginal over one half.
 
     One pass, no shuffle.
     """
@@ -353,7 +353,8 @@ def score_texts(docs: DataFrame, model: Field | None, id_column: str = "doc_id",
             spans = [word_spans(t, p[a:b]) if k else [] for t, a, b, k in zip(texts, bounds, bounds[1:], n)]
             yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.array(scores, pa.float64()), pa.array(n, pa.int64()), pa.array(spans, span)], names=[id_column, "score", "n_toxic", "spans"])
 
-    return docs.select(id_column, text_column).mapInArrow(run, schema)
+    out = docs.select(id_column, text_column).mapInArrow(run, schema)
+    return out if keep_spans else out.drop("spans")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", cut: float = CUT) -> DataFrame:

@@ -24,10 +24,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_dir, slices, stash
+from .common import join_hot, new_dir, slices, stash
 
 FILE_BYTES = 64 << 20  # a file is closed beyond this
 RANGE_BYTES = 8 << 20  # the most that one range read spans, unless one record is longer
+TASK_BYTES = 2 << 20  # of records that a task reads, about
 GAP_BYTES = 64 << 10  # unselected bytes that are read along rather than cut a range
 INDEX = "file string, offset long, length long, page_id long, url string, payload_digest string, record_type string, refers_to long"
 # What the archive format prescribes.
@@ -81,9 +82,9 @@ def plan_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     The largest id per digest is partly found before the shuffle; digests, not pages, are joined.
     """
     body = F.coalesce("html", F.lit("")).cast("binary")
-    each = pages.where(F.length(body) >= least_bytes).select("page_id", F.unhex(F.sha2(body, 256)).alias("digest"))
+    each = stash(pages.where(F.length(body) >= least_bytes).select("page_id", F.unhex(F.sha2(body, 256)).alias("digest")), "warc-digests")
     top = each.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    found = each.join(top, "digest").where("page_id is null or page_id < refers_to")
+    found = join_hot(each, top, "digest").where("refers_to is not null and (page_id is null or page_id < refers_to)")
     return found.select("page_id", "refers_to", "digest").distinct()
 
 
@@ -137,7 +138,8 @@ def ranges(places: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
 def read_records(index: DataFrame, folder: str, keep_payload: bool = False) -> DataFrame:
     """The records that ``index`` selects, parsed from the archives; payloads are digested again and must agree.
 
-    Rows are dealt by file and 8 MB block and sorted by offset, so each task reads forward in few ranges.
+    Rows are dealt by file and block of ``TASK_BYTES`` and sorted by offset, so each task reads forward in few ranges;
+    the number of tasks goes by the records' bytes.
     """
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * keep_payload
 
@@ -165,8 +167,9 @@ def read_records(index: DataFrame, folder: str, keep_payload: bool = False) -> D
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.binary()] * keep_payload]
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*found), kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
-    block = F.floor(F.col("offset") / RANGE_BYTES)
-    placed = index.select("file", "offset", "length").repartition("file", block).sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    block = F.floor(F.col("offset") / TASK_BYTES)
+    placed = index.select("file", "offset", "length").repartition(1 + int(total // TASK_BYTES), "file", block).sortWithinPartitions("file", "offset")
     return placed.mapInArrow(run, schema)
 
 
