@@ -59,7 +59,7 @@ class Words(dict):
     is two parts, as the tokenizer splits it there; any other is one part.  Other tokenizers get whole texts.
     """
 
-    most = 150_000  # some 30 MB
+    most = 400_000  # some 80 MB; emptied after each task
 
     def __init__(self, path: str):
         super().__init__()
@@ -181,7 +181,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_column: str, text_column: str, ke
             out = [pa.array([list(columns[0])], pa.list_(doc_kind)), *(pa.array([list(c)], pa.list_(k)) for c, k in zip(columns[1:], kinds))]
             return pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), *out], names=[x.split()[0] for x in schema.split(", ")])
 
-        for batch in slices(batches, text_column):
+        for batch in slices(batches, text_column, 8 << 20):
             doc_kind = batch.column(id_column).type
             ids, at = coder.encode(batch.column(text_column))
             ids = ids.astype("<u4")
