@@ -25,7 +25,7 @@ def plain(v):
     return None if isinstance(v, float) and math.isnan(v) else round(v, 5) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", [n for n in plans.SQL if n in ("segment_fixed", "label_join", "label_mask", "folds_group", "dedup_three_key", "cluster_species", "purity", "auc_masked", "pseudo_inject", "submission_wide", "sliding_5s_1s", "early_stop", "mixup", "stream_dedup")])
+@pytest.mark.parametrize("name", list(plans.SQL))
 def test_same_as_sql(spark, db, name):
     df = plans.QUERIES[name](spark, FOLDER)
     cols = sorted(df.columns)
@@ -37,14 +37,14 @@ def test_same_as_sql(spark, db, name):
 
 
 def test_whole_core_distances(spark):
-    rows = plans.QUERIES["core_distance_all"](spark, FOLDER).collect()
+    rows = plans.QUERIES["core_distance"](spark, FOLDER).collect()
     table = spark.read.parquet(f"{FOLDER}/embeddings.parquet").toPandas()
     x = np.stack(table.embedding.to_numpy()).astype(float)
     d = dict(zip(table.vec_id, np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), axis=1)[:, 10]))
     assert len(rows) == len(d) and all(abs(r.dist - d[r.vec_id]) < 2e-6 for r in rows)
 
 
-@pytest.mark.parametrize(("name", "width"), [("mixup_all", 64), ("subcluster_match_all", None)])
+@pytest.mark.parametrize(("name", "width"), [("mixup", 64), ("subcluster_match", None)])
 def test_whole_vectors_same_as_sql(spark, db, name, width):
     df = plans.QUERIES[name](spark, FOLDER)
     got = {tuple(r)[:2]: r[2] for r in df.collect()}
@@ -61,11 +61,11 @@ def test_whole_vectors_same_as_sql(spark, db, name, width):
             assert all(abs(got[v, g] - q) < 1e-5 for v, q in zip(table.vec_id, own))
 
 
-@pytest.mark.parametrize("name", ["taxonomy_lookup", "taxonomy_lookup_all", "coalesce_lookup", "coalesce_lookup_all"])
+@pytest.mark.parametrize("name", ["taxonomy_lookup", "coalesce_lookup"])
 def test_lookups_same_as_sql(spark, db, name):
     rows = [tuple(r) for r in plans.QUERIES[name](spark, FOLDER).collect()]
     assert sorted(rows) == sorted(db.execute(plans.SQL[name]).fetchall())
-    if name == "taxonomy_lookup_all":
+    if name == "taxonomy_lookup":
         assert all(r[2] == "strong_primary" for r in rows)
 
 

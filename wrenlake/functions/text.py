@@ -22,8 +22,8 @@ def split_labels(text: Column) -> Column:
 
 
 def parse_list(text: Column) -> Column:
-    """A list literal such as ``['a', 'b']``; what can't be parsed is the empty list."""
-    return F.coalesce(F.from_json(F.translate(text, "'", '"'), "array<string>"), F.array().cast("array<string>"))
+    """A list literal such as ``['a', "it's"]``; what can't be parsed is the empty list."""
+    return F.coalesce(F.from_json(text, "array<string>", {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}), F.array().cast("array<string>"))
 
 
 def seconds(text: Column) -> Column:

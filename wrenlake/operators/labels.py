@@ -29,16 +29,29 @@ def spread(*columns: str, seed: int = 42) -> Column:
     return F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in columns], F.lit(str(seed))))
 
 
-def group_folds(keys: DataFrame, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """A fold per distinct key, so that rows of one key share it; sizes in keys differ by one at most.
+#: Keys that one task ranks, about.
+RANKED = 1_000_000
+
+
+def ranked(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """``rows`` with ``r``, the rank from 0 of ``key`` in an order that doesn't follow the data, and ``n``, their number.
 
-    Keys are ranked in ranges: counts per leading checksum digits are added up first, so no task ranks all keys.
+    Ranks are counted in ranges of leading checksum digits, whose sizes are added up first: more digits for more rows.
     """
-    x = keys.select(key).distinct().withColumn("o", spread(key, seed=seed)).withColumn("b", F.substring("o", 1, 2))
-    size = x.groupBy("b").agg(F.count("*").alias("n"))  # 256 rows at most
-    size = size.select("b", (F.sum("n").over(Window.orderBy("b")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("b").orderBy("o", key)) - 1
-    return x.withColumn("r", rank).join(size, "b").select(key, ((F.col("r") + F.col("before")) % folds).cast("int").alias("fold"))
+    digits = 2
+    total = rows.count()
+    while total > RANKED * 16**digits:
+        digits += 1
+    x = rows.withColumn("_o", spread(key, seed=seed)).withColumn("_b", F.substring("_o", 1, digits))
+    size = x.groupBy("_b").agg(F.count("*").alias("_n"))  # as many rows as ranges
+    size = size.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"), F.lit(total).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_o", key)) - 1
+    return x.withColumn("r", rank).join(size, "_b").withColumn("r", F.col("r") + F.col("_before")).drop("_o", "_b", "_before")
+
+
+def group_folds(keys: DataFrame, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """A fold per distinct key, so that rows of one key share it; sizes in keys differ by one at most."""
+    return ranked(keys.select(key).distinct(), key, seed).select(key, (F.col("r") % folds).cast("int").alias("fold"))
 
 
 def sample_exact(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

@@ -21,10 +21,11 @@ def auc_by_class(scored: DataFrame, group: str, score: str, label: str) -> DataF
 
 
 def focal_loss(rows: DataFrame, alpha: float = 0.25, gamma: float = 2.0) -> DataFrame:
-    """Masked focal loss of columns x (logit), y, m: mean over masked entries."""
+    """Masked focal loss of columns x (logit), y, m: mean over masked entries; soft targets count as present from 0.5."""
     p = V.sigmoid(F.col("x"))
-    pt = p * F.col("y") + (1 - p) * (1 - F.col("y"))
-    at = alpha * F.col("y") + (1 - alpha) * (1 - F.col("y"))
+    present = F.col("y") >= 0.5
+    pt = F.when(present, p).otherwise(1 - p)
+    at = F.when(present, alpha).otherwise(1 - alpha)
     loss = at * F.pow(1 - pt, gamma) * V.log_loss(F.col("x"), F.col("y"))
     return rows.agg((F.sum(loss * F.col("m")) / F.greatest(F.sum("m"), F.lit(1.0))).alias("loss"))
 

@@ -43,8 +43,10 @@ def medoids(rows: DataFrame, key: str, group: str, vector: str, places: int = 9)
 
 def prototype_matrix(prototypes: DataFrame, k: str, p: str) -> tuple[list, np.ndarray]:
     """Ids and rows of the prototypes, for tasks to multiply with; refuses more than a bounded number."""
+    prototypes = prototypes.select(k, p).persist()  # read twice, computed once
     width = prototypes.select(F.max(F.size(p)).alias("w")).first().w or 1
     rows = prototypes.orderBy(k).limit(MOST_NUMBERS // width + 1).collect()
+    prototypes.unpersist()
     if len(rows) * width > MOST_NUMBERS:
         raise ValueError(f"more than {MOST_NUMBERS} numbers in the prototypes")
     return [r[k] for r in rows], np.array([r[p] for r in rows], float)
@@ -64,8 +66,14 @@ def weights(frames: np.ndarray, protos: np.ndarray, metric: str, temperature: fl
 
 
 def soft_assign(segments: DataFrame, key: str, frames: str, prototypes: DataFrame, k: str = "k", p: str = "p", metric: str = "cosine", temperature: float = 0.1) -> DataFrame:
-    """(key, t, k, w): weight of each prototype at each frame.  One product per batch, no join."""
+    """(key, t, k, w): weight of each prototype at each frame.  One product per batch, no join.
+
+    Segments without frames (null or none) give no rows; nor do any without prototypes.
+    """
     ids, matrix = prototype_matrix(prototypes, k, p)
+    schema = f"{key} {dict(segments.dtypes)[key]}, t int, k int, w double"
+    if not ids:
+        return segments.sparkSession.createDataFrame([], schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -75,15 +83,19 @@ def soft_assign(segments: DataFrame, key: str, frames: str, prototypes: DataFram
                 t = np.concatenate([np.arange(x) for x in n])
                 yield pd.DataFrame({key: np.repeat(np.repeat(b[key].to_numpy(), n), len(ids)), "t": np.repeat(t, len(ids)), "k": np.tile(ids, len(w)), "w": w.ravel()})
 
-    return segments.select(key, frames).mapInPandas(run, f"{key} {dict(segments.dtypes)[key]}, t int, k int, w double")
+    return segments.select(key, frames).where(F.size(frames) > 0).mapInPandas(run, schema)
 
 
 def motif_features(segments: DataFrame, key: str, frames: str, prototypes: DataFrame, k: str = "k", p: str = "p", metric: str = "cosine", temperature: float = 0.1) -> DataFrame:
     """(key, k, hist, mx, spread, noise): sum, maximum and population deviation of weights over a segment's frames, and its noise.
 
-    A segment's frames stand in one row, so nothing is shuffled.
+    A segment's frames stand in one row, so nothing is shuffled.  Segments without frames (null or none) give no rows;
+    nor do any without prototypes.
     """
     ids, matrix = prototype_matrix(prototypes, k, p)
+    schema = f"{key} {dict(segments.dtypes)[key]}, k int, hist double, mx double, spread double, noise double"
+    if not ids:
+        return segments.sparkSession.createDataFrame([], schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -99,7 +111,7 @@ def motif_features(segments: DataFrame, key: str, frames: str, prototypes: DataF
             m = len(ids)
             yield pd.DataFrame({key: np.repeat(b[key].to_numpy(), m), "k": np.tile(ids, len(b)), "hist": hist.ravel(), "mx": top.ravel(), "spread": dev.ravel(), "noise": np.repeat(noise, m)})
 
-    return segments.select(key, frames).where(F.size(frames) > 0).mapInPandas(run, f"{key} {dict(segments.dtypes)[key]}, k int, hist double, mx double, spread double, noise double")
+    return segments.select(key, frames).where(F.size(frames) > 0).mapInPandas(run, schema)
 
 
 def dominant(features: DataFrame, key: str, places: int = 6) -> DataFrame:

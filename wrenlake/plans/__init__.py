@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return put
 
 
-from . import learning, relational, vectors  # noqa: E402, F401
+from . import learning, relational, semantics, vectors  # noqa: E402, F401

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -11,12 +9,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import mixtures as X
 from ..operators import neighbours as N
-from ..operators.labels import spread
 from ..sources import table
-from ..streaming import accept, append_new, run_all, stream_table
+from ..streaming import accept, append_new, new_sink, run_all, stream_table
 from . import query
 from .vectors import LENGTH, WIDTH, segments
 
@@ -86,23 +84,14 @@ def loss_distill(spark, d):
     return table(spark, d, "embeddings").select(c.alias("c")).agg(F.round(F.avg(1 - F.col("c")), 6).alias("loss"), F.round(F.avg("c"), 6).alias("cos"))
 
 
-@query("with o as (select vec_id, embedding as e, row_number() over (order by md5(vec_id::VARCHAR || ':7'), vec_id) - 1 as r, count(*) over () as n from embeddings) select a.vec_id, i::INTEGER as i, round(0.7 * a.e[i + 1]::DOUBLE + 0.3 * b.e[i + 1]::DOUBLE, 6) as x from o a join o b on b.r = (a.r + 1) % a.n, (select unnest(range(0, 4)) as i)")
-def mixup(spark, d):
-    return blend(table(spark, d, "embeddings").select("vec_id", F.slice(V.doubles(F.col("embedding")), 1, 4).alias("e")))
-
-
 @query("with o as (select vec_id, embedding as e, row_number() over (order by md5(vec_id::VARCHAR || ':7'), vec_id) - 1 as r, count(*) over () as n from embeddings) select a.vec_id, i::INTEGER as i, round(0.7 * a.e[i + 1]::DOUBLE + 0.3 * b.e[i + 1]::DOUBLE, 6) as x from o a join o b on b.r = (a.r + 1) % a.n, (select unnest(range(0, 64)) as i)")
-def mixup_all(spark, d):
+def mixup(spark, d):
     return blend(table(spark, d, "embeddings").select("vec_id", V.doubles(F.col("embedding")).alias("e")))
 
 
 def blend(x):
-    # neighbours in shuffled order; ranks come from counts per leading digits, as for folds
-    x = x.withColumn("o", spread("vec_id", seed=7)).withColumn("b", F.substring("o", 1, 2))
-    size = x.groupBy("b").agg(F.count("*").alias("c"))
-    every = Window.partitionBy(F.lit(0))
-    size = size.select("b", (F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("b")) - F.col("c")).alias("before"), F.sum("c").over(every).alias("n"))
-    x = x.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("o", "vec_id")) - 1).join(size, "b").withColumn("r", F.col("r") + F.col("before"))
+    # neighbours in shuffled order
+    x = L.ranked(x, "vec_id", 7)
     y = x.select(((F.col("r") - 1 + F.col("n")) % F.col("n")).alias("r"), F.col("e").alias("u"))
     z = x.join(y, "r").select("vec_id", F.posexplode(F.zip_with("e", "u", lambda a, b: 0.7 * a + 0.3 * b)).alias("i", "x"))
     return z.withColumn("x", F.round("x", 6))
@@ -143,24 +132,11 @@ def clip_max(spark, d):
     return logits(spark, d).groupBy(F.expr("vec_id div 4").alias("clip"), "j").agg(F.max("p").alias("p"))
 
 
-MOMENTS = "mo as (select label as species, i, avg(x) as mu, var_pop(x) + 1e-3::DOUBLE as va from (select label, i, embedding[i]::DOUBLE as x from embeddings, (select unnest(range(1, 9)) as i)) group by label, i)"
+MOMENTS = "mo as (select label as species, i, avg(x) as mu, var_pop(x) + 1e-3::DOUBLE as va from (select label, i, embedding[i]::DOUBLE as x from embeddings, (select unnest(range(1, 65)) as i)) group by label, i)"
 
 
 @query(f"with {MOMENTS} select vec_id, species, round(ll, 6) as ll from (select e.vec_id, species, -0.5 * sum(ln(2 * pi() * va) + (embedding[i]::DOUBLE - mu) * (embedding[i]::DOUBLE - mu) / va) as ll from embeddings e, mo group by e.vec_id, species)")
 def subcluster_match(spark, d):
-    # one Gaussian per species on eight dimensions; the models stand in the plan as one array per dimension
-    x = table(spark, d, "embeddings").select("vec_id", "label", F.slice(V.doubles(F.col("embedding")), 1, 8).alias("v"))
-    mo = x.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("mu"), (F.var_pop("x") + 1e-3).alias("va"))
-    each = x.select("vec_id", F.posexplode("v").alias("i", "x")).join(mo, "i")
-    term = F.log(2 * F.pi() * F.col("va")) + (F.col("x") - F.col("mu")) ** 2 / F.col("va")
-    return each.groupBy("vec_id", F.col("label").alias("species")).agg(F.round(-0.5 * F.sum(term), 6).alias("ll"))
-
-
-MOMENTS_ALL = "mo as (select label as species, i, avg(x) as mu, var_pop(x) + 1e-3::DOUBLE as va from (select label, i, embedding[i]::DOUBLE as x from embeddings, (select unnest(range(1, 65)) as i)) group by label, i)"
-
-
-@query(f"with {MOMENTS_ALL} select vec_id, species, round(ll, 6) as ll from (select e.vec_id, species, -0.5 * sum(ln(2 * pi() * va) + (embedding[i]::DOUBLE - mu) * (embedding[i]::DOUBLE - mu) / va) as ll from embeddings e, mo group by e.vec_id, species)")
-def subcluster_match_all(spark, d):
     # one Gaussian per species on all dimensions; each vector meets the few models, one row per species
     x = table(spark, d, "embeddings").select("vec_id", "label", V.doubles(F.col("embedding")).alias("v"))
     mo = x.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("mu"), (F.var_pop("x") + 1e-3).alias("va"))
@@ -170,17 +146,8 @@ def subcluster_match_all(spark, d):
     return each.select("vec_id", "species", F.round(-0.5 * F.aggregate(terms, F.lit(0.0), lambda s, t: s + t), 6).alias("ll"))
 
 
-@query("with v as (select vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) as v from embeddings where vec_id % 10 = 0), p as (select a.vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))), 6) as dist from v a join v b on a.label = b.label and a.vec_id <> b.vec_id) select vec_id, dist from (select vec_id, dist, row_number() over (partition by vec_id order by dist) as r from p) where r = 3")
-def core_distance(spark, d):
-    # the clustering sample is the operator's input by definition: core distances are taken within it
-    x = table(spark, d, "embeddings").where("vec_id % 10 = 0").select("vec_id", "label", V.doubles(F.col("embedding")).alias("v"))
-    y = x.select("label", F.col("vec_id").alias("o"), F.col("v").alias("u"))
-    p = x.join(y, "label").where("vec_id <> o").select("vec_id", F.round(F.sqrt(V.squared_distance(F.col("v"), F.col("u"))), 6).alias("dist"))
-    return p.withColumn("r", F.row_number().over(Window.partitionBy("vec_id").orderBy("dist"))).where("r = 3").select("vec_id", "dist")
-
-
 @query()
-def core_distance_all(spark, d):
+def core_distance(spark, d):
     # the reference's min_samples, among all embeddings
     return N.core_distances(table(spark, d, "embeddings"), "vec_id", "embedding", 10).withColumn("dist", F.round("dist", 6))
 
@@ -206,16 +173,14 @@ def pca_project(spark, d):
 
 @query("select event_id from events where value between 10 and 50")
 def stream_bbox(spark, d):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    sink = f"{base}/stream-{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
+    sink = new_sink(spark)
     run_all(accept(stream_table(spark, d, "events"), F.col("value").between(10, 50)).select("event_id"), f"{sink}/out", f"{sink}/log")
     return spark.read.schema("event_id long").parquet(f"{sink}/out")
 
 
 @query("select distinct user_id, event_type from events")
 def stream_dedup(spark, d):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    sink = f"{base}/stream-{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
+    sink = new_sink(spark)
     rows = stream_table(spark, d, "events").select("user_id", "event_type")
     keep = ["user_id", "event_type"]
     rows.writeStream.foreachBatch(lambda batch, _: append_new(batch, f"{sink}/out", keep)).option("checkpointLocation", f"{sink}/log").trigger(availableNow=True).start().awaitTermination()

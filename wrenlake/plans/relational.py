@@ -141,13 +141,8 @@ def label_join(spark, d):
     return table(spark, d, "documents").join(last, "doc_id", "left").select("doc_id", q.alias("label_quality"))
 
 
-@query("select c_custkey, coalesce(n_name, '') as species, case when n_name is null then 'unlabeled' else 'strong_primary' end as label_quality from customer left join nation on lower(trim(upper(n_nationkey::VARCHAR))) = c_nationkey::VARCHAR and n_nationkey < 20")
-def taxonomy_lookup(spark, d):
-    return taxonomy(table(spark, d, "customer"), table(spark, d, "nation").where("n_nationkey < 20"))
-
-
 @query("select c_custkey, coalesce(n_name, '') as species, case when n_name is null then 'unlabeled' else 'strong_primary' end as label_quality from customer left join nation on lower(trim(upper(n_nationkey::VARCHAR))) = c_nationkey::VARCHAR")
-def taxonomy_lookup_all(spark, d):
+def taxonomy_lookup(spark, d):
     return taxonomy(table(spark, d, "customer"), table(spark, d, "nation"))
 
 
@@ -163,13 +158,8 @@ def star_join(spark, d):
     return x.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_orderstatus", "p_brand")
 
 
-@query("select s_suppkey, coalesce(r_name, n_name, s_nationkey::VARCHAR) as name from supplier left join nation on n_nationkey = s_nationkey left join region on r_regionkey = n_regionkey and r_regionkey > 1")
-def coalesce_lookup(spark, d):
-    return first_name(table(spark, d, "supplier"), table(spark, d, "nation"), table(spark, d, "region").where("r_regionkey > 1"))
-
-
 @query("select s_suppkey, coalesce(r_name, n_name, s_nationkey::VARCHAR) as name from supplier left join nation on n_nationkey = s_nationkey left join region on r_regionkey = n_regionkey")
-def coalesce_lookup_all(spark, d):
+def coalesce_lookup(spark, d):
     return first_name(table(spark, d, "supplier"), table(spark, d, "nation"), table(spark, d, "region"))
 
 
@@ -197,10 +187,10 @@ def dedup_three_key(spark, d):
     return L.not_seen(x, y, [("doc_id", "item_id"), ("text", "t"), ("h", "th")]).select("doc_id")
 
 
-@query("select page_id from pages where regexp_replace(regexp_extract(url, '([0-9]+)$', 1), '^0+', '') not in (select p_partkey::VARCHAR from part where p_size > 25)")
+@query("select page_id from pages where coalesce(nullif(regexp_replace(regexp_replace(upper(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1')), '^[XC]+', ''), '^0+', ''), ''), '0') not in (select p_partkey::VARCHAR from part where p_size > 25)")
 def anti_extracted_id(spark, d):
-    x = table(spark, d, "pages").select("page_id", F.regexp_replace(F.regexp_extract("url", "([0-9]+)$", 1), "^0+", "").alias("key"))
-    return L.not_seen(x, table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").cast("string").alias("p")), [("key", "p")]).select("page_id")
+    numbered = table(spark, d, "pages").select("page_id", T.catalogue_id(F.col("url")).alias("key"))
+    return L.not_seen(numbered, table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").cast("string").alias("p")), [("key", "p")]).select("page_id")
 
 
 @query("select o_orderkey from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
@@ -318,12 +308,6 @@ def class_weights(spark, d):
     return x.select("label", F.round(F.col("w") / F.sum("w").over(Window.partitionBy(F.lit(0))), 9).alias("weight"))
 
 
-@query("select doc_id, case when regexp_matches(source, '^src1') then 'one' || regexp_extract(source, '([0-9]+)$', 1) else source end as source from documents")
-def repair_labels(spark, d):
-    x = F.when(F.col("source").rlike("^src1"), F.concat(F.lit("one"), F.regexp_extract("source", "([0-9]+)$", 1))).otherwise(F.col("source"))
-    return table(spark, d, "documents").select("doc_id", x.alias("source"))
-
-
 @query("with e as (select (epoch(ts)::BIGINT // 86400) as epoch, round(avg(value), 6) as metric from events group by 1), b as (select *, max(metric) over (order by epoch) as best from e) select epoch, metric, best, epoch - min(epoch) over (partition by best) >= 7 as stop from b")
 def early_stop(spark, d):
     day = F.unix_date(F.to_date("ts")).cast("long")

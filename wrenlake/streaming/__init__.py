@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table as a stream; its schema is read from the table."""
     path = f"{folder}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if name.endswith("/") else f"{folder}/{name}*.parquet")
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path[:-1] + "[t]")  # a pattern, as streams want for single files, that only this path matches
 
 
 def accept(stream: DataFrame, keep: Column) -> DataFrame:
@@ -43,3 +46,23 @@ def append_new(batch: DataFrame, path: str, keys: list[str]) -> None:
 def run_all(stream: DataFrame, sink: str, checkpoint: str) -> None:
     """Process all that is there now into a Parquet sink."""
     stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def new_sink(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share; only a local session without one gets a local folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{base}/stream-{uuid.uuid4().hex}"
+
+
+def complete(stream: DataFrame, sink: str) -> DataFrame:
+    """The whole result of a streaming aggregation over all that is there now; each batch replaces the one before."""
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/out")
+
+    stream.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", f"{sink}/log").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{sink}/out")
