@@ -60,14 +60,31 @@ class Ranks:
         return np.where(self.keys[at] == key, self.ranks[at], NONE)
 
     def one_word(self, word: bytes) -> list[int]:
-        """The same merges for a single word, one at a time: always the lowest rank, leftmost first."""
+        """The same merges for a single word, one at a time: always the lowest rank, leftmost first, from a heap of pairs."""
         part = [self.ids[word[i : i + 1]] for i in range(len(word))]
-        while True:
-            found = [(self.merges.get(a * self.n + b, NONE), i) for i, (a, b) in enumerate(zip(part, part[1:]))]
-            rank, i = min(found, default=(NONE, 0))
-            if rank == NONE:
-                return part
-            part[i : i + 2] = [int(rank)]
+        after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
+        heap: list[tuple[int, int, int, int]] = []
+
+        def enter(i: int) -> None:
+            if i >= 0 and after[i] < len(part):
+                rank = self.merges.get(part[i] * self.n + part[after[i]])
+                if rank is not None:
+                    heapq.heappush(heap, (rank, i, part[i], part[after[i]]))
+
+        for i in range(len(part)):
+            enter(i)
+        while heap:
+            rank, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if part[i] != a or j >= len(part) or part[j] != b:
+                continue  # one of the two has merged since
+            part[i], part[j] = rank, -1
+            after[i] = after[j]
+            if after[i] < len(part):
+                before[after[i]] = i
+            enter(before[i])
+            enter(i)
+        return [x for x in part if x >= 0]
 
 
 @lru_cache(4)
