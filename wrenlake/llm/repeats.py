@@ -252,7 +252,7 @@ def covered(starts: list[int]) -> list[int]:
 def suffixes(keyed: DataFrame) -> DataFrame:
     """Suffixes of shared buckets: ``seg``, the bytes of their strings, with the q-gram (``key``) at ``left``; of hot ones single strings (``key``).
 
-    ``keyed``: id, cls, text, hashes, hot.  Of documents in one slice with the same bytes, only the least goes on; strings
+    ``keyed``: id, cls, text, hashes, hot; other columns aren't read.  Of documents in one slice with the same bytes, only the least goes on; strings
     of the others are known to be removed and come out as spans.
     """
     names = [x.split()[0] for x in SUFFIX.split(", ")]
@@ -406,9 +406,9 @@ def cut_out(text: bytes, spans: list[int]) -> tuple[bytes, int, int]:
 
 
 def with_keys(docs: DataFrame, id_column: str, text_column: str, keep: bool) -> DataFrame:
-    """(id, cls, text) of each document, and ``row``, all its columns, if they are to be kept."""
+    """(id, cls, text) of each document, and ``row``, all its other columns, if they are to be kept."""
     text = F.coalesce(F.col(text_column), F.lit(""))
-    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] * keep
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_column)).alias("row")] * keep
     return docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("cls"), F.col(text_column).alias("text"), *row)
 
 
@@ -416,7 +416,8 @@ def find_spans(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (id, cls, n_bytes, digest, first) of all documents, and (id, cls, spans) of those of which something goes.
 
     ``first``: the least id with the same text.  Copies aren't searched; they go as a whole.
-    ``keyed`` is dealt out by key for the search; a caller that joins the same rows with the spans reuses that exchange.
+    ``keyed`` is dealt out by key for the search, with all its columns; a caller that joins the same rows with the spans
+    reuses that exchange, so texts are shuffled once.
     """
     text = F.coalesce("text", F.lit(""))
     own = stash(keyed.select("id", "cls", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest")), "repeat-classes")
@@ -428,7 +429,7 @@ def find_spans(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = shared.groupBy("cls").agg(F.flatten(F.collect_list("hashes")).alias("hashes"), F.flatten(F.collect_list("hot")).alias("hot"))
     reps = own.where(f"id = first and n_bytes >= {LENGTH}").select("id", "cls").distinct()
     wanted = stash(reps.join(shared, "cls"), "repeat-wanted")
-    found = suffixes(keyed.join(wanted, ["id", "cls"], "left").select("id", "cls", "text", "hashes", "hot"))
+    found = suffixes(keyed.join(wanted, ["id", "cls"], "left").select(*keyed.columns, "hashes", "hot"))
     # equal keys meet; rows that only carry known spans go anywhere
     dealt = found.repartition(F.coalesce("key", F.col("cls").cast("string").cast("binary"))).sortWithinPartitions("key", "id")
     spans = dealt.mapInArrow(removed_spans, "id long, cls long, spans array<int>")
@@ -462,7 +463,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     A document of which nothing is left stays, with an empty text.  ``size_column``, if there is one, counts characters anew.
     """
     keyed = with_keys(docs, id_column, text_column, True)
-    own, spans = find_spans(keyed.drop("row"))
+    own, spans = find_spans(keyed)
     whole = own.where(f"n_bytes >= {LENGTH} and id > first").select("id", "cls", F.array(F.lit(0), F.col("n_bytes").cast("int")).alias("spans")).distinct()
     (left,) = fresh(docs.columns, "left")
 
@@ -472,7 +473,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             cut = [t if s is None else cut_out((t or "").encode(), s)[0].decode(errors="ignore") for t, s in zip(texts, spans)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(cut, pa.string()), pa.array([s is not None for s in spans])], names=["row", left, "changed"])
 
-    rows = docs.sparkSession.createDataFrame([], docs.schema).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).schema["row"].dataType
+    rows = keyed.schema["row"].dataType
     out = keyed.join(spans.unionByName(whole), ["id", "cls"], "left").mapInArrow(run, f"row {rows.simpleString()}, `{left}` string, changed boolean")
 
     def value(c: str):
