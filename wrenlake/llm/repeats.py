@@ -40,6 +40,7 @@ REACH = LENGTH - Q  # bytes on either side of a q-gram that strings over it can
 WIDTH = Q + 2 * REACH
 CROWD = 128  # classes in one slice from which a q-gram's bucket is hot
 MOST = 16_384  # classes in all from which it is
+MOST_TASKS = 20_000  # that buckets are dealt to; beyond, a task takes several, one after another
 HELD = 2_000_000  # suffixes of one run of buckets that are held before hot ones go
 CHUNK = 4096  # suffixes that are refined together, if their buckets allow it
 SLICE = 2 << 20  # bytes of text that are searched together
@@ -236,7 +237,8 @@ def shared_buckets(texts: DataFrame, buckets: int) -> DataFrame:
             yield shared()
 
     sent = texts.mapInArrow(run, "bucket int, cls long, hot array<long>, h binary, d binary, weight binary")
-    return sent.repartition(F.coalesce("cls", "bucket")).sortWithinPartitions("bucket").mapInArrow(meet, SHARED)
+    # set, so that tasks aren't merged: packed runs reach Python in one batch where there are few of them
+    return sent.repartition(min(buckets, MOST_TASKS), F.coalesce("cls", "bucket")).sortWithinPartitions("bucket").mapInArrow(meet, SHARED)
 
 
 SUFFIX = "key binary, seg binary, left int, id long, cls long, places array<int>, spans array<int>"
