@@ -136,6 +136,11 @@ def by_class(cls: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[np.ndarra
     return found, np.split(h[order].view(np.int64), at[1:]) if len(found) else []
 
 
+def turned(h: np.ndarray) -> np.ndarray:
+    """Low and high halves swapped: minimisers have small high halves, so buckets by those would be of very unequal size."""
+    return h << np.uint64(32) | h >> np.uint64(32)
+
+
 SHARED = "cls long, hashes array<long>, hot array<long>"
 
 
@@ -161,7 +166,7 @@ def shared_buckets(texts: DataFrame, buckets: int) -> DataFrame:
             texts = bytes_of(batch.column("text").take(pa.array(rows)))
             hashes, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for block in searched(texts):
-                hashes.append(block.h[block.at])
+                hashes.append(turned(block.h[block.at]))
                 owners.append(block.owner)
             h, d = np.concatenate(hashes), np.concatenate(owners)
             order = np.lexsort((d, h))
@@ -287,7 +292,7 @@ def suffixes(keyed: DataFrame) -> DataFrame:
                     rows.append((*row, ids[doc], classes[doc], [place], None))
 
             for block in searched(bytes_of(batch.column("text"))):
-                h = block.h[block.at].view(np.int64)
+                h = turned(block.h[block.at]).view(np.int64)
                 edge = np.searchsorted(block.owner, np.arange(batch.num_rows + 1))
                 for own, is_hot in ((cold, False), (hot, True)):
                     mine = [np.flatnonzero(np.isin(h[a:b], own[i])) + a for i, (a, b) in enumerate(zip(edge, edge[1:])) if b > a and len(own[i])]
