@@ -24,7 +24,6 @@ hashes to find candidates, strings byte by byte.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -247,13 +246,114 @@ def shared_buckets(texts: DataFrame, buckets: int) -> DataFrame:
 
 
 SUFFIX = "key binary, seg binary, left int, id long, cls long, places array<int>, spans array<int>"
+SUFFIX_TYPES = [pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+OUT_ROWS = 4_000  # rows of suffixes that go to the JVM together
 
 
-def covered(starts: list[int]) -> list[int]:
-    """Starts and ends in turn of what strings at ``starts`` cover."""
-    x = np.unique(np.array(starts, np.int64))
-    cut = np.flatnonzero(np.diff(x) > LENGTH)
-    return np.column_stack([x[np.concatenate([[0], cut + 1])], x[np.concatenate([cut, [len(x) - 1]])] + LENGTH]).ravel().tolist()
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The items of all lists, and the length of each."""
+    return column.flatten().to_numpy(), np.diff(np.asarray(column.offsets))
+
+
+def binaries(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The stretches of ``data`` from ``start``, ``size`` bytes each."""
+    at = np.zeros(len(size) + 1, np.int32)
+    np.cumsum(size, out=at[1:])
+    place = np.repeat(start - at[:-1], size) + np.arange(int(at[-1]))
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(data[place])])
+
+
+def edges(column: pa.Array) -> np.ndarray:
+    """Where each value of a binary column begins in its data, and where the last one ends."""
+    return np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+
+
+def numbers(column: pa.Array) -> np.ndarray:
+    """The number of each value among the distinct ones."""
+    return column.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def spans_batch(ids: np.ndarray, classes: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """A row (id, cls, spans) for each document: starts and ends in turn of what its stretches cover."""
+    order = np.lexsort((start, classes, ids))
+    ids, classes, start, end = ids[order], classes[order], start[order], end[order]
+    first = changes(ids, classes)
+    shift = np.repeat(first, np.diff([*first, len(ids)])) << 32  # so that stretches of two documents never meet
+    far = np.maximum.accumulate(end + shift)
+    at = np.flatnonzero(np.concatenate([[True], start[1:] + shift[1:] > far[:-1]])[: len(ids)])
+    last = np.concatenate([at[1:] - 1, [len(ids) - 1]])[: len(at)]
+    flat = np.column_stack([start[at], far[last] - shift[last]]).ravel()
+    cut = np.concatenate([np.searchsorted(at, first) * 2, [len(flat)]]).astype(np.int32)
+    spans = pa.ListArray.from_arrays(pa.array(cut), pa.array(flat, pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(ids[first], pa.int64()), pa.array(classes[first], pa.int64()), spans], names=["id", "cls", "spans"])
+
+
+def tagged(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """One number for a hash in a document; should two pairs share one, suffixes too many go on, which refinement tells apart."""
+    return mix(h.astype(np.uint64, copy=False) ^ mix(doc.astype(np.uint64) + np.uint64(1)))
+
+
+def suffix_batch(key: pa.Array, seg: pa.Array | None, left: np.ndarray, ids: np.ndarray, classes: np.ndarray, places: pa.Array) -> pa.RecordBatch:
+    n = len(key)
+    columns = [key, pa.nulls(n, pa.binary()) if seg is None else seg, pa.array(left, pa.int32()), pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), places, pa.nulls(n, SUFFIX_TYPES[-1])]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SUFFIX.split(", ")])
+
+
+def known_batch(spans: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of ``suffixes`` that carry spans only."""
+    n = spans.num_rows
+    nothing = [pa.nulls(n, k) for k in SUFFIX_TYPES]
+    return pa.RecordBatch.from_arrays([*nothing[:3], spans.column("id"), spans.column("cls"), nothing[5], spans.column("spans")], names=[x.split()[0] for x in SUFFIX.split(", ")])
+
+
+class Found:
+    """Suffixes of a slice, or single strings of it: each is kept under its least document with all its places there.
+
+    Documents are numbered by rising id.  What other documents hold of it is known to be removed.
+    """
+
+    def __init__(self):
+        self.key, self.seg, self.number = [], [], []
+
+    def add(self, key: pa.Array, seg: pa.Array, left: np.ndarray, place: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        self.key.append(key)
+        self.seg.append(seg)
+        self.number.append(np.stack([left, place, doc, start, end]).astype(np.int64))
+
+    def batches(self, ids: np.ndarray, classes: np.ndarray, hot: bool) -> Iterator[pa.RecordBatch]:
+        if not sum(map(len, self.seg)):
+            return
+        key, seg = pa.concat_arrays(self.key), pa.concat_arrays(self.seg)
+        left, place, doc, start, end = np.concatenate(self.number, axis=1)
+        code = numbers(seg) * (WIDTH + 1) + left
+        order = np.lexsort((place, doc, code))
+        code, place, doc = code[order], place[order], doc[order]
+        first = changes(code, doc)
+        count = np.diff([*first, len(code)])
+        head = np.zeros(len(first), np.int64)  # the row's first group of its suffix, which has the least document
+        head[changes(code[first])] = changes(code[first])
+        least = doc[first][np.maximum.accumulate(head)]
+        kept = ids[doc[first]] == ids[least]  # two rows may have one id
+        rows = order[first[kept]]
+        cut = np.concatenate([[0], np.cumsum(count[kept])]).astype(np.int32)
+        places = pa.ListArray.from_arrays(pa.array(cut), pa.array(place[np.repeat(kept, count)], pa.int32()))
+        held, taken = doc[first[kept]], pa.array(rows)
+        out = suffix_batch(key.take(taken), None if hot else seg.take(taken), left[rows], ids[held], classes[held], places)
+        for i in range(0, out.num_rows, OUT_ROWS):
+            yield out.slice(i, OUT_ROWS)
+        gone = order[~np.repeat(kept, count)]
+        if len(gone):
+            of = doc[~np.repeat(kept, count)]
+            yield known_batch(spans_batch(ids[of], classes[of], start[gone], end[gone]))
 
 
 def suffixes(keyed: DataFrame) -> DataFrame:
@@ -262,54 +362,37 @@ def suffixes(keyed: DataFrame) -> DataFrame:
     ``keyed``: id, cls, text, hashes, hot; other columns aren't read.  Of documents in one slice with the same bytes, only the least goes on; strings
     of the others are known to be removed and come out as spans.
     """
-    names = [x.split()[0] for x in SUFFIX.split(", ")]
-    kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-
-    def lists(column: pa.Array) -> list[np.ndarray]:
-        flat, at = column.flatten().to_numpy(), np.asarray(column.offsets)
-        at = at - at[0]
-        return [flat[a:b] for a, b in zip(at, at[1:])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices((b.filter(b.column("hashes").is_valid()) for b in batches), "text", SLICE):
             batch = batch.sort_by([("id", "ascending"), ("cls", "ascending")])
-            ids, classes = (batch.column(c).to_pylist() for c in ("id", "cls"))
-            cold, hot = lists(batch.column("hashes")), lists(batch.column("hot"))
-            least: dict = {}  # of a suffix or string: the least document, and its row
-            rows: list[tuple] = []
-            gone: dict[int, list[int]] = {}
-
-            def enter(key, doc: int, place: int, row: tuple, strings: range) -> None:
-                known = least.get(key)
-                if known is None:
-                    least[key] = (doc, len(rows))
-                    rows.append((*row, ids[doc], classes[doc], [place], None))
-                elif known[0] == doc:
-                    rows[known[1]][5].append(place)
-                elif ids[known[0]] < ids[doc]:
-                    gone.setdefault(doc, []).extend(strings)
-                else:  # two rows of one id
-                    rows.append((*row, ids[doc], classes[doc], [place], None))
-
+            ids, classes = (batch.column(c).to_numpy() for c in ("id", "cls"))
+            wanted = []
+            for c in ("hashes", "hot"):
+                h, count = flat_lists(batch.column(c))
+                wanted.append(tagged(h, np.repeat(np.arange(len(count)), count)))
+            cold, strings = Found(), Found()
             for block in searched(bytes_of(batch.column("text"))):
-                h = turned(block.h[block.at]).view(np.int64)
-                edge = np.searchsorted(block.owner, np.arange(batch.num_rows + 1))
-                for own, is_hot in ((cold, False), (hot, True)):
-                    mine = [np.flatnonzero(np.isin(h[a:b], own[i])) + a for i, (a, b) in enumerate(zip(edge, edge[1:])) if b > a and len(own[i])]
-                    which = np.concatenate(mine) if mine else np.empty(0, np.int64)
+                data = np.frombuffer(block.data, np.uint8)
+                tags = tagged(turned(block.h[block.at]), block.owner)
+                for own, found in zip(wanted, (cold, strings)):
+                    which = np.flatnonzero(np.isin(tags, own)) if len(own) else np.empty(0, np.int64)
                     first, last = block.reach(which)
                     ok = last >= first
-                    for p, a, b, doc, shift in zip(*(x[ok].tolist() for x in (block.at[which], first, last, block.owner[which], block.shift[which]))):
-                        if is_hot:
-                            for s in range(a, b + 1):
-                                string = block.data[s : s + LENGTH]
-                                enter(string, doc, s + shift, (string, None, 0), range(s + shift, s + shift + 1))
-                        else:
-                            seg = block.data[a : b + LENGTH]
-                            enter((seg, p - a), doc, p + shift, (block.data[p : p + Q], seg, p - a), range(a + shift, b + shift + 1))
-            rows += [(None, None, None, ids[d], classes[d], None, covered(s)) for d, s in gone.items()]
-            for i in range(0, len(rows), 4_000):
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[i : i + 4_000]), kinds)], names=names)
+                    which, first, last = which[ok], first[ok], last[ok]
+                    p, doc, shift = block.at[which], block.owner[which], block.shift[which]
+                    if found is cold:
+                        grams = binaries(data, p, np.full(len(p), Q))
+                        found.add(grams, binaries(data, first, last - first + LENGTH), p - first, p + shift, doc, first + shift, last + shift + LENGTH)
+                        continue
+                    size = last - first + 1
+                    for i in range(0, len(p), CHUNK):  # each string of these suffixes
+                        n = size[i : i + CHUNK]
+                        s = np.repeat(first[i : i + CHUNK] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                        at, seg = s + np.repeat(shift[i : i + CHUNK], n), binaries(data, s, np.full(len(s), LENGTH))
+                        found.add(seg, seg, np.zeros(len(s), np.int64), at, np.repeat(doc[i : i + CHUNK], n), at, at + LENGTH)
+            yield from cold.batches(ids, classes, False)
+            yield from strings.batches(ids, classes, True)
 
     return keyed.mapInArrow(run, SUFFIX)
 
@@ -318,18 +401,19 @@ def bucket_numbers(pairs: np.ndarray) -> np.ndarray:
     return np.unique(pairs, return_inverse=True)[1].reshape(pairs.shape).astype(np.int64)
 
 
-def refine(segs: list[bytes], left: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """For each suffix and each string over its q-gram, whether a smaller document has that string.
+def refine(segs: pa.Array, left: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each suffix and each string over its q-gram: whether a smaller document has that string.
 
     Buckets of 8 bytes come first; each later round sorts pairs of numbers of the round before.
     """
     m = len(segs)
-    size = np.fromiter(map(len, segs), np.int64, m)
+    at = edges(segs)
+    size = np.diff(at)
     rows = np.zeros((m, WIDTH), np.uint8)
     begin = REACH - left
     end = begin + size
-    place = np.repeat(np.arange(m) * WIDTH + begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-    rows.reshape(-1)[place] = np.frombuffer(b"".join(segs), np.uint8)
+    place = np.repeat(np.arange(m) * WIDTH + begin - at[:-1] + at[0], size) + np.arange(int(size.sum()))
+    rows.reshape(-1)[place] = np.frombuffer(segs.buffers()[2], np.uint8)[at[0] : at[-1]]
     word = np.lib.stride_tricks.sliding_window_view(rows, 8, axis=1)
     b8 = bucket_numbers(np.ascontiguousarray(word).view("<u8")[:, :, 0])
     n = m * WIDTH + 1
@@ -344,61 +428,69 @@ def refine(segs: list[bytes], left: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return valid & (least[b50] < owner)
 
 
-def spans_batch(rows: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
-    ids, classes, spans = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(spans, pa.list_(pa.int32()))], names=["id", "cls", "spans"])
-
+def refined_spans(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Spans to remove from the suffixes of whole buckets; equal suffixes are refined once, under their least document.
 
-def refined_spans(rows: list[tuple]) -> list[tuple[int, int, list[int]]]:
-    """Spans to remove from suffixes (key, seg, left, id, cls, places) of whole buckets; equal suffixes are refined once, under their least document."""
-    index: dict[tuple, int] = {}
-    of = [index.setdefault(r[1:3], len(index)) for r in rows]
-    docs = np.full(len(index), np.iinfo(np.int64).max)
-    np.minimum.at(docs, of, [r[3] for r in rows])
-    keys = list(index)
-    left = np.array([a for _, a in keys], np.int64)
-    grams = [s[a : a + Q] for s, a in keys]
-    held = Counter(grams)
-    many = np.flatnonzero([held[g] > 1 for g in grams])
-    hit = np.zeros((len(keys), REACH + 1), bool)
+    Strings that go from one suffix start within ``REACH`` bytes, so what they cover there is one stretch.
+    """
+    ids, left = batch.column("id").to_numpy(), batch.column("left").to_numpy().astype(np.int64)
+    _, row, of = np.unique(numbers(batch.column("seg")) * (WIDTH + 1) + left, return_index=True, return_inverse=True)
+    docs = np.full(len(row), np.iinfo(np.int64).max)
+    np.minimum.at(docs, of, ids)
+    bucket = numbers(batch.column("key"))[row]
+    many = np.flatnonzero(np.bincount(bucket)[bucket] > 1)
+    hit = np.zeros((len(row), REACH + 1), bool)
     if len(many):
-        hit[many] = refine([keys[i][0] for i in many], left[many], docs[many])
-    out: dict[tuple[int, int], list[int]] = {}
-    for r, i in zip(rows, of):
-        if docs[i] < r[3]:  # the same bytes in a smaller document: every string is there
-            starts = range(len(r[1]) - LENGTH + 1)
-        else:
-            starts = (np.flatnonzero(hit[i]) - REACH + r[2]).tolist()
-        if starts:
-            out.setdefault((r[3], r[4]), []).extend(p - r[2] + s for p in r[5] for s in starts)
-    return [(d, c, covered(s)) for (d, c), s in out.items()]
+        hit[many] = refine(batch.column("seg").take(pa.array(row[many])), left[row[many]], docs[many])
+    whole = docs[of] < ids  # the same bytes in a smaller document: every string is there
+    size = np.diff(edges(batch.column("seg")))
+    low = np.where(whole, REACH - left, hit.argmax(1)[of])
+    high = np.where(whole, REACH - left + size, REACH - hit[:, ::-1].argmax(1)[of] + LENGTH)
+    places, count = flat_lists(batch.column("places"))
+    at = np.repeat(np.arange(len(ids)), count)
+    goes = (whole | hit.any(1)[of])[at]
+    at, places = at[goes], places[goes].astype(np.int64) - REACH
+    return spans_batch(ids[at], batch.column("cls").to_numpy()[at], places + low[at], places + high[at])
 
 
 def removed_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans to remove, from suffixes and strings sorted by key and document; whole buckets are gathered to chunks of bounded size."""
-    held: list[tuple] = []
+    held: list[pa.RecordBatch] = []
     string, least = None, 0  # the string that is read, and its least document
     for batch in batches:
         known = batch.filter(batch.column("key").is_null())
         if known.num_rows:
             yield known.select(["id", "cls", "spans"])
         batch = batch.filter(batch.column("key").is_valid())
-        found = []
-        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "seg", "left", "id", "cls", "places"))):
-            if row[1] is None:
-                if row[0] != string:
-                    string, least = row[0], row[3]
-                elif least < row[3]:
-                    found.append((row[3], row[4], covered(row[5])))
-                continue
-            if len(held) >= CHUNK and held[-1][0] != row[0]:
-                found += refined_spans(held)
-                held = []
-            held.append(row)
-        if found:
-            yield spans_batch(found)
+        single = batch.filter(batch.column("seg").is_null())
+        if single.num_rows:
+            keys, ids = single.column("key"), single.column("id").to_numpy()
+            first = changes(numbers(keys))
+            own = ids[first]
+            if keys[0].as_py() == string:
+                own[0] = least
+            string, least = keys[-1].as_py(), own[-1]
+            places, count = flat_lists(single.column("places"))
+            later = np.repeat(np.repeat(own, np.diff([*first, len(ids)])) < ids, count)
+            at, places = np.repeat(np.arange(len(ids)), count)[later], places[later].astype(np.int64)
+            if len(at):
+                yield spans_batch(ids[at], single.column("cls").to_numpy()[at], places, places + LENGTH)
+        batch = batch.filter(batch.column("seg").is_valid())
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < 2 * CHUNK:
+            continue
+        rows = pa.concat_batches(held)
+        ends = changes(numbers(rows.column("key")))
+        a = 0
+        for b in ends[1:].tolist():  # the last bucket may go on
+            if b - a >= CHUNK or b == ends[-1]:
+                yield refined_spans(rows.slice(a, b - a))
+                a = b
+        held = [rows.slice(a)]
     if held:
-        yield spans_batch(refined_spans(held))
+        yield refined_spans(pa.concat_batches(held))
 
 
 def cut_out(text: bytes, spans: list[int]) -> tuple[bytes, int, int]:
