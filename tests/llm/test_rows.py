@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,38 @@ def test_pipeline(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
     assert {r.doc_id for r in packed} == ids
     assert sorted((r.doc_id, r.piece, r.length) for r in corpus_pipeline.run(spark, folder).collect()) == sorted((r.doc_id, r.piece, r.length) for r in packed)
+
+
+def test_spans_of_documents():
+    out = repeats.spans_batch(np.array([2, 1, 2, 1, 2]), np.array([7, 5, 7, 6, 7]), np.array([100, 3, 0, 0, 40]), np.array([150, 60, 76, 50, 100]))
+    assert out.to_pylist() == [{"id": 1, "cls": 5, "spans": [3, 60]}, {"id": 1, "cls": 6, "spans": [0, 50]}, {"id": 2, "cls": 7, "spans": [0, 150]}]
+    none = np.empty(0, np.int64)
+    assert repeats.spans_batch(none, none, none, none).num_rows == 0
+
+
+def test_buckets_over_batches(monkeypatch):
+    """Buckets and single strings that go on in the next batch, against brute force."""
+    monkeypatch.setattr(repeats, "CHUNK", 4)
+    rng = np.random.default_rng(5)
+    shared = bytes(rng.integers(97, 100, 76, np.uint8))
+    texts = [bytes(rng.integers(97, 123, 26, np.uint8))[i % 5 :] + shared[i % 3 : 76 - i % 4] + b"%d" % (i % 2) for i in range(40)]
+    gram = shared[26:50]
+    rows = []
+    for i, t in enumerate(texts):
+        p = t.index(gram)
+        a, b = max(0, p - 26), min(len(t), p + 50)
+        rows.append((gram, t[a:b], p - a, i, i, [p], None))
+        rows += [(t[s : s + 50], None, 0, 100 + i, i, [s], None) for s in range(len(t) - 49)]
+    rows.sort(key=lambda r: (r[0], r[3]))
+    names = [x.split()[0] for x in repeats.SUFFIX.split(", ")]
+    batches = [pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[i : i + 7]), repeats.SUFFIX_TYPES)], names=names) for i in range(0, len(rows), 7)]
+    got: dict = {}
+    for out in repeats.removed_spans(iter(batches)):
+        for r in out.to_pylist():
+            got.setdefault(r["id"], set()).update(x for a, b in zip(r["spans"][::2], r["spans"][1::2]) for x in range(a, b))
+    for i, t in enumerate(texts):
+        p = t.index(gram)
+        before = {u[s : s + 50] for u in texts[:i] for s in range(len(u) - 49)}
+        starts = [s for s in range(len(t) - 49) if t[s : s + 50] in before]
+        assert got.get(100 + i, set()) == {x for s in starts for x in range(s, s + 50)}
+        assert got.get(i, set()) == {x for s in starts if p - 26 <= s <= p for x in range(s, s + 50)}
