@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, packing, quality, repeats, rules, secrets, telephony, toxicity, warc
+from . import bpe, clustering, jaccard, mixing, packing, quality, repeats, resampling, rules, secrets, telephony, toxicity, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -59,5 +59,20 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.audio_column(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a document of this table has one source, so it has one share
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), F.array("source"))
+    share = F.col("shares")[0]
+    return mixed.select("doc_id", "size", share["source_size"].alias("source_size"), share["target"].alias("target"), "taken")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}

@@ -44,5 +44,42 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        concat_ws(',', {names}) as failed_rules from f"""
 
 
+def centroids_sql(k: int = 40, rounds: int = 5, seed: int = 2) -> str:
+    """Rounds written out: nearest centroid of each vector, then floors of the means."""
+    parts = [
+        f"""
+kept as materialized (select row_number() over () as i, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) as v from embeddings
+      where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+c0 as materialized (select row_number() over (order by sha256('{seed}:' || vec_id), vec_id) - 1 as c, v from kept qualify row_number() over (order by sha256('{seed}:' || vec_id), vec_id) <= {k})"""
+    ]
+    for t in range(rounds + 1):
+        parts.append(f"""
+a{t} as materialized (select i, min_by(c, d * 64 + c) as c, min(d) as d from (select i, c,
+      list_sum(list_transform(range(1, 65), lambda q: (kept.v[q] - c{t}.v[q]) * (kept.v[q] - c{t}.v[q])))::BIGINT as d from kept, c{t}) group by i)""")
+        if t < rounds:
+            parts.append(f"""
+s{t} as (select c, q, sum(v[q])::BIGINT as s, count(*)::BIGINT as n from a{t} join kept using (i), (select unnest(range(1, 65)) as q) group by c, q),
+m{t} as (select c, list((s - ((s % n) + n) % n) // n order by q) as v from s{t} group by c),
+c{t + 1} as materialized (select c{t}.c, coalesce(m{t}.v, c{t}.v) as v from c{t} left join m{t} using (c))""")
+    return f"""
+with {",".join(parts)}
+select vec_id, a.c::INTEGER as cluster, a.d as distance, (sum(a.d) over (partition by a.c))::BIGINT as cluster_inertia, (sum(a.d) over ())::BIGINT as inertia,
+       sha256(array_to_string(m.v, ',')) as centroid_sha256 from a{rounds} a join kept using (i) join c{rounds} m on m.c = a.c"""
+
+
+def mixing_sql(seed: int = 42) -> str:
+    """Levels by closed form over the sources in order of the level at which they are full; one pass after another along a checksum's order."""
+    return f"""
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT as size, substr(sha256('{seed}:' || doc_id), 1, 32) as h from documents),
+s as (select source, sum(size)::BIGINT as n, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as w from d group by source),
+o as (select *, 2 * n / w::DOUBLE as full_at, 1.5::DOUBLE * sum(n) over () - coalesce(sum(2 * n) over (order by 2 * n / w::DOUBLE, source nulls last rows between unbounded preceding and 1 preceding), 0)::DOUBLE as rest,
+      sum(w) over (order by 2 * n / w::DOUBLE, source nulls last rows between current row and unbounded following)::DOUBLE as ws from s),
+l as (select rest, ws from o where rest / ws <= full_at order by full_at limit 1),
+t as (select o.source, n, case when w * l.rest / l.ws > 2 * n then 2 * n else w * l.rest / l.ws end::DOUBLE as target from o, l),
+p as (select *, coalesce(sum(size) over (partition by source order by h, doc_id, size rows between unbounded preceding and 1 preceding), 0)::BIGINT as a from d)
+select doc_id, size, n as source_size, target, (greatest(0, least(a + size, floor(target)) - a) + greatest(0, least(n + a + size, floor(target)) - n - a))::BIGINT as taken
+from p join t on t.source is not distinct from p.source"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules_sql()}
+    return {"op1_quality_rules": quality_rules_sql(), "op11_centroid_clustering": centroids_sql(), "op12_source_mixing": mixing_sql()}
