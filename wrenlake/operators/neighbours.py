@@ -1,70 +1,270 @@
-"""Distances to near neighbours among all rows, in blocks."""
+"""Exact nearest neighbours by a metric index: pivots, blocks of near rows, and bounds by the triangle inequality.
+
+Equal vectors are one row with a count.  Rows are ordered by their nearest pivot and the distance to it and cut into blocks;
+a block keeps the range of its distances to every pivot.  No row of one block can be nearer to a row of another than these
+ranges are apart, so a row is sent only to blocks within the distance that it has found so far.
+Bounds between blocks are compared in slices, so no task or driver sees them all.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.shared import stash
 
-#: Rows of a block; two blocks and their distances are held at a time.
-BLOCK = 2048
+BLOCK = 2048  # rows of a block
+PIVOTS = 32
+SAMPLE = 1024  # rows that pivots are taken from
+SLICE = 1024  # blocks whose bounds are compared in one step
 SPARE = 6  # more neighbours than asked for, found by products; their distances are then taken from differences
+SLACK = 1e-12  # share of squared sizes by which squared distances from products may be off
 
 
-def nearest(x: np.ndarray, ids: np.ndarray, y: np.ndarray, others: np.ndarray, k: int) -> np.ndarray:
-    """Squared distances of each row of ``x`` to its ``k`` nearest rows of ``y`` with another id; endless where there are fewer."""
-    d = (x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * (x @ y.T)
-    d[ids[:, None] == others[None]] = np.inf
-    m = min(k + SPARE, len(y))
-    at = np.argpartition(d, m - 1, axis=1)[:, :m]
-    found = np.stack([((x - y[at[:, j]]) ** 2).sum(1) for j in range(m)], axis=1)
-    found[np.isinf(np.take_along_axis(d, at, 1))] = np.inf
-    found.sort(axis=1)
-    return np.pad(found, ((0, 0), (0, max(0, k - m))), constant_values=np.inf)[:, :k]
+def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x - y) ** 2).sum(-1))
 
 
-def core_distances(rows: DataFrame, key: str, vector: str, k: int = 10, block: int = BLOCK) -> DataFrame:
-    """(key, dist): the distance of every row to its ``k``-th nearest other row among all rows.
+def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all pairs by products, and how far off they may be."""
+    a, b = (x**2).sum(1), (y**2).sum(1)
+    return a[:, None] + b[None] - 2 * (x @ y.T), SLACK * (a.max(initial=0) + b.max(initial=0))
+
 
-    Keys are distinct whole numbers.  Rows without a vector, or with fewer than ``k`` others, have no result.
-    All pairs are compared: blocks meet in a cross join, and each task keeps ``k`` distances per row.
+def numbers(batch: pa.RecordBatch, name: str, i: int, width: int = 0, kind=float) -> np.ndarray:
+    """A binary cell as numbers, with ``width`` columns if given."""
+    x = np.frombuffer(batch.column(name)[i].as_buffer(), kind)
+    return x.reshape(-1, width) if width else x
+
+
+def record(schema: str, *columns) -> pa.RecordBatch:
+    """A batch of the columns named in ``schema`` (``name kind, ...``), kinds as in Spark's simple types."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    fields = [x.split() for x in schema.split(",")]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
+
+
+def distinct(rows: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (id, v) that have a vector of the common width with finite numbers; their distinct vectors (id, v, c); the width.
+
+    ``id`` of a distinct vector is the least of its rows', ``c`` their number.  The width is that of the row with the least key.
     """
-    rows = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-    parts = max(1, math.ceil(rows.count() / block))
+    x = rows.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
+    first = x.orderBy("id", F.size("v")).select(F.size("v")).head()
+    width = first[0] if first else 0
+    x = x.where(F.size("v") == width).where(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))))
+    x = x.select("id", F.transform("v", lambda c: c + F.lit(0.0)).alias("v"))  # one zero
+    return x, x.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("c")).select("id", "v", "c"), width
+
+
+class Index:
+    """Blocks of distinct rows (id, v, c): ``blocks`` has ids, vectors, counts and distances to pivots as binary, and their ranges."""
+
+    def __init__(self, rows: DataFrame, width: int, block: int = BLOCK, pivots: int = PIVOTS):
+        rows = stash(rows, "vectors")
+        self.n, self.width, spark = rows.count(), width, rows.sparkSession
+        # a bounded sample: pivots are far from each other
+        some = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+        self.some = np.array([r.id for r in some], np.int64)
+        x = self.sample = np.array([r.v for r in some], float).reshape(len(some), width)
+        far, chosen = np.full(len(x), np.inf), []
+        for _ in range(min(pivots, len(x))):
+            i = int(far.argmax())
+            if far[i] == 0:
+                break
+            chosen.append(i)
+            far = np.minimum(far, distance(x, x[i]))
+        middle = self.pivots = x[chosen]
+        p = self.p = len(middle)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                v = np.asarray(batch.column("v").flatten()).reshape(-1, width)
+                d = np.stack([distance(v, m) for m in middle], axis=1)
+                cell = d.argmin(1)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "v", "c")), pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell])], names=["id", "v", "c", "cell", "r"])
+
+        order = ["cell", "r", "id"]
+        placed = rows.mapInArrow(place, "id long, v array<double>, c long, cell int, r double")
+        near = placed.repartitionByRange(max(1, math.ceil(self.n / (4 * block))), *order).sortWithinPartitions(*order)
+        shape = "block long, ids binary, v binary, c binary, far binary, low binary, high binary"
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, made, held = TaskContext.get().partitionId(), 0, None
+
+            def out(ids: np.ndarray, v: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+                d = np.stack([distance(v, m) for m in middle], axis=1)
+                return record(shape, [(part << 24) + made], *([a.tobytes()] for a in (ids, v, c, d, d.min(0), d.max(0))))
+
+            for batch in batches:
+                new = [np.asarray(batch.column("id")), np.asarray(batch.column("v").flatten()).reshape(-1, width), np.asarray(batch.column("c")), np.asarray(batch.column("cell"))]
+                held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+                while len(held[0]) > block:
+                    edge = np.flatnonzero(np.diff(held[3][: block + 1])) + 1  # where a cell ends
+                    cut = int(edge[-1]) if len(edge) and edge[-1] >= block // 2 else block
+                    yield out(*(x[:cut] for x in held[:3]))
+                    made, held = made + 1, [x[cut:] for x in held]
+            if held is not None and len(held[0]):
+                yield out(*held[:3])
+
+        self.blocks = stash(near.mapInArrow(pack, shape), "blocks") if self.n else spark.createDataFrame([], shape)
+        self.count = self.blocks.count()
+
+    def near_blocks(self, bounds: DataFrame) -> DataFrame:
+        """(block, others, lows, highs): for each row of ``bounds`` the blocks that may hold rows within its reach.
+
+        ``bounds``: block, low, high, reach, floor (no distance to the block counts less), alone (blocks with the same number don't meet; null:
+        meets all).  Slices of bounds meet pairwise; of a slice, what is out of reach is dropped at once.
+        """
+        p, slices = self.p, max(1, math.ceil(self.count / SLICE))
+        shape = "slice long, blocks binary, lows binary, highs binary, reach binary, floor binary, alone binary"
+        cut = bounds.withColumn("slice", F.pmod(F.xxhash64("block"), F.lit(slices))).repartition(slices, "slice")
+
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows: dict[int, list] = {}
+            for batch in batches:
+                for r in batch.to_pylist():
+                    rows.setdefault(r["slice"], []).append(r)
+            for s, own in rows.items():
+                alone = np.array([-1 if r["alone"] is None else r["alone"] for r in own], np.int64)
+                cells = [np.array([r["block"] for r in own], np.int64), *(np.concatenate([np.frombuffer(r[c]) for r in own]) for c in ("low", "high")), np.array([r["reach"] for r in own], float), np.array([r["floor"] for r in own], float), alone]
+                yield record(shape, [s], *([x.tobytes()] for x in cells))
+
+        packed = stash(cut.select("slice", "block", "low", "high", "reach", "floor", "alone").mapInArrow(gather, shape), "slices")
+        other = packed.select(*(F.col(c).alias(f"o_{c}") for c in ("slice", "blocks", "lows", "highs", "floor", "alone")))
+        pairs = packed.withColumn("o_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long")))).join(other, "o_slice")
+        out = "block long, others binary, lows binary, highs binary, floors binary, alones binary"
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    a, b = (numbers(batch, c, i, kind=np.int64) for c in ("blocks", "o_blocks"))
+                    low, high, o_low, o_high = (numbers(batch, c, i, p) for c in ("lows", "highs", "o_lows", "o_highs"))
+                    reach, floor = numbers(batch, "reach", i), numbers(batch, "o_floor", i)
+                    alone, o_alone = (numbers(batch, c, i, kind=np.int64) for c in ("alone", "o_alone"))
+                    for j in range(len(a)):
+                        apart = np.maximum(o_low - high[j], low[j] - o_high).max(1, initial=0)
+                        on = (np.maximum(apart * (1 - 1e-9) - 1e-9, floor) <= reach[j]) & ((alone[j] < 0) | (alone[j] != o_alone))
+                        if on.any():
+                            yield record(out, [a[j]], *([x[on].tobytes()] for x in (b, o_low, o_high, floor, o_alone)))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return pairs.mapInArrow(meet, out)
+
+    def search(self, own: DataFrame, bounds: DataFrame, ask: Callable, answer: Callable, schema: str) -> DataFrame:
+        """Rows of blocks meet the blocks within their reach.
+
+        ``own``: block and more columns of its rows; ``ask(batch, i)`` gives the reach of each row of a block and arrays to send along, and
+        ``answer(batch, i)`` the rows of ``schema`` for a pack of rows (``q_`` columns) at another block; both read cells of one row.
+        """
+        p, width = self.p, self.width
+        blocks = self.blocks.join(own, "block")
+        sent = "other long, q_block long, q_rows binary, q_v binary, q_more binary"
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    v, far = numbers(batch, "v", i, width), numbers(batch, "far", i, p)
+                    reach, group, more = ask(batch, i)
+                    others, alones = (numbers(batch, c, i, kind=np.int64) for c in ("others", "alones"))
+                    lows, highs, floors = numbers(batch, "lows", i, p), numbers(batch, "highs", i, p), numbers(batch, "floors", i)
+                    for j, other in enumerate(others.tolist()):
+                        apart = np.maximum(lows[j] - far, far - highs[j]).max(1)
+                        on = np.flatnonzero((np.maximum(apart * (1 - 1e-9) - 1e-9, floors[j]) <= reach) & ((group < 0) | (group != alones[j])))
+                        if len(on):
+                            yield record(sent, [other], [batch.column("block")[i].as_py()], [on.tobytes()], [v[on].tobytes()], [more[on].tobytes()])
+
+        queries = blocks.join(self.near_blocks(bounds), "block").mapInArrow(send, sent)
+        met = queries.join(blocks.withColumnRenamed("block", "other"), "other")
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    yield from answer(batch, i)
+
+        return met.mapInArrow(meet, schema)
+
+
+def nearest(x: np.ndarray, ids: np.ndarray, y: np.ndarray, others: np.ndarray, k: int, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and places of each row's ``k`` nearest rows of ``y`` with another id, no farther than ``reach``; endless and -1 where there are fewer."""
+    d, off = squares(x, y)
+    d[(ids[:, None] == others[None]) | (d > (reach**2 + off)[:, None])] = np.inf
+    m = min(k + SPARE, len(y))
+    at = np.argpartition(d, m - 1, axis=1)[:, :m]
+    found = np.stack([distance(x, y[at[:, j]]) for j in range(m)], axis=1)
+    found[np.isinf(np.take_along_axis(d, at, 1)) | (found > reach[:, None])] = np.inf
+    order = np.lexsort((others[at], found), axis=1)[:, :k]
+    found, at = np.take_along_axis(found, order, 1), np.take_along_axis(at, order, 1)
+    pad = ((0, 0), (0, max(0, k - m)))
+    return np.pad(found, pad, constant_values=np.inf), np.pad(np.where(np.isinf(found), -1, at), pad, constant_values=-1)
+
+
+def neighbours(index: Index, k: int) -> DataFrame:
+    """(id, c, near): each distinct row with up to ``k`` nearest distinct others (d, id, c), by distance and id."""
+    width = index.width
+    shape = "block long, low binary, high binary, reach double, floor double, alone long, bound binary, d binary, at binary"
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, block):
-                part = batch.slice(a, block)
-                v = np.asarray(part.column("v").flatten())
-                yield pa.RecordBatch.from_arrays([pa.array([np.asarray(part.column("id")).tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names=["i", "m"])
+            for i in range(batch.num_rows):
+                ids, v, c = numbers(batch, "ids", i, kind=np.int64), numbers(batch, "v", i, width), numbers(batch, "c", i, kind=np.int64)
+                d, at = nearest(v, ids, v, ids, k, np.full(len(v), np.inf))
+                near = np.stack([np.where(at < 0, 0, x[at]) for x in (ids, c)], axis=2)
+                yield record(shape, [batch.column("block")[i].as_py()], batch.column("low").slice(i, 1), batch.column("high").slice(i, 1), [d[:, -1].max()], [0.0], [batch.column("block")[i].as_py()], [d[:, -1].tobytes()], [d.tobytes()], [near.tobytes()])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(best), pa.list_(pa.float64()))], names=["id", "b"])
+    own = stash(index.blocks.select("block", "ids", "v", "c", "low", "high").mapInArrow(inside, shape), "near")
 
-        last = None
+    def rows(ids: np.ndarray, c: np.ndarray, d: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+        on = np.isfinite(d)
+        cells = pa.StructArray.from_arrays([pa.array(d[on]), pa.array(near[..., 0][on]), pa.array(near[..., 1][on])], names=["d", "id", "c"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(on.sum(1))]), pa.int32()), cells)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(c), lists], names=["id", "c", "near"])
+
+    schema = "id long, c long, near array<struct<d: double, id: long, c: long>>"
+
+    def ask(batch: pa.RecordBatch, i: int):
+        ids, c, bound = numbers(batch, "ids", i, kind=np.int64), numbers(batch, "c", i, kind=np.int64), numbers(batch, "bound", i)
+        return bound, np.full(len(ids), batch.column("block")[i].as_py()), np.stack([ids, c, bound.view(np.int64)], axis=1)
+
+    def answer(batch: pa.RecordBatch, i: int) -> Iterator[pa.RecordBatch]:
+        more = numbers(batch, "q_more", i, 3, np.int64)
+        others, c = (numbers(batch, x, i, kind=np.int64) for x in ("ids", "c"))
+        d, at = nearest(numbers(batch, "q_v", i, width), more[:, 0], numbers(batch, "v", i, width), others, k, np.ascontiguousarray(more[:, 2]).view(float))
+        on = np.isfinite(d).any(1)
+        yield rows(more[on, 0], more[on, 1], d[on], np.stack([np.where(at < 0, 0, x[at]) for x in (others, c)], axis=2)[on])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
-                i, m, o, n = (batch.column(c)[r].as_buffer() for c in ("i", "m", "o", "n"))
-                if last is None or i != last:
-                    if last is not None:
-                        yield out()
-                    last, ids = pa.py_buffer(i.to_pybytes()), np.frombuffer(i.to_pybytes(), np.int64)
-                    x = np.frombuffer(m.to_pybytes()).reshape(len(ids), -1)
-                    best = np.full((len(ids), k), np.inf)
-                others = np.frombuffer(o, np.int64)
-                found = nearest(x, ids, np.frombuffer(n).reshape(len(others), -1), others, k)
-                best = np.sort(np.concatenate([best, found], 1), axis=1)[:, :k]
-        if last is not None:
-            yield out()
-
-    packed = rows.repartition(parts, "id").mapInArrow(pack, "i binary, m binary")
-    pairs = packed.crossJoin(packed.select(F.col("i").alias("o"), F.col("m").alias("n")))
-    near = pairs.mapInArrow(meet, "id long, b array<double>").groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("b"))).alias("b"))
-    dist = F.sqrt(F.element_at("b", k))
-    return near.select(F.col("id").alias(key), dist.alias("dist")).where(F.col("dist") < float("inf"))
+            for i in range(batch.num_rows):
+                ids, c = numbers(batch, "ids", i, kind=np.int64), numbers(batch, "c", i, kind=np.int64)
+                yield rows(ids, c, numbers(batch, "d", i, k), numbers(batch, "at", i, kind=np.int64).reshape(len(ids), k, 2))
+
+    first = index.blocks.select("block", "ids", "c").join(own.select("block", "d", "at"), "block").mapInArrow(listed, schema)
+    found = index.search(own.select("block", "bound"), own, ask, answer, schema) if index.count > 1 else first.limit(0)
+    return first.unionByName(found).groupBy("id").agg(F.max("c").alias("c"), F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+
+
+def core_of(k: int):
+    """The ``k``-th distance, where each neighbour counts as often as its copies and the row's own copies are at no distance."""
+    walk = F.aggregate("near", F.struct((F.col("c") - 1).alias("n"), F.when(F.col("c") > k, 0.0).alias("d")), lambda s, x: F.struct((s["n"] + x["c"]).alias("n"), F.when(s["d"].isNotNull(), s["d"]).when(s["n"] + x["c"] >= k, x["d"]).alias("d")))
+    return walk["d"]
+
+
+def core_distances(rows: DataFrame, key: str, vector: str, k: int = 10, block: int = BLOCK) -> DataFrame:
+    """(key, dist): the distance of every row to its ``k``-th nearest other row among all rows.
+
+    Keys are whole numbers.  Rows without a key or a vector of finite numbers, and rows with fewer than ``k`` others, have no
+    result; equal vectors are each other's neighbours at distance 0; equal keys are rows of their own.
+    """
+    kept, few, width = distinct(rows, key, vector)
+    near = neighbours(Index(few, width, block), k)
+    cores = near.select(F.col("id").alias("first"), core_of(k).alias("dist")).where("dist is not null")
+    named = few.select(F.col("id").alias("first"), "v")
+    found = cores.join(named, "first")
+    return kept.join(found, "v").select(F.col("id").alias(key), "dist")

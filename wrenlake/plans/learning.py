@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import density as D
 from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import mixtures as X
@@ -164,11 +165,21 @@ def kmeans_motifs(spark, d):
     return KMeans(k=10, seed=42, maxIter=10).fit(x).transform(x).select("vec_id", F.col("prediction").alias("k"))
 
 
+def reduced(spark, d, k=8):
+    """Embeddings on their first principal axes."""
+    x = table(spark, d, "embeddings").select("vec_id", array_to_vector(V.doubles(F.col("embedding"))).alias("features"))
+    return PCA(k=k, inputCol="features", outputCol="z").fit(x).transform(x).select("vec_id", vector_to_array("z").alias("z"))
+
+
 @query()
 def pca_project(spark, d):
-    x = table(spark, d, "embeddings").select("vec_id", array_to_vector(V.doubles(F.col("embedding"))).alias("features"))
-    y = PCA(k=8, inputCol="features", outputCol="z").fit(x).transform(x)
-    return y.select("vec_id", F.posexplode(vector_to_array("z")).alias("i", "x"))
+    return reduced(spark, d).select("vec_id", F.posexplode("z").alias("i", "x"))
+
+
+@query()
+def density_clusters(spark, d):
+    # as the reference: first reduced, then clustered, with its sizes
+    return D.density_clusters(reduced(spark, d), "vec_id", "z", smallest=50, k=10)
 
 
 @query("select event_id from events where value between 10 and 50")
