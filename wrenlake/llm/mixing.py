@@ -31,7 +31,7 @@ from .common import stash
 WEIGHTS = (5, 2, 1)
 SHARE = 150  # per cent of all words that the mix has
 MOST = 2  # times that a document may be taken
-ROWS = 4096  # of a bucket of the seeded order, about
+ROWS = 512  # of a bucket of the seeded order, about
 #: Patterns that the flow tells apart, the largest ones; documents of others count for the first of their sources only.
 PATTERNS = 1 << 17
 
