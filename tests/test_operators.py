@@ -74,7 +74,7 @@ def test_group_folds_are_even(spark):
 def test_mixture_finds_blobs():
     rng = np.random.default_rng(1)
     x = np.vstack([rng.normal(c, 0.1, (60, 2)) for c in ((0, 0), (3, 0), (0, 3))])
-    assert len(mixtures.choose_mixture(x)[1]) == 3
+    assert len(mixtures.choose_mixture(x)[2][0]) == 3
     assert mixtures.choose_mixture(x[:1]) is None
 
 

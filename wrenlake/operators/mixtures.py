@@ -1,14 +1,19 @@
-"""Per-group Gaussian mixtures chosen by BIC, on all rows of each group."""
+"""Per-group Gaussian mixtures on principal axes, chosen by BIC, on all rows of each group; and what they say of any row.
+
+A model carries all that scoring needs: the mean and axes of its group, and weights, means and full covariances on these axes.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: The most rows of a group that are fitted in one task; larger groups are fitted by sums over all partitions.
 ONE_TASK = 20_000
@@ -40,28 +45,27 @@ def maximise(sums: list[np.ndarray], n: int, mixture: Mixture) -> Mixture:
     return nk / n, mixture[1] + move, covs
 
 
+def among(column: str, names: Iterable) -> Column:
+    """Whether a value, null as well, is one of ``names``."""
+    held = [g for g in names if g is not None]
+    inside = F.coalesce(F.col(column).isin(held), F.lit(False)) if held else F.lit(False)
+    return inside | F.col(column).isNull() if None in names else inside
+
+
 def converged(total: float, last: float, n: int) -> bool:
     return total - last < 1e-3 * n * 1e-1
 
 
-def fit_mixture(x: np.ndarray, k: int, steps: int = STEPS, seed: int = 42) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """Log likelihood, weights, means and covariances by expectation and maximisation."""
-    rng = np.random.default_rng(seed)
-    n, d = x.shape
-    means = x[rng.choice(n, 1)]
-    while len(means) < k:  # far points are likelier starts
-        far = np.min([((x - m) ** 2).sum(1) for m in means], axis=0)
-        means = np.vstack([means, x[rng.choice(n, p=far / far.sum())]])
-    mixture = np.full(k, 1 / k), means, np.repeat((np.cov(x.T).reshape(d, d) + 1e-6 * np.eye(d))[None], k, 0)
+def fit_mixture(x: np.ndarray, mixture: Mixture, steps: int = STEPS) -> tuple[float, Mixture]:
+    """Log likelihood and mixture by expectation and maximisation."""
     last = -np.inf
     for _ in range(steps):
         sums = expect(x, mixture)
         total = float(sums[0])
-        if converged(total, last, n):
+        if converged(total, last, len(x)):
             break
-        last = total
-        mixture = maximise(sums, n, mixture)
-    return total, *mixture
+        last, mixture = total, maximise(sums, len(x), mixture)
+    return total, mixture
 
 
 def most_components(n: int) -> int:
@@ -72,24 +76,51 @@ def criterion(total: float, k: int, d: int, n: int) -> float:
     return -2 * total + (k * d * (d + 1) / 2 + k * d + k - 1) * np.log(n)
 
 
-def choose_mixture(x: np.ndarray, most_dims: int = 64):
-    """Reduce by PCA and take the number of components with the least BIC; None for fewer than two rows or dimensions."""
-    n = len(x)
-    d = min(most_dims, n - 1, x.shape[1])
+def principal(outer: np.ndarray, n: int, most_dims: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Axes of the greatest spread, as columns, and their variances; None for fewer than two rows or dimensions."""
+    d = min(most_dims, n - 1, len(outer))
     if n < 2 or d < 2:
         return None
-    _, _, axes = np.linalg.svd(x - x.mean(0), full_matrices=False)
-    z = (x - x.mean(0)) @ axes[:d].T
-    best = None
+    value, vector = np.linalg.eigh(outer / (n - 1))
+    return vector[:, ::-1][:, :d], np.maximum(value[::-1][:d], 0)
+
+
+def first_guess(starts: np.ndarray, variances: np.ndarray, k: int) -> Mixture:
+    return np.full(k, 1 / k), starts[:k], np.repeat((np.diag(variances) + 1e-6 * np.eye(len(variances)))[None], k, 0)
+
+
+def far_draw(z: np.ndarray, h: np.ndarray, starts: np.ndarray) -> tuple[float, int]:
+    """The least of exponential times over squared distances to the starts: a draw by weight, the same however rows are dealt."""
+    far = np.min([((z - m) ** 2).sum(1) for m in starts], axis=0) if len(starts) else np.ones(len(z))
+    with np.errstate(divide="ignore"):
+        time = -np.log(uniform(h, len(starts))) / far
+    i = int(time.argmin())
+    return float(time[i]), i
+
+
+def choose_mixture(x: np.ndarray, h: np.ndarray | None = None, most_dims: int = 64):
+    """Mean, axes and the mixture on them with the least BIC; None for fewer than two rows or dimensions.
+
+    ``h``: a hash of each row, for the draw of starts.
+    """
+    n = len(x)
+    h = np.arange(n, dtype=np.uint64) if h is None else h
+    centre = x.mean(0)
+    found = principal((x - centre).T @ (x - centre), n, most_dims)
+    if found is None:
+        return None
+    axes, variances = found
+    z, starts, best = (x - centre) @ axes, np.empty((0, len(variances))), None
     for k in range(1, most_components(n) + 1):
+        starts = np.vstack([starts, z[far_draw(z, h, starts)[1]]])
         try:
-            total, w, means, covs = fit_mixture(z, k)
+            total, mixture = fit_mixture(z, first_guess(starts, variances, k))
         except np.linalg.LinAlgError:
             break
-        bic = criterion(total, k, d, n)
+        bic = criterion(total, k, len(variances), n)
         if best is None or bic < best[0]:
-            best = (bic, w, means, covs)
-    return best
+            best = bic, mixture
+    return None if best is None else (centre, axes, best[1])
 
 
 def per_group(rows: DataFrame, f: Callable[[object, np.ndarray, np.ndarray], np.ndarray], least: bool = False) -> dict:
@@ -133,30 +164,24 @@ def fit_large(rows: DataFrame, sizes: dict, most_dims: int) -> dict:
     spread = per_group(rows, lambda g, x, h: ((x - centre[g]).T @ (x - centre[g])).ravel())
     axes, values = {}, {}
     for g, s in spread.items():
-        n, width = sizes[g], len(centre[g])
-        value, vector = np.linalg.eigh(s.reshape(width, width) / (n - 1))
-        d = min(most_dims, n - 1, width)
-        if d >= 2:
-            axes[g], values[g] = vector[:, ::-1][:, :d], np.maximum(value[::-1][:d], 0)
-    rows = rows.where(F.coalesce(F.col("g").isin([g for g in axes if g is not None]), F.lit(None in axes)))
+        width = len(centre[g])
+        picked = principal(s.reshape(width, width), sizes[g], most_dims)
+        if picked is not None:
+            axes[g], values[g] = picked
+    rows = rows.where(among("g", axes))
     starts = {g: np.empty((0, a.shape[1])) for g, a in axes.items()}
 
     def draw(g, x: np.ndarray, h: np.ndarray) -> np.ndarray:
-        # the least of exponential times over weights is a draw by weight
         z = (x - centre[g]) @ axes[g]
-        far = np.min([((z - m) ** 2).sum(1) for m in starts[g]], axis=0) if len(starts[g]) else np.ones(len(z))
-        with np.errstate(divide="ignore"):
-            time = -np.log(uniform(h, len(starts[g]))) / far
-        i = int(time.argmin())
-        return np.concatenate([time[i : i + 1], z[i]])
+        time, i = far_draw(z, h, starts[g])
+        return np.concatenate([[time], z[i]])
 
     for _ in range(max((most_components(sizes[g]) for g in axes), default=0)):
         for g, p in per_group(rows, draw, least=True).items():
             starts[g] = np.vstack([starts[g], p[1:]])
     now = {}
     for g in axes:
-        cov = np.diag(values[g]) + 1e-6 * np.eye(len(values[g]))
-        now[g] = {k: (np.full(k, 1 / k), starts[g][:k], np.repeat(cov[None], k, 0)) for k in range(1, most_components(sizes[g]) + 1)}
+        now[g] = {k: first_guess(starts[g], values[g], k) for k in range(1, most_components(sizes[g]) + 1)}
     last = {g: dict.fromkeys(m, -np.inf) for g, m in now.items()}
     done: dict = {g: {} for g in axes}
 
@@ -168,7 +193,7 @@ def fit_large(rows: DataFrame, sizes: dict, most_dims: int) -> dict:
         live = [g for g in now if now[g]]
         if not live:
             break
-        some = rows.where(F.coalesce(F.col("g").isin([g for g in live if g is not None]), F.lit(None in live)))
+        some = rows.where(among("g", live))
         for g, flat in per_group(some, step).items():
             d, at = axes[g].shape[1], 0
             for k, mixture in list(now[g].items()):
@@ -197,33 +222,113 @@ def fit_large(rows: DataFrame, sizes: dict, most_dims: int) -> dict:
     for g, found in done.items():
         if found:
             k = min(found, key=lambda q: (criterion(found[q][0], q, axes[g].shape[1], sizes[g]), q))
-            best[g] = found[k][1:]
+            best[g] = centre[g], axes[g], found[k][1:]
     return best
 
 
+PARTS = ["comp", "weight", "mean", "cov", "n_samples", "centre", "axes"]
+
+
+def parts(centre: np.ndarray, axes: np.ndarray, mixture: Mixture, n: int) -> list[tuple]:
+    """Rows of a model table."""
+    w, means, covs = mixture
+    return [(j, float(w[j]), means[j].tolist(), covs[j].ravel().tolist(), n, centre.tolist(), axes.ravel().tolist()) for j in range(len(w))]
+
+
 def group_mixtures(rows: DataFrame, group: str, key: str, vector: str, most_dims: int = 64, one_task: int = ONE_TASK) -> DataFrame:
-    """(group, comp, weight, mean, cov, n_samples): one row per component, fitted on all rows; groups too small have none."""
+    """(group, comp, weight, mean, cov, n_samples, centre, axes): one row per component, fitted on all rows; groups too small have none.
+
+    ``centre`` is the group's mean, ``axes`` its principal axes (a row of the flat matrix for each dimension of the vectors); ``mean`` and ``cov``
+    lie on these axes.
+    """
     kind = dict(rows.dtypes)[group]
     rows = rows.where(F.col(vector).isNotNull())
-    schema = f"{group} {kind}, comp int, weight double, mean array<double>, cov array<double>, n_samples long"
+    schema = f"{group} {kind}, comp int, weight double, mean array<double>, cov array<double>, n_samples long, centre array<double>, axes array<double>"
     large = {r[0]: r.n for r in rows.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") > one_task).collect()}
-    is_large = F.coalesce(F.col(group).isin([g for g in large if g is not None]), F.lit(None in large))
+    is_large = among(group, large)
 
     def fit(own: pd.DataFrame) -> pd.DataFrame:
-        best = choose_mixture(np.stack(own[vector].to_numpy()).astype(float), most_dims)
-        if best is None:
-            return pd.DataFrame(columns=[group, "comp", "weight", "mean", "cov", "n_samples"])
-        _, w, means, covs = best
-        return pd.DataFrame([(own[group].iloc[0], j, w[j], means[j], covs[j].ravel(), len(own)) for j in range(len(w))], columns=[group, "comp", "weight", "mean", "cov", "n_samples"])
+        best = choose_mixture(np.stack(own.v.to_numpy()).astype(float), own.h.to_numpy().astype(np.uint64), most_dims)
+        return pd.DataFrame([(own.g.iloc[0], *r) for r in parts(*best, len(own))] if best else [], columns=[group, *PARTS])
 
-    out = rows.where(~is_large).select(group, vector).groupBy(group).applyInPandas(fit, schema)
+    some = rows.where(~is_large).select(F.col(group).alias("g"), F.col(vector).alias("v"), F.xxhash64(key).alias("h"))
+    out = some.groupBy("g").applyInPandas(fit, schema)
     names = list(large)
     for at in range(0, len(names), WAVE):
         wave = names[at : at + WAVE]
-        own = F.coalesce(F.col(group).isin([g for g in wave if g is not None]), F.lit(None in wave))
+        own = among(group, wave)
         picked = rows.where(own).select(F.col(group).alias("g"), F.col(vector).alias("v"), F.xxhash64(key).alias("h")).persist()
         fitted = fit_large(picked, {g: large[g] for g in wave}, most_dims)
         picked.unpersist()
-        found = [(g, j, float(w[j]), means[j].tolist(), covs[j].ravel().tolist(), large[g]) for g, (w, means, covs) in fitted.items() for j in range(len(w))]
-        out = out.unionByName(rows.sparkSession.createDataFrame(found, schema))
+        out = out.unionByName(rows.sparkSession.createDataFrame([(g, *r) for g, best in fitted.items() for r in parts(*best, large[g])], schema))
     return out
+
+
+class Scorer:
+    """Densities of a group's mixture, with what each component needs worked out once."""
+
+    def __init__(self, own: list):
+        first = own[0]
+        d = len(first.mean)
+        self.centre, self.axes = np.array(first.centre), np.array(first.axes).reshape(-1, d)
+        self.means = [np.array(r.mean) for r in own]
+        lows = [np.linalg.cholesky(np.array(r["cov"]).reshape(d, d)) for r in own]
+        self.turns = [np.linalg.inv(low).T for low in lows]
+        self.logs = np.array([np.log(r.weight) - np.log(np.diag(low)).sum() - 0.5 * d * np.log(2 * np.pi) for r, low in zip(own, lows)])
+
+    def posteriors(self, x: np.ndarray) -> np.ndarray:
+        z = (x - self.centre) @ self.axes
+        logs = np.stack([c - 0.5 * (((z - m) @ t) ** 2).sum(1) for m, t, c in zip(self.means, self.turns, self.logs)], axis=1)
+        e = np.exp(logs - logs.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)
+
+
+#: Numbers of the models that tasks hold at once; larger sets of models are scored in turns, each a pass over the rows.
+MOST_NUMBERS = 1 << 23
+
+
+def mixture_posteriors(rows: DataFrame, models: DataFrame, groups: DataFrame, key: str, vector: str, group: str) -> DataFrame:
+    """(key, group, best, entropy): for every row and group the greatest posterior over the group's components, and their entropy.
+
+    ``models`` is what ``group_mixtures`` gives, stored; ``groups`` one row a group.  A group without a model scores -100 and 0.  Rows without a vector
+    have no result.  Models go to the tasks, MOST_NUMBERS numbers at a time; rows aren't shuffled.
+    """
+    size = models.groupBy(group).agg(F.sum(F.size("mean") + F.size("cov") + F.size("centre") + F.size("axes")).alias("n"))
+    turns: list[list] = [[]]
+    held = 0
+    for r in groups.select(group).join(size.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")), "left").select(group, "n").orderBy(group).collect():  # a name and a number for each group
+        if turns[-1] and held + (r.n or 0) > MOST_NUMBERS:
+            turns.append([])
+            held = 0
+        turns[-1].append(r[0])
+        held += r.n or 0
+    kinds = dict(rows.dtypes)
+    schema = f"{key} {kinds[key]}, {group} {dict(groups.dtypes)[group]}, best double, entropy double"
+    rows = rows.select(key, F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    return reduce(DataFrame.unionByName, [one_turn(rows, models, turn, key, group, schema) for turn in turns])
+
+
+def one_turn(rows: DataFrame, models: DataFrame, names: list, key: str, group: str, schema: str) -> DataFrame:
+    is_one = among(group, names)
+    kind = to_arrow_type(models.schema[group].dataType)
+    found: dict = {g: [] for g in names}
+    for r in models.where(is_one).orderBy(group, "comp").collect():
+        found[r[group]].append(r)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorers = {g: Scorer(own) if own else None for g, own in found.items()}
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            x = np.asarray(batch.column("v").flatten()).reshape(n, -1)
+            for g, scorer in scorers.items():
+                best, entropy = np.full(n, -100.0), np.zeros(n)
+                if scorer is not None:
+                    q = scorer.posteriors(x)
+                    best = q.max(1)
+                    w = (q + 1e-10) / (q + 1e-10).sum(1, keepdims=True)
+                    entropy = -(w * np.log(w)).sum(1)
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([g] * n, kind), pa.array(best), pa.array(entropy)], names=[key, group, "best", "entropy"])
+
+    return rows.mapInArrow(run, schema)

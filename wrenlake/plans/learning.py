@@ -9,12 +9,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import classifier as C
 from ..operators import density as D
 from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import mixtures as X
 from ..operators import neighbours as N
 from ..sources import table
+from ..sources.shared import stash
 from ..streaming import accept, append_new, new_sink, run_all, stream_table
 from . import query
 from .vectors import LENGTH, WIDTH, segments
@@ -147,6 +149,30 @@ def subcluster_match(spark, d):
     return each.select("vec_id", "species", F.round(-0.5 * F.aggregate(terms, F.lit(0.0), lambda s, t: s + t), 6).alias("ll"))
 
 
+def training(spark, d):
+    """Rows with five folds, a label of ten, and labels of every third row unknown."""
+    y = F.array(*((F.col("label") == j).cast("double") for j in range(10)))
+    m = F.array_repeat((F.col("vec_id") % 3 != 0).cast("double"), 10)
+    return table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 5).cast("int").alias("fold"), V.doubles(F.col("embedding")).alias("x"), y.alias("y"), m.alias("m"))
+
+
+def fitted(spark, d):
+    return C.fit_folds(training(spark, d), "vec_id", 5, hidden=(32,), epochs=8, patience=3, rate=0.02)
+
+
+@query()
+def fold_scores(spark, d):
+    p = fitted(spark, d).scores(training(spark, d), "vec_id")
+    return p.select("vec_id", "fold", F.posexplode("p").alias("j", "p"))
+
+
+@query()
+def fold_epochs(spark, d):
+    # early_stop's columns for each fold
+    rows = [(f, e, float(x), float(a)) for f, e, x, a in fitted(spark, d).history]
+    return spark.createDataFrame(rows, "fold int, epoch int, loss double, auc double")
+
+
 @query()
 def core_distance(spark, d):
     # the reference's min_samples, among all embeddings
@@ -159,6 +185,14 @@ def species_gmm(spark, d):
     return X.group_mixtures(x, "label", "vec_id", "embedding").select("label", "comp", "weight", "n_samples")
 
 
+@query()
+def mixture_match(spark, d):
+    # the fitted models of all labels, stored, score every vector
+    x = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("species"), "embedding")
+    models = stash(X.group_mixtures(x, "species", "vec_id", "embedding"), "models")
+    return X.mixture_posteriors(x, models, x.select("species").distinct(), "vec_id", "embedding", "species")
+
+
 @query()
 def kmeans_motifs(spark, d):
     x = table(spark, d, "embeddings").select("vec_id", array_to_vector(V.doubles(F.col("embedding"))).alias("features"))
