@@ -114,6 +114,36 @@ def motif_features(segments: DataFrame, key: str, frames: str, prototypes: DataF
     return segments.select(key, frames).where(F.size(frames) > 0).mapInPandas(run, schema)
 
 
+def traces(segments: DataFrame, key: str, frames: str, prototypes: DataFrame, k: str = "k", p: str = "p", metric: str = "cosine", temperature: float = 0.1) -> DataFrame:
+    """(key, k, w): the weights of each prototype along a segment's frames, in order; segments without frames give no rows."""
+    ids, matrix = prototype_matrix(prototypes, k, p)
+    schema = f"{key} {dict(segments.dtypes)[key]}, k int, w array<double>"
+    if not ids:
+        return segments.sparkSession.createDataFrame([], schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                n = b[frames].map(len).to_numpy()
+                w = weights(np.array([f for row in b[frames] for f in row], float), matrix, metric, temperature)
+                own = np.split(w, np.cumsum(n)[:-1])
+                yield pd.DataFrame({key: np.repeat(b[key].to_numpy(), len(ids)), "k": np.tile(ids, len(b)), "w": [c for x in own for c in x.T]})
+
+    return segments.select(key, frames).where(F.size(frames) > 0).mapInPandas(run, schema)
+
+
+def runs(trace: Column, cut: float) -> Column:
+    """(density, n_runs, longest): share of frames with a weight over ``cut``, their runs without a gap, and the longest run; within the row."""
+    start = F.struct(F.lit(0).alias("on"), F.lit(0).alias("now"), F.lit(0).alias("n_runs"), F.lit(0).alias("longest"))
+
+    def step(s: Column, w: Column) -> Column:
+        over = F.coalesce(w > cut, F.lit(False))
+        now = F.when(over, s["now"] + 1).otherwise(0)
+        return F.struct((s["on"] + over.cast("int")).alias("on"), now.alias("now"), (s["n_runs"] + (now == 1).cast("int")).alias("n_runs"), F.greatest(s["longest"], now).alias("longest"))
+
+    return F.aggregate(trace, start, step, lambda s: F.struct((s["on"] / F.size(trace)).alias("density"), s["n_runs"].alias("n_runs"), s["longest"].alias("longest")))
+
+
 def dominant(features: DataFrame, key: str, places: int = 6) -> DataFrame:
     """(key, k): the prototype with the greatest sum, the first among equals."""
     return features.groupBy(key).agg(F.max_by("k", F.struct(F.round("hist", places), -F.col("k"))).alias("k"))

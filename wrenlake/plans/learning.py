@@ -17,7 +17,7 @@ from ..operators import mixtures as X
 from ..operators import neighbours as N
 from ..sources import table
 from ..sources.shared import stash
-from ..streaming import accept, append_new, new_sink, run_all, stream_table
+from ..streaming import KeyStore, accept, new_sink, run_all, run_once_each, stream_table
 from . import query
 from .vectors import LENGTH, WIDTH, segments
 
@@ -61,21 +61,25 @@ def loss_asl(spark, d):
     return M.asymmetric_loss(logits(spark, d)).select(F.round("loss", 6).alias("loss"))
 
 
-@query("select label, count(*)::BIGINT * (count(*)::BIGINT - 1) as pairs from embeddings group by label")
-def contrastive_pairs(spark, d):
-    return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n")).select("label", (F.col("n") * (F.col("n") - 1)).alias("pairs"))
+SUPCON = "b as (select vec_id, vec_id // 50 as batch, label, list_transform(embedding, lambda x: x::DOUBLE) as v from embeddings), pr as (select a.vec_id as i, c.vec_id as j, a.label = c.label as pos, list_sum(list_transform(range(1, 65), lambda q: a.v[q] * c.v[q])) / 0.07::DOUBLE as s from b a join b c on a.batch = c.batch and a.vec_id <> c.vec_id), lp as (select *, s - max(s) over (partition by i) as t from pr), ll as (select *, t - ln(sum(exp(t)) over (partition by i)) as l from lp)"
+
+
+def batch_pairs(spark, d):
+    """All ordered pairs within batches of 50, as in training, which label says are alike, and their products."""
+    x = table(spark, d, "embeddings").select("vec_id", F.expr("vec_id div 50").alias("batch"), "label", V.doubles(F.col("embedding")).alias("v"))
+    y = x.select("batch", F.col("vec_id").alias("o"), F.col("label").alias("ol"), F.col("v").alias("u"))
+    return x.join(y, "batch").where("vec_id <> o").select("batch", "vec_id", F.col("o").alias("other"), (F.col("label") == F.col("ol")).alias("pos"), V.dot(F.col("v"), F.col("u")).alias("c"))
 
 
-SUPCON = "b as (select vec_id, vec_id // 50 as batch, label, list_transform(embedding, lambda x: x::DOUBLE) as v from embeddings), pr as (select a.vec_id as i, a.label = c.label as pos, list_sum(list_transform(range(1, 65), lambda q: a.v[q] * c.v[q])) / 0.07::DOUBLE as s from b a join b c on a.batch = c.batch and a.vec_id <> c.vec_id), lp as (select *, s - max(s) over (partition by i) as t from pr), ll as (select *, t - ln(sum(exp(t)) over (partition by i)) as l from lp)"
+@query(f"with {SUPCON} select i as vec_id, j as other, pos, round(s * 0.07::DOUBLE, 6) as c from pr")
+def contrastive_pairs(spark, d):
+    return batch_pairs(spark, d).select("vec_id", "other", "pos", F.round("c", 6).alias("c"))
 
 
 @query(f"with {SUPCON} select round(avg(a), 6) as loss from (select i, -avg(l) as a from ll where pos group by i)")
 def loss_supcon(spark, d):
-    # pairs meet within batches of a fixed size, as in training
-    x = table(spark, d, "embeddings").select("vec_id", F.expr("vec_id div 50").alias("batch"), "label", V.doubles(F.col("embedding")).alias("v"))
-    y = x.select("batch", F.col("vec_id").alias("o"), F.col("label").alias("ol"), F.col("v").alias("u"))
     w = Window.partitionBy("vec_id")
-    p = x.join(y, "batch").where("vec_id <> o").select("vec_id", (F.col("label") == F.col("ol")).alias("pos"), (V.dot(F.col("v"), F.col("u")) / 0.07).alias("s"))
+    p = batch_pairs(spark, d).select("vec_id", "pos", (F.col("c") / 0.07).alias("s"))
     p = p.withColumn("t", F.col("s") - F.max("s").over(w)).withColumn("l", F.col("t") - F.log(F.sum(F.exp("t")).over(w)))
     return p.where("pos").groupBy("vec_id").agg((-F.avg("l")).alias("a")).agg(F.round(F.avg("a"), 6).alias("loss"))
 
@@ -226,10 +230,9 @@ def stream_bbox(spark, d):
 @query("select distinct user_id, event_type from events")
 def stream_dedup(spark, d):
     sink = new_sink(spark)
-    rows = stream_table(spark, d, "events").select("user_id", "event_type")
-    keep = ["user_id", "event_type"]
-    rows.writeStream.foreachBatch(lambda batch, _: append_new(batch, f"{sink}/out", keep)).option("checkpointLocation", f"{sink}/log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("user_id long, event_type string").parquet(f"{sink}/out")
+    store = KeyStore(sink, ["user_id", "event_type"])
+    run_once_each(stream_table(spark, d, "events").select("user_id", "event_type"), store, f"{sink}/log")
+    return store.rows(spark, "user_id long, event_type string")
 
 
 @query(f"select vec_id, {LENGTH} * {WIDTH} as n from embeddings")

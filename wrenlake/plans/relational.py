@@ -182,9 +182,10 @@ def dedup_first(spark, d):
 
 @query("select doc_id from documents where doc_id not in (select item_id from benchmark) and text not in (select text from benchmark) and sha1(text) not in (select sha1(text) from benchmark)")
 def dedup_three_key(spark, d):
-    x = table(spark, d, "documents").select("doc_id", "text", F.sha1(F.col("text").cast("binary")).alias("h"))
-    y = table(spark, d, "benchmark").select("item_id", F.col("text").alias("t"), F.sha1(F.col("text").cast("binary")).alias("th"))
-    return L.not_seen(x, y, [("doc_id", "item_id"), ("text", "t"), ("h", "th")]).select("doc_id")
+    # equal texts have equal digests, so the text itself is no key of the join
+    x = table(spark, d, "documents").select("doc_id", F.sha1(F.col("text").cast("binary")).alias("h"))
+    y = table(spark, d, "benchmark").select("item_id", F.sha1(F.col("text").cast("binary")).alias("th"))
+    return L.not_seen(x, y, [("doc_id", "item_id"), ("h", "th")]).select("doc_id")
 
 
 @query("select page_id from pages where coalesce(nullif(regexp_replace(regexp_replace(upper(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1')), '^[XC]+', ''), '^0+', ''), ''), '0') not in (select p_partkey::VARCHAR from part where p_size > 25)")
@@ -253,13 +254,15 @@ def single_label(spark, d):
     return x.where(F.size("r") == 1).select("conv_id", F.get("r", F.lit(0)).alias("role"))
 
 
-MASK_SQL = "select d.doc_id as segment, s.species, (l.doc_id is not null and case when l.quality = 0 then d.lang = s.species else d.lang in ('de', 'en', 'fr') and d.lang = s.species end)::INTEGER::DOUBLE as y, (l.doc_id is not null)::INTEGER::DOUBLE as m from documents d left join labels l on l.doc_id = d.doc_id, (select unnest(['de', 'en', 'fr']) as species) s"
+MASK_SQL = "select d.doc_id as segment, s.species, (l.doc_id is not null and case when l.quality = 0 then d.lang = s.species else d.lang in ('de', 'en', 'fr') and (d.lang = s.species or (s.species = 'de' and d.source < 'src2') or (s.species = 'fr' and d.source >= 'src15')) end)::INTEGER::DOUBLE as y, (l.doc_id is not null)::INTEGER::DOUBLE as m from documents d left join labels l on l.doc_id = d.doc_id, (select unnest(['de', 'en', 'fr']) as species) s"
 
 
 def masks(spark, d):
-    x = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    # secondary labels go by source; some are of no species
+    x = table(spark, d, "documents").select("doc_id", "lang", "source").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
     q = F.when(F.col("quality") == 1, "strong_primary").when(F.col("quality") == 0, "strong_multilabel").otherwise("unlabeled")
-    return L.label_masks(x.select(F.col("doc_id").alias("segment"), q.alias("quality"), F.array("lang").alias("primary"), F.array().cast("array<string>").alias("secondary")), ["de", "en", "fr"])
+    second = F.array_compact(F.array(F.when(F.col("source") < "src2", "de"), F.when(F.col("source") >= "src15", "fr"), F.lit("zz")))
+    return L.label_masks(x.select(F.col("doc_id").alias("segment"), q.alias("quality"), F.array("lang").alias("primary"), second.alias("secondary")), ["de", "en", "fr"])
 
 
 @query(MASK_SQL)

@@ -11,7 +11,9 @@ from ..operators import metrics as M
 from ..operators import repair as R
 from ..operators import segments as S
 from ..sources import table
-from ..streaming import complete, dedup, new_sink, run_all, stream_table
+from ..sources.rewrite import Table
+from ..sources.shared import new_dir
+from ..streaming import capped, dedup, new_sink, run_all, run_to_end, stream_table
 from . import query
 from .learning import CLASSES, LOGITS, logits
 from .relational import SEGMENT_SQL, segment_fixed
@@ -24,7 +26,7 @@ def topk_pad(spark, d):
     return x.select("vec_id", "k", "t.idx", F.round("t.val", 6).alias("val"))
 
 
-CODED = "m as (select c_custkey, case when c_custkey % 3 = 0 then 'inat' else 'birdset' end as source, 'birdset:' || c_mktsegment || ':train:' || c_custkey::VARCHAR as source_id, case when c_custkey % 2 = 0 then ' ' || (c_nationkey - 2)::VARCHAR else c_mktsegment end as species_name, 'old' as common_name from customer), codes as (select seg as config, n_nationkey - 2 as number, 'C' || n_nationkey::VARCHAR as code from nation, (select unnest(['BUILDING', 'MACHINERY', 'AUTOMOBILE']) as seg) where n_nationkey % 5 <> 0), names as (select 'c' || n_nationkey::VARCHAR as code, n_name as scientific_name, lower(n_name) as other_name from nation where n_nationkey % 4 <> 0)"
+CODED = "m as (select c_custkey, case when c_custkey % 3 = 0 then 'inat' else 'birdset' end as source, 'birdset:' || c_mktsegment || ':train:' || c_custkey::VARCHAR as source_id, case when c_custkey % 2 = 0 then ' ' || (c_nationkey - 2)::VARCHAR else c_mktsegment end as species_name, 'old' as common_name from customer), codes as (select seg as config, n_nationkey - 2 as number, 'C' || n_nationkey::VARCHAR as code from nation, (select unnest(['BUILDING', 'MACHINERY', 'AUTOMOBILE']) as seg)), names as (select 'c' || n_nationkey::VARCHAR as code, n_name as scientific_name, lower(n_name) as other_name from nation)"
 
 
 def coded(spark, d):
@@ -34,9 +36,9 @@ def coded(spark, d):
         F.when(k % 2 == 0, F.concat(F.lit(" "), (F.col("c_nationkey") - 2).cast("string"))).otherwise(F.col("c_mktsegment")).alias("species_name"), F.lit("old").alias("common_name"),
     )
     n = table(spark, d, "nation")
-    codes = n.where("n_nationkey % 5 <> 0").select(F.explode(F.array(*map(F.lit, ("BUILDING", "MACHINERY", "AUTOMOBILE")))).alias("config"), (F.col("n_nationkey") - 2).cast("long").alias("number"), F.concat(F.lit("C"), F.col("n_nationkey").cast("string")).alias("code"))
-    names = n.where("n_nationkey % 4 <> 0").select(F.concat(F.lit("c"), F.col("n_nationkey").cast("string")).alias("code"), F.col("n_name").alias("scientific_name"), F.lower("n_name").alias("other_name"))
-    return R.repair_coded(rows, codes, names)
+    codes = n.select(F.explode(F.array(*map(F.lit, ("BUILDING", "MACHINERY", "AUTOMOBILE")))).alias("config"), (F.col("n_nationkey") - 2).cast("long").alias("number"), F.concat(F.lit("C"), F.col("n_nationkey").cast("string")).alias("code"))
+    names = n.select(F.concat(F.lit("c"), F.col("n_nationkey").cast("string")).alias("code"), F.col("n_name").alias("scientific_name"), F.lower("n_name").alias("other_name"))
+    return rows, codes, names
 
 
 REPAIRED = "case when source = 'birdset' and regexp_full_match(trim(species_name), '-*[0-9]+') then {} else {} end"
@@ -44,7 +46,7 @@ REPAIRED = "case when source = 'birdset' and regexp_full_match(trim(species_name
 
 @query(f"with {CODED} select c_custkey, " + REPAIRED.format("coalesce(scientific_name, c.code, species_name)", "species_name") + " as species_name, " + REPAIRED.format("case when c.code is null then common_name else coalesce(other_name, '') end", "common_name") + " as common_name, " + REPAIRED.format("c.code is not null", "false") + " as repaired from m left join codes c on c.config = split_part(source_id, ':', 2) and c.number = try_cast(trim(species_name) as BIGINT) left join names on names.code = lower(c.code)")
 def repair_labels(spark, d):
-    return coded(spark, d).select("c_custkey", "species_name", "common_name", "repaired")
+    return R.repair_coded(*coded(spark, d)).select("c_custkey", "species_name", "common_name", "repaired")
 
 
 EXTERNAL = "seg as (" + SEGMENT_SQL.format(step="5.0::DOUBLE", length="5.0::DOUBLE", slack="0.01::DOUBLE") + "), f as (select doc_id, quality * 5.0::DOUBLE as pos, case when toxic = 1 then 'zz' else (select lang from documents d where d.doc_id = labels.doc_id) end as species from labels), x as (select doc_id::VARCHAR || '_' || printf('%.1f', pos) as segment, species, case when species in ('de', 'en', 'fr') then 'matched' else 'unknown' end as status from f join seg using (doc_id) where round(seg.start, 1) = pos and species is not null)"
@@ -191,11 +193,11 @@ def group_summary(spark, d):
 KMAX = "k as (select source, greatest(1, least(10, count(*) // 20))::INTEGER as k, count(*) as n from documents group by source)"
 
 
-@query(f"with {KMAX} select 'low' as list, source, k from (select * from k where k <= 1 order by n, source limit 15) union all select 'high', source, k from (select * from k where k >= 5 order by k desc, source limit 15)")
+@query(f"with {KMAX} select 'low' as list, source, k from (select * from k where k <= 1 order by n, source limit 10) union all select 'high', source, k from (select * from k where k >= 5 order by k desc, source limit 10)")
 def component_lists(spark, d):
     x = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n")).withColumn("k", F.greatest(F.lit(1), F.least(F.lit(10), F.expr("n div 20"))).cast("int"))
-    low = x.where("k <= 1").orderBy("n", "source").limit(15).select(F.lit("low").alias("list"), "source", "k")
-    return low.unionAll(x.where("k >= 5").orderBy(F.desc("k"), "source").limit(15).select(F.lit("high"), "source", "k"))
+    low = x.where("k <= 1").orderBy("n", "source").limit(10).select(F.lit("low").alias("list"), "source", "k")
+    return low.unionAll(x.where("k >= 5").orderBy(F.desc("k"), "source").limit(10).select(F.lit("high"), "source", "k"))
 
 
 @query("select count(*) filter (where item_id is null) as missing, count(item_id) as found from documents left join benchmark on item_id = doc_id")
@@ -206,16 +208,43 @@ def missing_count(spark, d):
 
 @query("select time_bucket(interval '5 minutes', ts, timestamp '1970-01-01') as start, count(*) as n, round(sum(value), 6) as total from events group by 1")
 def stream_windows(spark, d):
-    rows = stream_table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
-    x = rows.groupBy(F.window("ts", "5 minutes").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
-    return complete(x.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "total"), new_sink(spark))
+    rows = stream_table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "value")
+
+    def build(x):
+        x = x.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "5 minutes").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+        return x.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "total")
+
+    return run_to_end(rows, "ts", build, new_sink(spark))[0]
 
 
 @query("with x as (select user_id, ts, (lag(ts) over (partition by user_id order by ts) is null or ts - lag(ts) over (partition by user_id order by ts) >= interval '30 minutes')::INTEGER as s from events), y as (select *, sum(s) over (partition by user_id order by ts rows unbounded preceding) as g from x) select user_id, min(ts) as start, count(*) as n from y group by user_id, g")
 def stream_sessions(spark, d):
-    rows = stream_table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
-    x = rows.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
-    return complete(x.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n"), new_sink(spark))
+    rows = stream_table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+
+    def build(x):
+        x = x.withWatermark("ts", "1 hour").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
+        return x.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+    return run_to_end(rows, "ts", build, new_sink(spark))[0]
+
+
+@query("select event_type, event_id from (select event_type, event_id, row_number() over (partition by event_type order by event_id) as r from events) where r <= 20")
+def stream_cap(spark, d):
+    sink = new_sink(spark)
+    rows = stream_table(spark, d, "events").select("event_type", "event_id")
+    run_all(capped(rows, "event_type", "event_id", 20), f"{sink}/out", f"{sink}/log")
+    return spark.read.schema("event_type string, event_id long").parquet(f"{sink}/out")
+
+
+@query(f"with {CODED} select c_custkey, source, " + REPAIRED.format("coalesce(scientific_name, c.code, species_name)", "species_name") + " as species_name, " + REPAIRED.format("case when c.code is null then common_name else coalesce(other_name, '') end", "common_name") + " as common_name from m left join codes c on c.config = split_part(source_id, ':', 2) and c.number = try_cast(trim(species_name) as BIGINT) left join names on names.code = lower(c.code)")
+def rewrite_labels(spark, d):
+    # a copy of the table is repaired in place
+    path = new_dir(spark, "labels")
+    rows, codes, names = coded(spark, d)
+    rows.write.parquet(path)
+    kept = Table(spark, path)
+    kept.rewrite(lambda x: R.repair_coded(x, codes, names).drop("repaired"))
+    return kept.read().select("c_custkey", "source", "species_name", "common_name")
 
 
 @query("select distinct user_id, event_type from events")

@@ -119,6 +119,12 @@ def motif_features(spark, d):
     return features(spark, d).select("vec_id", "k", *(F.round(c, 6).alias(c) for c in ("hist", "mx", "spread")))
 
 
+@query(BASE + ", fl as (select vec_id, t, k, w > 0.1 as f from w), g as (select *, t - row_number() over (partition by vec_id, k, f order by t) as g from fl), r as (select vec_id, k, count(*) as n from g where f group by vec_id, k, g) select a.vec_id, a.k, a.density, coalesce(b.n_runs, 0)::INTEGER as n_runs, coalesce(b.longest, 0)::INTEGER as longest from (select vec_id, k, round(avg(f::INTEGER), 6) as density from fl group by vec_id, k) a left join (select vec_id, k, count(*) as n_runs, max(n) as longest from r group by vec_id, k) b on b.vec_id = a.vec_id and b.k = a.k")
+def motif_runs(spark, d):
+    x = M.traces(segments(spark, d), "vec_id", "frames", prototypes(spark, d)).select("vec_id", "k", M.runs(F.col("w"), 0.1).alias("r"))
+    return x.select("vec_id", "k", F.round("r.density", 6).alias("density"), "r.n_runs", "r.longest")
+
+
 @query(BASE + "select vec_id, round(avg(h) / ln(10), 6) as noise from (select vec_id, t, -sum(w * ln(w + 1e-10)) as h from w group by vec_id, t) group by vec_id")
 def noise_fraction(spark, d):
     return features(spark, d).groupBy("vec_id").agg(F.round(F.max("noise"), 6).alias("noise"))
