@@ -7,7 +7,8 @@ certified if the exact binomial bound shows its false rejection rate of good doc
 first that isn't is used (fixed-sequence testing within a rule, Bonferroni over rules and strata).
 So with confidence ``1 - fail`` no stratum loses more than ``risk`` of its good documents to these
 rules.  Strata with fewer than ``LEAST_GOOD`` labelled good documents, for which nothing can be certified, are one stratum
-together.  Where labels are too few even so, nothing is rejected by these rules.
+together: there the guarantee is for the good documents of all of them as one population, not for each, and a small
+stratum unlike the others can lose more.  Where labels are too few even so, nothing is rejected by these rules.
 
 Defined results: null text has no words and fails the base rule; a null stratum is a stratum of its
 own; repeated rows are repeated; the empty table gives an empty result; other columns are dropped.

@@ -10,7 +10,7 @@ nothing else explains, so words that merely stand beside toxic ones aren't learn
 sampled documents that the field didn't learn from, the document's score.
 
 Defined results: null text is empty and has the score of a text without words; repeated rows are repeated; labels other
-than 0 and 1 and labels of a null id are left out; without toxic labels every score is 0; other columns are dropped.
+than 0 and 1 and labels of a null id are left out; of several labels of an id the highest counts; without toxic labels every score is 0; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLOCK, LOWER, SPACE, bytes_of, hash_stretches, is_held_out, running_sums, slices, starts, stash, windows, word_blocks, word_hashes
+from .common import BLOCK, LOWER, SPACE, bytes_of, hash_stretches, is_held_out, running_sums, slices, starts, stash, word_blocks
 
 #: The bound on labelled documents per class that the model is fitted on; above it, those with the least hash.
 MOST_LABELLED = 4_000
@@ -230,24 +230,23 @@ def labelled(docs: DataFrame, labels: DataFrame, id_column: str, text_column: st
     return docs.select(F.col(id_column).alias("key"), F.col(text_column).alias("text")).join(F.broadcast(picked), "key")
 
 
-SAMPLE = "y int, fold int, kin long, word binary, stem binary, root binary, shape binary"
+SAMPLE = "y int, fold int, word binary, stem binary, root binary, shape binary"
 
 
 def featured(sample: DataFrame) -> DataFrame:
-    """The sample's documents as features; of those with the same least hash of a pair of words (copies) one stays."""
+    """The sample's documents as features; of documents with equal texts and labels only the one with the least id stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
-            texts = bytes_of(batch.column("text"))
-            x = tokens(texts)
-            h, at = word_hashes(texts, lower=True)
-            pairs = windows(h, 2).view(np.int64)
-            kin = [int(pairs[a : b - 1].min()) if b - a > 1 else int(h[a].view(np.int64)) if b > a else 0 for a, b in zip(at.tolist(), at[1:].tolist())]
+            x = tokens(bytes_of(batch.column("text")))
             packed = [pa.array([v[a:b].astype(kind).tobytes() for a, b in zip(x.bounds, x.bounds[1:])], pa.binary()) for v, kind in ((x.word, "<i4"), (x.stem, "<i4"), (x.root, "<i4"), (x.shape, "u1"))]
-            yield pa.RecordBatch.from_arrays([batch.column("y").cast(pa.int32()), batch.column("fold").cast(pa.int32()), pa.array(kin, pa.int64()), *packed], names=[c.split()[0] for c in SAMPLE.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("y").cast(pa.int32()), batch.column("fold").cast(pa.int32()), *packed], names=[c.split()[0] for c in SAMPLE.split(", ")])
 
     fold = F.pmod(F.xxhash64("key"), F.lit(FOLDS)).cast("int")
-    return sample.withColumn("fold", fold).mapInArrow(run, SAMPLE).dropDuplicates(["y", "kin"])
+    text = F.coalesce("text", F.lit(""))
+    first = Window.partitionBy("y", F.sha2(text, 256)).orderBy("key")
+    one = sample.withColumn("fold", fold).withColumn("place", F.row_number().over(first)).where("place = 1")
+    return one.select("y", "fold", "text").mapInArrow(run, SAMPLE)
 
 
 def unpacked(batch: pa.RecordBatch) -> tuple[Tokens, np.ndarray]:
