@@ -265,3 +265,19 @@ def test_long_texts(spark):
     mixed = {r.doc_id: r for r in mixing.mix_sources(df, F.array("source")).collect()}
     assert mixed[1].size == len(text.split()) and mixed[2].size == 3
     assert sum(r.taken for r in mixed.values()) == (len(text.split()) + 3) * 3 // 2
+
+
+# packing
+
+
+def test_never_more_than_best_fit():
+    from wrenlake.llm import packing
+
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        sizes = rng.integers(1, 2049, 300).tolist() if seed % 2 else np.minimum(2048, rng.lognormal(6.3, 0.6, 400).astype(int) + 1).tolist()
+        best = packing.evolve(sizes, 0, 0, seed, [])
+        assert sorted(i for b in best for i in b) == list(range(len(sizes))) and max(packing.filled(sizes, b) for b in best) <= packing.LENGTH
+        assert len(best) <= len(packing.fitted(sizes))
+        again = packing.evolve(sizes, 1, 1, seed, [best, packing.first_fit(sizes, list(range(len(sizes))))])
+        assert len(again) <= len(best)

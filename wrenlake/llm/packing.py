@@ -2,7 +2,7 @@
 
 Texts are tokenised; documents longer than a sequence are cut into full pieces and a rest.  Pieces
 of one task are dealt into shards of bounded size.  On each shard several islands evolve packings from
-first-fit packings of shuffled pieces: a crossover puts whole well-filled bins of one parent into the other,
+first-fit packings of shuffled pieces and a best-fit one: a crossover puts whole well-filled bins of one parent into the other,
 drops the bins that then hold something twice, and best-fits the displaced pieces, exchanging them first for smaller ones
 where a bin is filled better so; after an epoch each island's best packing moves to the next island (a shuffle of shard
 rows), and after the last the best of a shard is used.  An island stops at the least number of sequences that its tokens
@@ -217,6 +217,13 @@ def best_fit(sizes: list[int], items: list[int], bins: list[list[int]], free: li
             insort(room, (free[i], i))
 
 
+def fitted(sizes: list[int]) -> list[list[int]]:
+    """A best-fit packing of all pieces, largest first."""
+    bins: list[list[int]] = []
+    best_fit(sizes, list(range(len(sizes))), bins, [])
+    return bins
+
+
 def first_fit(sizes: list[int], order: list[int]) -> list[list[int]]:
     """A weak packing to start from: pieces as they come, each into the first of a few open bins that has room."""
     bins: list[list[int]] = []
@@ -299,9 +306,14 @@ def crossover(sizes: list[int], giver: list[list[int]], taker: list[list[int]],
 
 
 def evolve(sizes: list[int], island: int, epoch: int, shard: int, elites: list[list[list[int]]]) -> list[list[int]]:
-    """An island's best packing after one epoch: its own and the immigrant elite breed with fresh first-fit packings."""
+    """An island's best packing after one epoch: its own and the immigrant elite breed with fresh first-fit packings.
+
+    At first a best-fit packing is among them, so no island ends with more sequences than that has.
+    """
     rng = np.random.default_rng([abs(shard) & (1 << 62) - 1, island, epoch])
     crowd = list(elites)
+    if not crowd:
+        crowd.append(fitted(sizes))
     while len(crowd) < POPULATION:
         crowd.append(first_fit(sizes, rng.permutation(len(sizes)).tolist()))
     crowd = sorted(((fitness(sizes, b), b) for b in crowd), key=itemgetter(0), reverse=True)
