@@ -13,7 +13,7 @@ from wrenlake.llm import bpe, common, jaccard, packing, quality, repeats, secret
 
 RNG = random.Random(9)
 VOCAB = ["".join(RNG.choice("abcdefghé") for _ in range(RNG.randrange(2, 9))) for _ in range(300)]
-CLASH = ["id", "cls", "text_", "key", "examples", "row", "left", "spans", "hashes", "_id", "_cls", "_spans", "_key", "_examples", "rep", "component_id", "y", "h"]
+CLASH = ["id", "cls", "text_", "key", "examples", "row", "left", "spans", "hashes", "_id", "_cls", "_spans", "_key", "_examples", "rep", "component_id", "y", "h", "a.b", "c d", "c0", "t`k"]
 
 
 def prose(n: int) -> str:
@@ -25,7 +25,7 @@ def clashing(spark):
     base = prose(80)
     texts = [base, base, prose(60) + " " + base[:120], None, "", "password=abcdef123 " + prose(20), "x" * 10, prose(70)]
     rows = [(i, t, "en", "s0", None if t is None else len(t), *["c"] * len(CLASH)) for i, t in enumerate(texts)]
-    names = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH)
+    names = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join("`" + c.replace("`", "``") + "` string" for c in CLASH)
     return spark.createDataFrame([*rows, rows[0]], names).repartition(3)
 
 

@@ -45,6 +45,11 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """The columns of these names as they are, dots and all."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in names]
+
+
 def fresh(taken: list[str], *names: str) -> list[str]:
     """``names``, each with underscores after it until no column is called so (case ignored)."""
     held = {x.lower() for x in taken}

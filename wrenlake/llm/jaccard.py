@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, int_lists, join_hot, mix, shingle_sets, slices, stash
+from .common import bytes_of, int_lists, join_hot, mix, quoted, shingle_sets, slices, stash
 from .components import components
 
 PART = 1 << 15  # counters of the sketch that are summed together
@@ -393,4 +393,4 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """
     found = jaccard_components(docs, id_column, text_column, k, percent)
     drop = found.where(F.col("component_id") < F.col(id_column)).select(id_column).distinct()
-    return docs.join(drop, id_column, "left_anti").select(*docs.columns)
+    return docs.join(drop, id_column, "left_anti").select(*quoted(docs.columns))

@@ -146,16 +146,23 @@ def calibrated(count: np.ndarray, ones: np.ndarray, share: float) -> np.ndarray:
     return np.repeat(isotonic(value, np.array([p[1] for p in pools])), size)
 
 
+def known(labels: DataFrame, id_column: str = "doc_id", label: str = "quality", most: int = MOST_LABELLED, seed: int = 7) -> DataFrame:
+    """(id, y): the labels that a model is fitted on, about ``most`` of those that aren't held out; of several for an id the highest."""
+    truth = labels.where(F.col(id_column).isNotNull() & F.col(label).isin(0, 1)).where(~is_held_out(F.col(id_column)))
+    truth = truth.groupBy(id_column).agg(F.max(label).cast("double").alias("y"))
+    total = truth.count()
+    if total > most:
+        truth = truth.where(F.pmod(F.xxhash64(id_column, F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * most / total))
+    return truth
+
+
 def fit(stats: DataFrame, labels: DataFrame, id_column: str = "doc_id", label: str = "quality", most: int = MOST_LABELLED, seed: int = 7) -> Model:
     """Fit on labelled rows that aren't held out, and calibrate on what each fold scores without its own rows.
 
     The sample is bounded by ``most``; what comes to the driver is a bounded number of sums.
     """
-    truth = labels.where(F.col(id_column).isNotNull() & F.col(label).isin(0, 1)).where(~is_held_out(F.col(id_column)))
-    truth = truth.groupBy(id_column).agg(F.max(label).cast("double").alias("y"))
+    truth = known(labels, id_column, label, most, seed)
     total = truth.count()
-    if total > most:
-        truth = truth.where(F.pmod(F.xxhash64(id_column, F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * most / total))
     rows = stats.join(truth, id_column).withColumn("fold", F.pmod(F.xxhash64(id_column), F.lit(FOLDS)))
     rows = stash(rows.select("x", "y", "fold").repartition(max(1, min(total, most) // 10_000)), "quality-train")
     d, rng = N_STATS, np.random.default_rng(seed)
@@ -219,14 +226,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
 def keep_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", cut: float = CUT) -> DataFrame:
     """The documents that score ``cut`` or more, all columns as they are.
 
-    The model is fitted first; the filter then scores texts where they stand, so no text is shuffled.
+    The model is fitted first, on the statistics of labelled texts alone; the filter then scores texts where they stand, so no
+    text is shuffled and each is described once.
     """
-    stats = stash(statistics(docs, id_column, text_column), "quality-stats")
+    ids = F.broadcast(known(labels, id_column).select(id_column))  # about MOST_LABELLED ids at most
+    stats = stash(statistics(docs.join(ids, id_column, "left_semi"), id_column, text_column), "quality-stats")
     model = fit(stats, labels, id_column)
 
+    text = f"c{docs.columns.index(text_column)}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_column):
-            x = np.array(describe_all(batch.column(text_column))).astype(np.float64)
+        for batch in slices(batches, text):
+            x = np.array(describe_all(batch.column(text))).astype(np.float64)
             yield batch.filter(pa.array(model.score(x) >= cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names with dots don't go through tasks
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bytes_of, fresh, int_lists, join_hot, mix, slices, stash
+from .common import bytes_of, fresh, int_lists, join_hot, mix, quoted, slices, stash
 
 LENGTH = 50
 Q = 24
@@ -507,7 +508,7 @@ def cut_out(text: bytes, spans: list[int]) -> tuple[bytes, int, int]:
 def with_keys(docs: DataFrame, id_column: str, text_column: str, keep: bool) -> DataFrame:
     """(id, cls, text) of each document, and ``row``, all its other columns, if they are to be kept."""
     text = F.coalesce(F.col(text_column), F.lit(""))
-    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_column)).alias("row")] * keep
+    row = [F.struct(*quoted([c for c in docs.columns if c != text_column])).alias("row")] * keep
     return docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("cls"), F.col(text_column).alias("text"), *row)
 
 
@@ -573,7 +574,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(cut, pa.string()), pa.array([s is not None for s in spans])], names=["row", left, "changed"])
 
     rows = keyed.schema["row"].dataType
-    out = keyed.join(spans.unionByName(whole), ["id", "cls"], "left").mapInArrow(run, f"row {rows.simpleString()}, `{left}` string, changed boolean")
+    out = keyed.join(spans.unionByName(whole), ["id", "cls"], "left").mapInArrow(run, T.StructType([T.StructField("row", rows), T.StructField(left, T.StringType()), T.StructField("changed", T.BooleanType())]))
 
     def value(c: str):
         if c == text_column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, join_hot, slices, stash
+from .common import fresh, join_hot, quoted, slices, stash
 
 # The base kinds, in order, with the least length that counts.
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -143,4 +143,4 @@ def redact(docs: DataFrame, text_column: str = "text", owner: Column | None = No
         return pd.Series(out, dtype=object)
 
     masked = keyed.join(examples, key, "left").withColumn(text_column, mask_spans(F.col(text_column), F.col(known)).cast(out_kind))
-    return docs.where(~suspect).unionByName(masked.select(*names))
+    return docs.where(~suspect).unionByName(masked.select(*quoted(names)))
