@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+
+What holds for every stage but the last: all columns stay, whatever their names; null ids, repeated rows and several texts of one id are
+rows of their own unless said otherwise; an empty table gives an empty one; texts of any length are taken whole.
+"""
 
 from __future__ import annotations
 
@@ -11,28 +15,45 @@ from wrenlake.llm.common import stash
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts are scored like others; equal texts have equal scores, so they stay or go together.  Without labels of both
+    classes the score is the share of good ones (0.5 without any), which is compared with the same cut.
+    """
     return quality.keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five words, 0.8."""
+    """One document of each group of near copies stays, the one with the least id: five words, 0.8.
+
+    Documents without words are near nothing and stay.  Rows with one id are dropped or kept together, so repeated rows stay as they are.
+    """
     return jaccard.one_of_each(docs, k=5, percent=80)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 50 bytes and more that an earlier document holds go from the text."""
+    """Strings of 50 bytes and more that a document with a smaller id holds go from the text.
+
+    Rows with one id are one document's and take nothing from each other.  A null text stays null; a text of which nothing is left is
+    empty.  ``n_chars`` is counted anew where the text changes.
+    """
     return repeats.without_repeats(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets that one owner holds are masked in the text."""
+    """Secrets that one owner (source) holds are masked in the text; those that several hold are examples and stay.
+
+    A null source is an owner of its own; null and empty texts stay as they are.  ``n_chars`` is null where the text is.
+    """
     masked = secrets.redact(docs, owner=F.col("source"), repository=F.concat_ws("/", "source", "lang"))
     return masked.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all texts with their place in a sequence."""
+    """Pieces of all texts with their place in a sequence.
+
+    A null or empty text is one piece of one token; repeated rows are packed each; an id may be null.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
