@@ -22,10 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import stash
-from .neighbours import Index, core_of, distance, distinct, neighbours, numbers, record, squares
+from .neighbours import Index, core_of, distance, distinct, neighbours, numbers, record, squares, within
 
 RANGE = 1 << 14  # edges of a range
 PAIRS = 1 << 16  # pairs whose distances are taken at once
+ROWS = 512  # rows of a block that are compared with another at once
 NEAR = 1e-9  # distances below count as this
 CLUSTERS = 1 << 18  # clusters of the condensed tree that are chosen among on the driver; more are by rounds of joins
 
@@ -61,6 +62,19 @@ def renamed(rows: DataFrame, names: DataFrame, *columns: str) -> DataFrame:
     return rows
 
 
+def no_edges() -> list[np.ndarray]:
+    return [np.zeros(0, t) for t in (np.int64, float, np.int64, np.int64, np.int64)]
+
+
+def first_edges(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    """The least edge of each component of both."""
+    keep = [np.concatenate(c) for c in zip(a, b)]
+    order = np.lexsort((keep[3], keep[2], keep[1], keep[0]))
+    keep = [c[order] for c in keep]
+    first = np.diff(keep[0], prepend=keep[0][:1] - 1) != 0
+    return [c[first] for c in keep]
+
+
 def best_pairs(x: list[np.ndarray], y: list[np.ndarray], bound: np.ndarray) -> list[np.ndarray]:
     """Least edge (w, lo, hi) of each component of ``x`` to rows of ``y`` of other components, no longer than ``bound``.
 
@@ -76,16 +90,11 @@ def best_pairs(x: list[np.ndarray], y: list[np.ndarray], bound: np.ndarray) -> l
     top = np.full(len(names), np.inf)
     np.minimum.at(top, group, np.minimum(high.min(1, initial=np.inf), bound * (1 + 1e-12)))
     i, j = np.nonzero(low <= top[group][:, None])
-    keep: list[np.ndarray] = [np.zeros(0, t) for t in (np.int64, float, np.int64, np.int64, np.int64)]
+    keep = no_edges()
     for a in range(0, len(i), PAIRS):
         p, q = i[a : a + PAIRS], j[a : a + PAIRS]
         w = np.maximum(distance(x[3][p], y[3][q]), core[p, q])
-        new = [x[1][p], w, np.minimum(x[0][p], y[0][q]), np.maximum(x[0][p], y[0][q]), y[1][q]]
-        keep = [np.concatenate(c) for c in zip(keep, new)]
-        order = np.lexsort((keep[3], keep[2], keep[1], keep[0]))
-        keep = [c[order] for c in keep]
-        first = np.diff(keep[0], prepend=keep[0][:1] - 1) != 0
-        keep = [c[first] for c in keep]
+        keep = first_edges(keep, [x[1][p], w, np.minimum(x[0][p], y[0][q]), np.maximum(x[0][p], y[0][q]), y[1][q]])
     return keep
 
 
@@ -94,7 +103,7 @@ def spanning_tree(index: Index, near: DataFrame, k: int) -> DataFrame:
 
     ``near`` is what ``neighbours`` gives for ``k``.  All rows must have a core distance.
     """
-    spark, width = index.blocks.sparkSession, index.width
+    spark, width, p = index.blocks.sparkSession, index.width, index.p
     cores = stash(near.select("id", core_of(k).alias("core")), "cores")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,18 +145,32 @@ def spanning_tree(index: Index, near: DataFrame, k: int) -> DataFrame:
         one = F.when(F.array_min("comp") == F.array_max("comp"), F.array_min("comp"))
         reach = index.blocks.select("block", "low", "high").join(own.select("block", F.array_max("bound").alias("reach"), F.array_min("core").alias("floor"), one.alias("alone")), "block")
 
-        def ask(batch: pa.RecordBatch, i: int):
-            ids = numbers(batch, "ids", i, kind=np.int64)
-            comp, core, bound_ = (np.asarray(batch.column(c)[i].values) for c in ("comp", "core", "bound"))
-            return bound_, comp, np.stack([ids, comp, core.view(np.int64), bound_.view(np.int64)], axis=1)
-
-        def answer(batch: pa.RecordBatch, i: int) -> Iterator[pa.RecordBatch]:
-            more = numbers(batch, "q_more", i, 4, np.int64)
-            core, top = (np.ascontiguousarray(more[:, c]).view(float) for c in (2, 3))
-            there = [numbers(batch, "ids", i, kind=np.int64), np.asarray(batch.column("comp")[i].values), np.asarray(batch.column("core")[i].values), numbers(batch, "v", i, width)]
-            yield record(EDGE, *best_pairs([more[:, 0], more[:, 1], core, numbers(batch, "q_v", i, width)], there, top))
-
-        found = index.search(own, reach, ask, answer, EDGE)
+        def cells(batch: pa.RecordBatch, i: int) -> list[np.ndarray]:
+            return [numbers(batch, "ids", i, kind=np.int64), np.asarray(batch.column("comp")[i].values), np.asarray(batch.column("core")[i].values), numbers(batch, "v", i, width)]
+
+        def begin(batch: pa.RecordBatch, i: int) -> dict:
+            return {"rows": [x.copy() for x in cells(batch, i)], "far": numbers(batch, "far", i, p).copy(), "bound": np.asarray(batch.column("bound")[i].values).copy(), "edges": no_edges()}
+
+        def visit(state: dict, batch: pa.RecordBatch, i: int) -> None:
+            there = cells(batch, i)
+            low, high = numbers(batch, "low", i), numbers(batch, "high", i)
+            apart = np.maximum(low - state["far"], state["far"] - high).max(1, initial=0)
+            comp = state["rows"][1]
+            other = there[1][0] if (there[1] == there[1][0]).all() else None
+            on = np.flatnonzero((np.maximum(within(apart, there[2].min()), state["rows"][2]) <= state["bound"]) & (comp != other if other is not None else True))
+            for a in range(0, len(on), ROWS):
+                some = on[a : a + ROWS]
+                state["edges"] = first_edges(state["edges"], best_pairs([x[some] for x in state["rows"]], there, state["bound"][some]))
+            if len(on):  # what is found bounds what is still looked for
+                at = np.searchsorted(state["edges"][0], comp)
+                held = at < len(state["edges"][0])
+                held[held] = state["edges"][0][at[held]] == comp[held]
+                state["bound"][held] = np.minimum(state["bound"][held], state["edges"][1][at[held]])
+
+        def finish(state: dict) -> Iterator[pa.RecordBatch]:
+            yield record(EDGE, *state["edges"])
+
+        found = index.search(own, reach, begin, visit, finish, EDGE)
         chosen = stash(least(edges.select("a", "w", "lo", "hi", "b").unionByName(found)), "chosen")
         new = stash(chosen.select("w", "lo", "hi").distinct(), "tree")
         tree.append(new)

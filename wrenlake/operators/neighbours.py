@@ -2,8 +2,9 @@
 
 Equal vectors are one row with a count.  Rows are ordered by their nearest pivot and the distance to it and cut into blocks;
 a block keeps the range of its distances to every pivot.  No row of one block can be nearer to a row of another than these
-ranges are apart, so a row is sent only to blocks within the distance that it has found so far.
-Bounds between blocks are compared in slices, so no task or driver sees them all.
+ranges are apart, so a block meets only the blocks within the distance that its rows have found among themselves, the nearer first, and of
+those only what is within the distances found by then.  Bounds between blocks are compared in slices, so no task or driver sees them
+all; a task holds two blocks at a time.
 """
 
 from __future__ import annotations
@@ -118,7 +119,7 @@ class Index:
         self.count = self.blocks.count()
 
     def near_blocks(self, bounds: DataFrame) -> DataFrame:
-        """(block, others, lows, highs): for each row of ``bounds`` the blocks that may hold rows within its reach.
+        """(block, others, apart): for each row of ``bounds`` the block itself, at -1, and the blocks that may hold rows within its reach.
 
         ``bounds``: block, low, high, reach, floor (no distance to the block counts less), alone (blocks with the same number don't meet; null:
         meets all).  Slices of bounds meet pairwise; of a slice, what is out of reach is dropped at once.
@@ -140,7 +141,6 @@ class Index:
         packed = stash(cut.select("slice", "block", "low", "high", "reach", "floor", "alone").mapInArrow(gather, shape), "slices")
         other = packed.select(*(F.col(c).alias(f"o_{c}") for c in ("slice", "blocks", "lows", "highs", "floor", "alone")))
         pairs = packed.withColumn("o_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long")))).join(other, "o_slice")
-        out = "block long, others binary, lows binary, highs binary, floors binary, alones binary"
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -151,44 +151,42 @@ class Index:
                     alone, o_alone = (numbers(batch, c, i, kind=np.int64) for c in ("alone", "o_alone"))
                     for j in range(len(a)):
                         apart = np.maximum(o_low - high[j], low[j] - o_high).max(1, initial=0)
-                        on = (np.maximum(apart * (1 - 1e-9) - 1e-9, floor) <= reach[j]) & ((alone[j] < 0) | (alone[j] != o_alone))
+                        own = b == a[j]
+                        on = own | (within(apart, floor) <= reach[j]) & ((alone[j] < 0) | (alone[j] != o_alone))
                         if on.any():
-                            yield record(out, [a[j]], *([x[on].tobytes()] for x in (b, o_low, o_high, floor, o_alone)))
+                            lists = [pa.array([x[on].tolist()], pa.list_(t)) for x, t in ((b, pa.int64()), (np.where(own, -1, apart), pa.float64()))]
+                            yield pa.RecordBatch.from_arrays([pa.array([a[j]], pa.int64()), *lists], names=["block", "others", "apart"])
 
-        return pairs.mapInArrow(meet, out)
+        return pairs.mapInArrow(meet, "block long, others array<long>, apart array<double>")
 
-    def search(self, own: DataFrame, bounds: DataFrame, ask: Callable, answer: Callable, schema: str) -> DataFrame:
-        """Rows of blocks meet the blocks within their reach.
+    def search(self, own: DataFrame, bounds: DataFrame, begin: Callable, visit: Callable, finish: Callable, schema: str) -> DataFrame:
+        """Each block meets itself and the blocks within its reach, the nearer first, in one task.
 
-        ``own``: block and more columns of its rows; ``ask(batch, i)`` gives the reach of each row of a block and arrays to send along, and
-        ``answer(batch, i)`` the rows of ``schema`` for a pack of rows (``q_`` columns) at another block; both read cells of one row.
+        ``own``: block and more columns of its rows.  ``begin(batch, i)`` makes a state from a block's row, ``visit(state, batch, i)`` takes in the row of
+        a block (first the same one), and ``finish(state)`` gives rows of ``schema``.
         """
-        p, width = self.p, self.width
         blocks = self.blocks.join(own, "block")
-        sent = "other long, q_block long, q_rows binary, q_v binary, q_more binary"
+        pairs = self.near_blocks(bounds).select("block", F.explode(F.arrays_zip("others", "apart")).alias("p")).select("block", F.col("p.others").alias("other"), "p.apart")
+        met = pairs.join(blocks.withColumnRenamed("block", "other"), "other").repartition("block").sortWithinPartitions("block", "apart")
 
-        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now = state = None
             for batch in batches:
-                for i in range(batch.num_rows):
-                    v, far = numbers(batch, "v", i, width), numbers(batch, "far", i, p)
-                    reach, group, more = ask(batch, i)
-                    others, alones = (numbers(batch, c, i, kind=np.int64) for c in ("others", "alones"))
-                    lows, highs, floors = numbers(batch, "lows", i, p), numbers(batch, "highs", i, p), numbers(batch, "floors", i)
-                    for j, other in enumerate(others.tolist()):
-                        apart = np.maximum(lows[j] - far, far - highs[j]).max(1)
-                        on = np.flatnonzero((np.maximum(apart * (1 - 1e-9) - 1e-9, floors[j]) <= reach) & ((group < 0) | (group != alones[j])))
-                        if len(on):
-                            yield record(sent, [other], [batch.column("block")[i].as_py()], [on.tobytes()], [v[on].tobytes()], [more[on].tobytes()])
-
-        queries = blocks.join(self.near_blocks(bounds), "block").mapInArrow(send, sent)
-        met = queries.join(blocks.withColumnRenamed("block", "other"), "other")
+                for i, block in enumerate(batch.column("block").to_pylist()):
+                    if block != now:
+                        if state is not None:
+                            yield from finish(state)
+                        now, state = block, begin(batch, i)
+                    visit(state, batch, i)
+            if state is not None:
+                yield from finish(state)
 
-        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    yield from answer(batch, i)
+        return met.mapInArrow(run, schema)
 
-        return met.mapInArrow(meet, schema)
+
+def within(apart: np.ndarray, floor: np.ndarray | float = 0.0) -> np.ndarray:
+    """What a distance from differences can't be less than, rounding included."""
+    return np.maximum(apart * (1 - 1e-9) - 1e-9, floor)
 
 
 def nearest(x: np.ndarray, ids: np.ndarray, y: np.ndarray, others: np.ndarray, k: int, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,47 +205,49 @@ def nearest(x: np.ndarray, ids: np.ndarray, y: np.ndarray, others: np.ndarray, k
 
 def neighbours(index: Index, k: int) -> DataFrame:
     """(id, c, near): each distinct row with up to ``k`` nearest distinct others (d, id, c), by distance and id."""
-    width = index.width
-    shape = "block long, low binary, high binary, reach double, floor double, alone long, bound binary, d binary, at binary"
+    width, p = index.width, index.p
+    shape = "block long, reach double"
 
-    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, v, c = numbers(batch, "ids", i, kind=np.int64), numbers(batch, "v", i, width), numbers(batch, "c", i, kind=np.int64)
-                d, at = nearest(v, ids, v, ids, k, np.full(len(v), np.inf))
-                near = np.stack([np.where(at < 0, 0, x[at]) for x in (ids, c)], axis=2)
-                yield record(shape, [batch.column("block")[i].as_py()], batch.column("low").slice(i, 1), batch.column("high").slice(i, 1), [d[:, -1].max()], [0.0], [batch.column("block")[i].as_py()], [d[:, -1].tobytes()], [d.tobytes()], [near.tobytes()])
+    def cells(batch: pa.RecordBatch, i: int) -> list[np.ndarray]:
+        return [numbers(batch, "ids", i, kind=np.int64), numbers(batch, "c", i, kind=np.int64), numbers(batch, "v", i, width)]
 
-    own = stash(index.blocks.select("block", "ids", "v", "c", "low", "high").mapInArrow(inside, shape), "near")
-
-    def rows(ids: np.ndarray, c: np.ndarray, d: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
-        on = np.isfinite(d)
-        cells = pa.StructArray.from_arrays([pa.array(d[on]), pa.array(near[..., 0][on]), pa.array(near[..., 1][on])], names=["d", "id", "c"])
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(on.sum(1))]), pa.int32()), cells)
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(c), lists], names=["id", "c", "near"])
-
-    schema = "id long, c long, near array<struct<d: double, id: long, c: long>>"
-
-    def ask(batch: pa.RecordBatch, i: int):
-        ids, c, bound = numbers(batch, "ids", i, kind=np.int64), numbers(batch, "c", i, kind=np.int64), numbers(batch, "bound", i)
-        return bound, np.full(len(ids), batch.column("block")[i].as_py()), np.stack([ids, c, bound.view(np.int64)], axis=1)
-
-    def answer(batch: pa.RecordBatch, i: int) -> Iterator[pa.RecordBatch]:
-        more = numbers(batch, "q_more", i, 3, np.int64)
-        others, c = (numbers(batch, x, i, kind=np.int64) for x in ("ids", "c"))
-        d, at = nearest(numbers(batch, "q_v", i, width), more[:, 0], numbers(batch, "v", i, width), others, k, np.ascontiguousarray(more[:, 2]).view(float))
-        on = np.isfinite(d).any(1)
-        yield rows(more[on, 0], more[on, 1], d[on], np.stack([np.where(at < 0, 0, x[at]) for x in (others, c)], axis=2)[on])
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, c = numbers(batch, "ids", i, kind=np.int64), numbers(batch, "c", i, kind=np.int64)
-                yield rows(ids, c, numbers(batch, "d", i, k), numbers(batch, "at", i, kind=np.int64).reshape(len(ids), k, 2))
-
-    first = index.blocks.select("block", "ids", "c").join(own.select("block", "d", "at"), "block").mapInArrow(listed, schema)
-    found = index.search(own.select("block", "bound"), own, ask, answer, schema) if index.count > 1 else first.limit(0)
-    return first.unionByName(found).groupBy("id").agg(F.max("c").alias("c"), F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+                ids, _, v = cells(batch, i)
+                d, _ = nearest(v, ids, v, ids, k, np.full(len(v), np.inf))
+                yield record(shape, [batch.column("block")[i].as_py()], [d[:, -1].max()])
+
+    reach = stash(index.blocks.select("block", "ids", "c", "v").mapInArrow(inside, shape), "reach")
+    bounds = index.blocks.select("block", "low", "high").join(reach, "block").select("*", F.lit(0.0).alias("floor"), F.col("block").alias("alone"))
+
+    def begin(batch: pa.RecordBatch, i: int) -> dict:
+        ids, c, v = cells(batch, i)
+        far = numbers(batch, "far", i, p)
+        none = np.zeros((len(ids), k), np.int64)
+        return {"ids": ids.copy(), "c": c.copy(), "v": v.copy(), "far": far.copy(), "d": np.full((len(ids), k), np.inf), "near": np.stack([none, none], axis=2)}
+
+    def visit(state: dict, batch: pa.RecordBatch, i: int) -> None:
+        others, c, v = cells(batch, i)
+        low, high = numbers(batch, "low", i), numbers(batch, "high", i)
+        apart = np.maximum(low - state["far"], state["far"] - high).max(1, initial=0)
+        on = np.flatnonzero(within(apart) <= state["d"][:, -1])
+        if not len(on):
+            return
+        d, at = nearest(state["v"][on], state["ids"][on], v, others, k, state["d"][on, -1])
+        every = np.concatenate([state["d"][on], d], axis=1)
+        near = np.concatenate([state["near"][on], np.stack([np.where(at < 0, 0, x[at]) for x in (others, c)], axis=2)], axis=1)
+        order = np.lexsort((near[..., 0], every), axis=1)[:, :k]
+        state["d"][on] = np.take_along_axis(every, order, 1)
+        state["near"][on] = np.take_along_axis(near, order[..., None], 1)
+
+    def finish(state: dict) -> Iterator[pa.RecordBatch]:
+        on = np.isfinite(state["d"])
+        inner = pa.StructArray.from_arrays([pa.array(state["d"][on]), *(pa.array(state["near"][..., j][on]) for j in (0, 1))], names=["d", "id", "c"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(on.sum(1))]), pa.int32()), inner)
+        yield pa.RecordBatch.from_arrays([pa.array(state["ids"]), pa.array(state["c"]), lists], names=["id", "c", "near"])
+
+    return index.search(reach.select("block"), bounds, begin, visit, finish, "id long, c long, near array<struct<d: double, id: long, c: long>>")
 
 
 def core_of(k: int):
