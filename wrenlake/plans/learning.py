@@ -12,6 +12,7 @@ from ..functions import vectors as V
 from ..operators import classifier as C
 from ..operators import density as D
 from ..operators import labels as L
+from ..operators import layout as Y
 from ..operators import metrics as M
 from ..operators import mixtures as X
 from ..operators import neighbours as N
@@ -214,6 +215,12 @@ def pca_project(spark, d):
     return reduced(spark, d).select("vec_id", F.posexplode("z").alias("i", "x"))
 
 
+@query()
+def spectral_layout(spark, d):
+    z = Y.spectral_layout(table(spark, d, "embeddings"), "vec_id", "embedding", dims=8, k=30, turns=4)
+    return z.select("vec_id", F.posexplode("z").alias("i", "x"))
+
+
 @query()
 def density_clusters(spark, d):
     # as the reference: first reduced, then clustered, with its sizes
