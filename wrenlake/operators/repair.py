@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -88,15 +88,18 @@ def hashed(seed: int, *columns: Column) -> Column:
 def balanced_draw(rows: DataFrame, key: str, group: str, draws: DataFrame, seed: int = 42) -> DataFrame:
     """(draw, key): for each row of ``draws`` a group with equal chance, then one of its rows; with replacement.
 
-    Groups are few; rows are numbered within their group by a checksum and joined by number.
+    Groups are few; rows are numbered in the order of a checksum, by sums of its buckets and places within a bucket, so that no
+    group comes to one task, and joined by number.
     """
-    from pyspark.sql import Window
-
-    sizes = rows.groupBy(group).agg(F.count("*").alias("size"))
-    sizes = sizes.withColumn("g", F.row_number().over(Window.orderBy(group)) - 1)
-    total = sizes.agg(F.count("*").alias("groups"))
-    picked = draws.crossJoin(F.broadcast(total)).withColumn("g", hashed(seed, F.lit("g"), F.col("draw")) % F.col("groups"))
-    picked = picked.join(sizes, "g").withColumn("r", hashed(seed, F.lit("r"), F.col("draw")) % F.col("size"))
-    order = Window.partitionBy(group).orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key)
-    numbered = rows.select(key, group, (F.row_number().over(order) - 1).cast("long").alias("r"))
-    return picked.join(numbered, [group, "r"]).select("draw", key)
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_size"))
+    sizes = sizes.withColumn("_g", F.row_number().over(Window.orderBy(group)) - 1)
+    total = sizes.agg(F.count("*").alias("_groups"))
+    picked = draws.crossJoin(F.broadcast(total)).withColumn("_g", hashed(seed, F.lit("g"), F.col("draw")) % F.col("_groups"))
+    picked = picked.join(sizes, "_g").withColumn("_r", hashed(seed, F.lit("r"), F.col("draw")) % F.col("_size"))
+    order = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    x = rows.select(key, group, order.alias("_h")).withColumn("_b", F.substring("_h", 1, 4))
+    before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = x.groupBy(group, "_b").agg(F.count("*").alias("_n")).select(group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    place = F.row_number().over(Window.partitionBy(group, "_b").orderBy("_h", key)) - 1
+    numbered = x.join(base, [group, "_b"]).select(key, group, (F.col("_base") + place).cast("long").alias("_r"))
+    return picked.join(numbered, [group, "_r"]).select("draw", key)

@@ -39,6 +39,20 @@ def clip(duration: Column, event: Column, most: float = 15.0) -> tuple[Column, C
     return start, F.least(F.lit(most), duration - start), event - start
 
 
+def event_window(start: Column, end: Column, total: Column, least: float, most: float) -> tuple[Column, Column]:
+    """An event of less than ``least`` seconds grows by half of what is missing on either side, within the recording.
+
+    Where that meets the beginning, the end moves on by the event's start; where it meets the recording's end, the start moves back by what lies after
+    the event.  What is longer than ``most`` is cut at its end.
+    """
+    short = end - start < least
+    side = (F.lit(least) - (end - start)) / 2
+    a, b = F.greatest(F.lit(0.0), start - side), F.least(total, end + side)
+    first = F.when(short, F.when((a > 0) & (b == total), F.greatest(F.lit(0.0), a - (b - end))).otherwise(a)).otherwise(start)
+    last = F.when(short, F.when(a == 0, F.least(total, b + start)).otherwise(b)).otherwise(end)
+    return first, F.when(last - first > most, F.least(first + most, total)).otherwise(last)
+
+
 def loud_enough(frames: DataFrame, keys: list[str], level: str, quiet: float, share: float) -> DataFrame:
     """Keys whose share of frames louder than ``quiet`` is at least ``share``; a key without frames doesn't occur."""
     active = F.avg((F.col(level) > quiet).cast("double"))

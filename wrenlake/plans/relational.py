@@ -69,6 +69,18 @@ def clip_trim(spark, d):
     return recordings(spark, d).select("doc_id", a.alias("c_start"), n.alias("c_len"))
 
 
+EVENT = "ev as (select doc_id, n_chars / 100.0::DOUBLE as total, least(n_chars / 100.0::DOUBLE, (doc_id % 40) / 4.0::DOUBLE) as s, least(n_chars / 100.0::DOUBLE, (doc_id % 40) / 4.0::DOUBLE + (doc_id % 11) * 0.75::DOUBLE) as e from documents), x as (select *, greatest(0, s - (5 - (e - s)) / 2) as a, least(total, e + (5 - (e - s)) / 2) as b from ev), y as (select *, case when e - s >= 5 then s when a > 0 and b = total then greatest(0, a - (b - e)) else a end as first, case when e - s >= 5 then e when a = 0 then least(total, b + s) else b end as last from x)"
+
+
+@query(f"with {EVENT} select doc_id, round(first, 6)::DOUBLE as start, round(case when last - first > 6 then least(first + 6, total) else last end, 6)::DOUBLE as \"end\" from y")
+def event_window(spark, d):
+    total = F.col("n_chars") / 100.0
+    start = F.least(total, F.col("doc_id") % 40 / 4.0)
+    end = F.least(total, F.col("doc_id") % 40 / 4.0 + F.col("doc_id") % 11 * 0.75)
+    a, b = S.event_window(start, end, total, 5.0, 6.0)
+    return table(spark, d, "documents").select("doc_id", F.round(a, 6).alias("start"), F.round(b, 6).alias("end"))
+
+
 @query("select doc_id, printf('%s_%.1f_%.1f', source, 0.0::DOUBLE, (doc_id % 7)::DOUBLE) as segment_id from documents")
 def segment_id(spark, d):
     return table(spark, d, "documents").select("doc_id", T.segment_id(F.col("source"), F.lit(0.0), (F.col("doc_id") % 7).cast("double")).alias("segment_id"))
