@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from .common import stash, tidy
 
 TREE = 8192  # vectors of a tree
+GROUP = 16 << 20  # bytes of a row group of trees
 LEAF = 32  # vectors from which a node is split
 EXACT = 2**21  # the largest number in a tree: products of 64 components stay below 2**53
 LONG = 2**63 - 1
@@ -246,7 +247,7 @@ def centroid_clusters(rows: DataFrame, key: str = "vec_id", vector: str = "embed
     if not first:
         return spark.createDataFrame([], schema)
     centres = [whole(np.array(r.v, float), scale).tolist() for r in first]
-    trees = stash(plant(kept, scale, width), "trees")
+    trees = stash(plant(kept, scale, width), "trees", GROUP)
     for _ in range(rounds):
         centres = one_round(trees, centres, scale)
     c = np.array(centres, object)

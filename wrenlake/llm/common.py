@@ -38,10 +38,13 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
+def stash(df: DataFrame, name: str, group: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    ``group``: bytes of a row group, for rows that are large; a task holds a group or two when it writes or reads.
+    """
     path = new_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", group) if group else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

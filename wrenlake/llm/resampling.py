@@ -32,7 +32,8 @@ BUCKETS = 10_000
 MOST_WORDS = 3  # words of a feature
 LEAST_WORDS = 20  # of a document that may be drawn
 SLICE = 1 << 20  # bytes of text of a stream; one longer text is a stream of its own
-PART = 1 << 20  # words or bytes that are handled at once
+GROUP = 8 << 20  # bytes of a row group of streams
+PART = 1 << 18  # words or bytes that are handled at once
 
 WORD = np.zeros(256, bool)
 WORD[0x30:0x3A] = WORD[0x41:0x5B] = WORD[0x61:0x7B] = WORD[0x80:] = True
@@ -173,7 +174,7 @@ def write_streams(rows: DataFrame, key: str, text: str, most: int = MOST_WORDS,
             yield pa.RecordBatch.from_arrays([ids, pa.array([words.tolist()], pa.list_(pa.int64())), pa.array([offsets.tolist()], pa.list_(pa.int64())), pa.array([stream.tobytes()], pa.binary())], names=["ids", "words", "offsets", "stream"])
 
     schema = T.StructType([T.StructField("ids", T.ArrayType(rows.schema[key].dataType)), T.StructField("words", T.ArrayType(T.LongType())), T.StructField("offsets", T.ArrayType(T.LongType())), T.StructField("stream", T.BinaryType())])
-    return stash(rows.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("t")).mapInArrow(run, schema), "streams")
+    return stash(rows.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("t")).mapInArrow(run, schema), "streams", GROUP)
 
 
 def sort_count(streams: DataFrame) -> DataFrame:
