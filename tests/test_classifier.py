@@ -93,7 +93,7 @@ def test_layers_groups_and_stages(spark, monkeypatch):
     for f in range(3):  # stops two epochs after the best one, or at the end
         own = [h[3] for h in got.history if h[0] == f]
         assert len(own) == min(6, own.index(max(own)) + 3)
-    p = got.scores(rows.select("i", "fold", "x", "y", "m").fillna({"fold": -1}), "i").collect()
+    p = got.scores(rows.select("i", "fold", "x", "y", "m"), "i").collect()
     assert len(p) == 300 and all(0 <= q <= 1 for r in p for q in r.p)
 
 

@@ -135,7 +135,7 @@ def summed(rows: DataFrame, add: Callable[[dict[str, np.ndarray]], np.ndarray],
 
 
 def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    out = {"fold": batch.column("fold").to_numpy(zero_copy_only=False)}
+    out = {"fold": batch.column("fold").fill_null(-1).to_numpy(zero_copy_only=False)}
     for c in ("x", "y", "m"):
         out[c] = np.asarray(batch.column(c).flatten()).reshape(batch.num_rows, -1)
     return out
