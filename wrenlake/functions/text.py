@@ -33,6 +33,11 @@ def seconds(text: Column) -> Column:
     return F.when(n == 3, F.get(p, F.lit(0)) * 3600 + F.get(p, F.lit(1)) * 60 + F.get(p, F.lit(2))).when(n == 2, F.get(p, F.lit(0)) * 60 + F.get(p, F.lit(1))).when(n == 1, F.get(p, F.lit(0)))
 
 
+def clock_seconds(time: Column) -> Column:
+    """Seconds since 1970 on the time's own clock, with their fraction."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), time) / 1e6
+
+
 def catalogue_id(path: Column) -> Column:
     """A recording's number from its file name: letters X and C and leading zeros go; nothing left is 0, an empty path null."""
     digits = F.regexp_replace(F.regexp_replace(F.upper(stem(path)), "^[XC]+", ""), "^0+", "")
