@@ -18,24 +18,41 @@ from pyspark.sql.pandas.types import to_arrow_type
 #: The most rows of a group that are fitted in one task; larger groups are fitted by sums over all partitions.
 ONE_TASK = 20_000
 STEPS = 200
+CHUNK = 256  # rows whose shares are worked out at once
 WAVE = 8  # large groups that are fitted side by side; bounds the size of their sums
 Mixture = tuple[np.ndarray, np.ndarray, np.ndarray]  # weights, means, covariances
 
 
 def expect(x: np.ndarray, mixture: Mixture) -> list[np.ndarray]:
-    """Log likelihood and, per component, the sums of shares, of differences to its mean and of their outer products."""
+    """Log likelihood and, per component, the sums of shares, of differences to its mean and of their outer products.
+
+    Rows are taken CHUNK at a time, so that their differences to all means stay in the processor's cache.
+    """
     w, means, covs = mixture
     n, d = x.shape
-    logs = np.empty((n, len(w)))
-    for j in range(len(w)):
-        low = np.linalg.cholesky(covs[j])
-        z = (x - means[j]) @ np.linalg.inv(low).T
-        logs[:, j] = np.log(w[j]) - 0.5 * (z**2).sum(1) - np.log(np.diag(low)).sum() - 0.5 * d * np.log(2 * np.pi)
-    top = logs.max(1)
-    norm = top + np.log(np.exp(logs - top[:, None]).sum(1))
-    r = np.exp(logs - norm[:, None])
-    outer = np.stack([(r[:, j, None] * (x - means[j])).T @ (x - means[j]) for j in range(len(w))])
-    return [norm.sum(), r.sum(0), r.T @ x - r.sum(0)[:, None] * means, outer]
+    k = len(w)
+    lows = [np.linalg.cholesky(c) for c in covs]
+    turns = [np.linalg.inv(low).T for low in lows]
+    base = [np.log(w[j]) - np.log(np.diag(lows[j])).sum() - 0.5 * d * np.log(2 * np.pi) for j in range(k)]
+    total, shares, moved, outer = 0.0, np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d))
+    for a in range(0, n, CHUNK):
+        apart = [x[a : a + CHUNK] - m for m in means]
+        logs = np.empty((len(apart[0]), k))
+        for j in range(k):
+            z = apart[j] @ turns[j]
+            logs[:, j] = base[j] - 0.5 * np.einsum("ij,ij->i", z, z)
+        top = logs.max(1)
+        norm = top + np.log(np.exp(logs - top[:, None]).sum(1))
+        r = np.exp(logs - norm[:, None])
+        total += norm.sum()
+        shares += r.sum(0)
+        for j in range(k):
+            on = r[:, j] > 0
+            far, own = (apart[j], r[:, j]) if on.all() else (apart[j][on], r[on, j])
+            moved[j] += own @ far
+            far = far * np.sqrt(own)[:, None]
+            outer[j] += far.T @ far  # half the work of a product of two tables
+    return [total, shares, moved, outer]
 
 
 def maximise(sums: list[np.ndarray], n: int, mixture: Mixture) -> Mixture:
