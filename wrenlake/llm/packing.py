@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stash
+from .common import slices, stash, tidy
 
 LENGTH = 2048
 END = 0  # the id after each document
@@ -45,6 +45,7 @@ ROWS_A_TASK = 8  # shards and islands that a task evolves
 MOST_TASKS = 1 << 14  # beyond, tasks evolve more
 FULL = 0.995  # share from which a bin counts as well filled
 LEFT = 1.0  # share under which a sequence is packed again
+TEXT = 2 << 20  # bytes of text that are tokenised at once; their words and ids take many times that
 
 #: Letters below U+0100, which stay as they are in NFC, with marks after them that no letter combines with.
 WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,./:;<=>?@\[\]^_{|}~-]*)").fullmatch
@@ -59,7 +60,7 @@ class Words(dict):
     is two parts, as the tokenizer splits it there; any other is one part.  Other tokenizers get whole texts.
     """
 
-    most = 400_000  # some 80 MB; emptied after each task
+    most = 200_000  # some 40 MB; emptied after each task
 
     def __init__(self, path: str):
         super().__init__()
@@ -181,10 +182,10 @@ def pieces(docs: DataFrame, tokenizer: str, id_column: str, text_column: str, ke
             out = [pa.array([list(columns[0])], pa.list_(doc_kind)), *(pa.array([list(c)], pa.list_(k)) for c, k in zip(columns[1:], kinds))]
             return pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), *out], names=[x.split()[0] for x in schema.split(", ")])
 
-        for batch in slices(batches, text_column, 8 << 20):
+        for batch in slices(batches, text_column, TEXT):
             doc_kind = batch.column(id_column).type
             ids, at = coder.encode(batch.column(text_column))
-            ids = ids.astype("<u4")
+            ids = ids.astype("<u4", copy=False)
             for doc, a, b in zip(batch.column(id_column).to_pylist(), at.tolist(), at[1:].tolist()):
                 for piece, start in enumerate(range(a, b, LENGTH)):
                     part = ids[start : min(b, start + LENGTH)].tobytes()
@@ -193,6 +194,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_column: str, text_column: str, ke
                 yield shard(held[:SHARD])
                 held, n = held[SHARD:], n + 1
         coder.reset()
+        tidy()
         if held:
             yield shard(held)
 
