@@ -2,7 +2,8 @@
 
 Mutual reachability of two rows is the greatest of their distance and their core distances.  The tree grows by rounds: each
 component finds its least edge to another one, by weight and then by ids.  Known edges to near neighbours and to a sample of rows
-bound the edge from above, so only blocks within that bound are searched.  Components are contracted by pointers that
+bound the edge from above, so only blocks within that bound are searched, and only for rows whose farthest known neighbour is within it:
+what a row doesn't know is no nearer.  A component that holds most of the sample waits for the others to choose.  Components are contracted by pointers that
 double their reach; nothing of the size of the data leaves the executors.
 
 The hierarchy is read off the tree's edges in order of weight, a range of edges a task: the components that a range starts from
@@ -13,6 +14,7 @@ large sides split a cluster; smaller sides fall out of it.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,10 +103,12 @@ def best_pairs(x: list[np.ndarray], y: list[np.ndarray], bound: np.ndarray) -> l
 def spanning_tree(index: Index, near: DataFrame, k: int) -> DataFrame:
     """(w, lo, hi): the edges of the minimum spanning tree of mutual reachability over the index's rows, by weight and ids.
 
-    ``near`` is what ``neighbours`` gives for ``k``.  All rows must have a core distance.
+    ``near`` is what ``neighbours`` gives for ``k`` or more.  All rows must have a core distance.
     """
     spark, width, p = index.blocks.sparkSession, index.width, index.p
-    cores = stash(near.select("id", core_of(k).alias("core")), "cores")
+    # ``rest``: what an edge to a row that isn't among the near ones can't be less than, rounding included
+    rest = F.element_at("near", -1)["d"] * (1 - 1e-9) - 1e-9
+    cores = stash(near.select("id", core_of(k).alias("core"), rest.alias("rest")), "cores")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,6 +118,7 @@ def spanning_tree(index: Index, near: DataFrame, k: int) -> DataFrame:
 
     rows = index.blocks.select("block", "ids").mapInArrow(places, "block long, at int, id long").join(cores, "id")
     rows = stash(rows.withColumn("comp", F.col("id")), "components")
+    cores = cores.select("id", "core")
     other = cores.select(F.col("id").alias("b"), F.col("core").alias("core_b"))
     edges = near.select(F.col("id").alias("a"), F.explode("near").alias("n")).select("a", F.col("n.id").alias("b"), "n.d").join(cores.withColumnRenamed("id", "a"), "a").join(other, "b")
     edges = stash(edges.select("a", F.greatest("d", "core", "core_b").alias("w"), F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "b"), "edges")
@@ -121,6 +126,9 @@ def spanning_tree(index: Index, near: DataFrame, k: int) -> DataFrame:
     while left > 1:
         # the sample's components and core distances: a bounded number of rows
         held = {r.id: (r.comp, r.core) for r in rows.where(F.col("id").isin(some)).select("id", "comp", "core").collect()}
+        # a component that holds most of the sample leaves the choice to the others, which all have a bound by that sample
+        often = Counter(c for c, _ in held.values()).most_common(1)
+        waits = F.lit(often[0][0] if often and 2 * often[0][1] > len(some) else None).cast("long")
         sample = [index.some, np.array([held[i][0] for i in some]), np.array([held[i][1] for i in some]), index.sample]
         state = rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "core", "comp"))).alias("s")).select("block", F.col("s.core").alias("core"), F.col("s.comp").alias("comp"))
         state = stash(state, "state")
@@ -140,8 +148,11 @@ def spanning_tree(index: Index, near: DataFrame, k: int) -> DataFrame:
         known = edges.select("a", "w").unionByName(index.blocks.select("block", "v").join(state, "block").mapInArrow(bound, "a long, w double"))
         # a component without a bound waits; those apart from the sample have one
         bounds = known.groupBy("a").agg(F.min("w").alias("w")).select(F.col("a").alias("comp"), F.when(F.col("w") < float("inf"), F.col("w")).otherwise(-1.0).alias("bound"))
-        own = rows.join(bounds, "comp", "left").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "id", "core", "comp", F.coalesce("bound", F.lit(-1.0)).alias("bound")))).alias("s"))
+        searched = (F.greatest("core", "rest") <= F.col("bound")) & ~F.col("comp").eqNullSafe(waits)
+        own = rows.join(bounds, "comp", "left").withColumn("bound", F.when(searched, F.col("bound")).otherwise(-1.0))
+        own = own.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "core", "comp", "bound"))).alias("s"))
         own = stash(own.select("block", *(F.col(f"s.{c}").alias(c) for c in ("core", "comp", "bound"))), "bounds")
+        share = (own.agg(F.sum(F.size(F.filter("bound", lambda b: b >= 0)))).head()[0] or 0) / index.n
         one = F.when(F.array_min("comp") == F.array_max("comp"), F.array_min("comp"))
         reach = index.blocks.select("block", "low", "high").join(own.select("block", F.array_max("bound").alias("reach"), F.array_min("core").alias("floor"), one.alias("alone")), "block")
 
@@ -149,7 +160,9 @@ def spanning_tree(index: Index, near: DataFrame, k: int) -> DataFrame:
             return [numbers(batch, "ids", i, kind=np.int64), np.asarray(batch.column("comp")[i].values), np.asarray(batch.column("core")[i].values), numbers(batch, "v", i, width)]
 
         def begin(batch: pa.RecordBatch, i: int) -> dict:
-            return {"rows": [x.copy() for x in cells(batch, i)], "far": numbers(batch, "far", i, p).copy(), "bound": np.asarray(batch.column("bound")[i].values).copy(), "edges": no_edges()}
+            bound = np.asarray(batch.column("bound")[i].values)
+            on = bound >= 0
+            return {"rows": [x[on] for x in cells(batch, i)], "far": numbers(batch, "far", i, p)[on], "bound": bound[on], "edges": no_edges()}
 
         def visit(state: dict, batch: pa.RecordBatch, i: int) -> None:
             there = cells(batch, i)
@@ -170,8 +183,10 @@ def spanning_tree(index: Index, near: DataFrame, k: int) -> DataFrame:
         def finish(state: dict) -> Iterator[pa.RecordBatch]:
             yield record(EDGE, *state["edges"])
 
-        found = index.search(own, reach, begin, visit, finish, EDGE)
-        chosen = stash(least(edges.select("a", "w", "lo", "hi", "b").unionByName(found)), "chosen")
+        known = edges.select("a", "w", "lo", "hi", "b").where(~F.col("a").eqNullSafe(waits))
+        if share:
+            known = known.unionByName(index.search(own, reach, begin, visit, finish, EDGE, share, ("c", "far", "bound")))
+        chosen = stash(least(known), "chosen")
         new = stash(chosen.select("w", "lo", "hi").distinct(), "tree")
         tree.append(new)
         left -= new.count()
@@ -364,7 +379,7 @@ def density_clusters(rows: DataFrame, key: str, vector: str, smallest: int = 50,
     noise = kept.select(F.col("id").alias(key), F.lit(-1).alias("cluster"))
     if index.n < 2 or kept.count() <= k:
         return noise
-    near = stash(neighbours(index, k), "near")
+    near = stash(neighbours(index, k + 1), "near")  # one more, so that most rows know their least edge without a search
     leaves = near.select("id", "c", core_of(k).alias("core"))
     fell, clusters = hierarchy(spanning_tree(index, near, k), leaves, smallest, most)
     clusters = stash(clusters, "clusters")
