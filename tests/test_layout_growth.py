@@ -90,6 +90,12 @@ def test_product_shuffles_once(spark):
     assert np.allclose([rows[i] for i in ids], want)
 
 
+def test_panels_without_rows(spark):
+    graph = spark.createDataFrame([(i, j, 1.0) for i in range(3) for j in range(3) if i != j], "i long, j long, w double")
+    _, value, away = Y.eigenvectors(graph, 2)
+    assert np.allclose(value, [1, -0.5]) and (away < 1e-7).all()
+
+
 def test_length_is_taken_once(spark):
     def seconds(width):
         v = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: (i + F.col("id")).cast("double"))
