@@ -110,3 +110,16 @@ def test_length_is_taken_once(spark):
     assert seconds(1024) < 4 * seconds(32)
     rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, None), (3, []), (4, [0.0])], "i int, v array<double>").select("i", V.unit(F.col("v")).alias("v"))
     assert {r.i: r.v for r in rows.collect()} == {1: [0.6, 0.8], 2: None, 3: [], 4: [0.0]}
+
+
+def test_panels_of_more_partitions_than_asked_for(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(400, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>").repartition(3)
+    _, few, width = N.distinct(df, "i", "v")
+    plain = type(df).repartitionByRange
+    monkeypatch.setattr(type(df), "repartitionByRange", lambda self, n, *columns: plain(self, 20 * n, *columns))
+    index = N.Index(few, width, 200)
+    bounds = index.blocks.select("block", "low", "high").selectExpr("*", "1e9D as reach", "0D as floor", "block as alone")
+    met = index.search(index.blocks.select("block"), bounds, lambda b, i: [0], lambda s, b, i: s.__setitem__(0, s[0] + 1), lambda s: iter([N.record("n int", [s[0]])]), "n int")
+    assert index.count > 15 and [r.n for r in met.collect()] == [index.count] * index.count
+    assert index.parts >= index.count
